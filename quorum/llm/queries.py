@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorum.llm import chat_format, mixing, secret_scan, url_filter
-from quorum.llm.common import table
+from quorum.llm import ann, chat_format, decontaminate, langid, mixing, near_dedup, secret_scan, token_counts, toxicity, url_filter
+from quorum.llm.common import table, text_crc
 
 #: A conversation whose texts hold the template's control strings.
 CONTROL_CONV, CONTROL_TEXT = -7, "\\### Assistant: </turn> ok"
@@ -20,6 +22,43 @@ URL_RULES = [
 ]
 
 
+#: The vocabulary that op3 counts by.
+VOCABULARY = "piece_bpe_32k.model"
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = text_crc(F.col("doc_id")) % 3 == 1
+    found = langid.with_languages(docs.select("doc_id", "text"), *langid.learn(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_counts.read_vocabulary(public_tokenizers.path(VOCABULARY))
+    return token_counts.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "n_tokens")
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = text_crc(F.col("doc_id")) % 4 == 2
+    scored = toxicity.with_scores(docs, toxicity.train_on(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("hits").alias("hit"))
+    return found.select("doc_id", "hit.*")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.createDataFrame([(CONTROL_CONV, 0, "user", CONTROL_TEXT), (CONTROL_CONV, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
@@ -41,10 +80,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_chat_format": op2_chat_format,
+    "op3_token_counts": op3_token_counts,
+    "op4_nearest": op4_nearest,
     "op5_url_filter": op5_url_filter,
+    "op6_near_dedup": op6_near_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontaminate": op8_decontaminate,
     "op9_mix": op9_mix,
     "op10_secret_scan": op10_secret_scan,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -86,13 +86,20 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return mix64(out)
 
 
+def short_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each place on, fewer than a shingle has, as the only shingle of so short a text."""
+    n = len(words) - size + 1
+    if n <= 0 or size <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out += words[k : k + n] * _PLACE[k]
+    return mix64(out, size)
+
+
 def text_shingles(words: np.ndarray, shingles: np.ndarray, a: int, b: int) -> np.ndarray:
     """The shingles of the text whose words are a..b of a run: the whole sequence as one if it is shorter than a shingle."""
-    if b - a >= SHINGLE:
-        return shingles[a : b - SHINGLE + 1]
-    if b == a:
-        return np.zeros(0, np.uint64)
-    return mix64(np.sum(words[a:b] * _PLACE[: b - a], keepdims=True), b - a)
+    return shingles[a : b - SHINGLE + 1] if b - a >= SHINGLE else short_hashes(words[a:b], b - a)
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
