@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "compare_pairwise"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quorum.queries import bias, judging, judgments
+
+FLAGSHIP = "pairwise_cluster_se"
+_MODULES = (judgments, bias, judging)
+QUERIES: dict = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
