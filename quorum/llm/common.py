@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters that are neither a space nor one of the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts, sketches, sets or vectors that a Python worker takes at a time.
+BATCH_ROWS = 500
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -33,6 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Passes at most so many rows at a time to Python from now on.
+
+    Texts may be long, and a result is made only when its caller asks for it, so the session's own setting is lowered.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and leaves every other letter alone."""
     return F.translate(c, UPPER, UPPER.lower())
