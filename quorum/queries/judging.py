@@ -10,7 +10,7 @@ from quorum.functions.ids import derived_id
 from quorum.operators import inference, reduce
 from quorum.plans import requests
 from quorum.queries.judgments import rounded
-from quorum.sources import tables
+from quorum.sources import records, tables
 from quorum.sources.tables import table
 
 SELF_ID = r"(?i)\b(as an ai|language model)\b"
@@ -166,11 +166,45 @@ def false_alarms(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(runs.withColumn("expected", F.count("*").over(Window.orderBy("month")) * 0.05), "expected")
 
 
+def latest_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The last row of each key, by date and number: each customer's last order."""
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.concat(F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("sequence"))
+    return requests.latest(rows, ["o_custkey"], "sequence").select("o_custkey", "o_orderkey")
+
+
+def record_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Records by what is wrong with them, some spoilt on purpose."""
+    rows = tables.request_plan_rows(spark, sf)
+    start = F.substring("judge_call_id", 1, 1)
+    rows = rows.withColumn("judgment", F.when(start == "0", "A").otherwise(F.col("judgment"))).withColumn("judge_model", F.when(start.isin("0", "1"), F.concat("judge_model", F.lit("-latest"))).otherwise(F.col("judge_model")))
+    rows = rows.withColumn("call_role", F.when(start == "2", "third").otherwise(F.col("call_role")))
+    return records.with_problems(rows).groupBy(F.array_join("problems", ", ").alias("problems")).agg(F.count("*").alias("n"))
+
+
+def records_from_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Judgments read from judges' texts, one for each document."""
+    outputs = tables.judge_outputs(spark, sf).select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("judge_call_id"), F.col("pairwise_output").alias("output"))
+    tasks = table(spark, sf, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("judge_call_id"), F.col("source").alias("source_doc_id"))
+    return records.pairwise_records(tasks, outputs).select("judge_call_id", "source_doc_id", "judgment", "parse_error")
+
+
+def study_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a study with four documents to a prompt: gap pairs, and near-ties unless their texts begin alike."""
+    docs = table(spark, sf, "documents").where(F.col("doc_id") < F.floor(F.lit(table(spark, sf, "documents").count()) / 4) * 4)
+    arms = F.element_at(F.array(F.lit("strong"), F.lit("again"), F.lit("weak"), F.lit("other")), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = docs.select(F.floor(F.col("doc_id") / 4).alias("prompt_id"), arms.alias("variant_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("response_id"), F.substring("text", 1, 2).alias("text"))
+    first = lambda v: F.max(F.when(F.col("variant_id") == v, F.col("text")))
+    equal = rows.groupBy("prompt_id").agg(first("strong").alias("s"), first("again").alias("t")).where("s = t")
+    pairs = records.study_pairs(rows, "strong", "weak", "again", equal)
+    return pairs.select("prompt_id", "stratum", F.col("a.response_id").alias("response_a"), F.col("b.response_id").alias("response_b"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         verdict_parse_pairwise, verdict_parse_binary, verdict_parse_scalar, parse_failures, counterbalanced_tasks, prompt_render, derived_ids, prompt_filter_counts, replicate_draw_hash, request_plan,
         plan_gate, plan_gate_summary, primary_selection, incomplete_pairs, resume_antijoin, dry_run, arm_distinctness, exclusion_asymmetry, token_summary, projected_cost, false_alarms,
+        latest_orders, record_problems, records_from_outputs, study_pairs,
     )
 }
 
@@ -249,4 +283,13 @@ ORACLE_SQL = {
     "projected_cost": f"""SELECT judge_model, count(*) AS n_calls, CAST(sum(tokens_first + tokens_second) AS BIGINT) AS tokens_in, round((sum(tokens_first + tokens_second) * price_in + count(*) * 10 * price_out) / 1e6, 9) + 0e0 AS cost
       FROM ({tables.PAIRWISE_SQL}) JOIN (VALUES ('judge-0', 1e0, 5e0), ('judge-1', 3e0, 15e0), ('judge-2', 0.25e0, 1.25e0)) AS p(judge_model, price_in, price_out) USING (judge_model) GROUP BY judge_model, price_in, price_out""",
     "false_alarms": "SELECT month, n_orders, round(count(*) OVER (ORDER BY month) * 0.05e0, 9) + 0e0 AS expected FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n_orders FROM orders GROUP BY ALL)",
+    "latest_orders": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY ALL",
+    "record_problems": f"""SELECT CASE substr(judge_call_id, 1, 1) WHEN '0' THEN 'judge not pinned, judgment' WHEN '1' THEN 'judge not pinned' WHEN '2' THEN 'role' ELSE '' END AS problems, count(*) AS n
+      FROM ({tables.PLAN_SQL}) GROUP BY ALL""",
+    "records_from_outputs": f"""WITH {_found("pairwise_output", _PAIR_PATTERN, "lower(x)")} SELECT 'c' || doc_id AS judge_call_id, source AS source_doc_id, CASE WHEN len(found) = 1 THEN found[1] END AS judgment,
+      {_ERROR.format(more="")} AS parse_error FROM f""",
+    "study_pairs": """WITH p AS (SELECT doc_id // 4 AS prompt_id, max(substr(text, 1, 2)) FILTER (doc_id % 4 = 0) AS s, max(substr(text, 1, 2)) FILTER (doc_id % 4 = 1) AS t FROM documents
+        WHERE doc_id < (SELECT count(*) // 4 * 4 FROM documents) GROUP BY ALL)
+      SELECT prompt_id, 'gap' AS stratum, 'r' || prompt_id * 4 AS response_a, 'r' || (prompt_id * 4 + 2) AS response_b FROM p
+      UNION ALL SELECT prompt_id, 'near-tie', 'r' || prompt_id * 4, 'r' || (prompt_id * 4 + 1) FROM p WHERE s <> t""",
 }

@@ -162,12 +162,19 @@ def judge_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
+def max_t_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """Judges' comparisons adjusted by their largest statistic."""
+    items = reduce.reduce_pairwise(tables.pairwise_judgments(spark, sf), "A", "B", ["judge_model"])
+    rows = multiplicity.max_t(inference.cluster_totals(items, ["judge_model"]), ["judge_model"], SEED, N_PERM)
+    return rounded(rows, "t_stat", "max_t_p")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         pairwise_items, pairwise_cluster_se, pairwise_cluster_sizes, pairwise_tie_rate, scalar_items, scalar_side_balance, scalar_score_distribution, scalar_skewness, scalar_ceiling,
         binary_concordance, binary_mcnemar, signflip_exact, bootstrap_ci_hash, signflip_mc_hash, holm_bh, judge_variance, variance_components, variant_contrasts, cross_run_items,
-        effect_supplements, replicate_variance, judge_agreement,
+        effect_supplements, replicate_variance, judge_agreement, max_t_hash,
     )
 }
 
@@ -270,4 +277,8 @@ ORACLE_SQL = {
         avg(CAST(a = 'first' AS DOUBLE)) * avg(CAST(b = 'first' AS DOUBLE)) + avg(CAST(a = 'second' AS DOUBLE)) * avg(CAST(b = 'second' AS DOUBLE)) + avg(CAST(a = 'tie' AS DOUBLE)) * avg(CAST(b = 'tie' AS DOUBLE)) AS chance
         FROM w WHERE a IS NOT NULL AND b IS NOT NULL)
       SELECT n, round(agreement, 9) + 0e0 AS agreement, round((agreement - chance) / (1 - chance), 9) + 0e0 AS kappa FROM s""",
+    "max_t_hash": f"""WITH {_pairwise_sql(by="judge_model")}, totals AS (SELECT judge_model, cluster, sum(d) AS total FROM items GROUP BY ALL),
+      drawn AS (SELECT judge_model, b, abs(sum(total * (2 * ({_HASH.format(tag="max-t", at="cluster")} % 2) - 1))) / sqrt(sum(total * total)) AS t FROM totals, (SELECT unnest(range(0, {N_PERM})) AS b) GROUP BY ALL),
+      most AS (SELECT b, max(t) AS most FROM drawn GROUP BY b), seen AS (SELECT judge_model, sum(total) / sqrt(sum(total * total)) AS t_stat FROM totals GROUP BY ALL)
+      SELECT judge_model, round(t_stat, 9) + 0e0 AS t_stat, round((1 + count(*) FILTER (most >= abs(t_stat) - 1e-9)) / ({N_PERM} + 1e0), 9) + 0e0 AS max_t_p FROM seen, most GROUP BY judge_model, t_stat""",
 }

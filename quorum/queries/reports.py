@@ -75,11 +75,18 @@ def simulated_position_bias(spark: SparkSession, sf: str) -> DataFrame:
     return beta.agg(F.count("*").alias("reps"), F.avg("beta").alias("beta"), F.stddev_samp("beta").alias("sd"))
 
 
+def winners_curse(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the best of four equal contrasts overstates its effect of 0.1, over replications."""
+    runs = simulate.engine_runs(spark, partial(simulate.scalar_differences, delta=0.1, sd=1.0, n_items=50), reps=800, seed=SEED, n_boot=2, n_perm=1)
+    best = runs.groupBy(F.floor(F.col("rep") / 4).alias("family")).agg(F.max("estimate").alias("best"), F.min_by("estimate", "rep").alias("fixed"))
+    return best.agg(F.count("*").alias("families"), F.avg("best").alias("best"), (F.avg("best") - 0.1).alias("bias"), F.avg("fixed").alias("fixed"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         compare_pairwise_report, compare_scalar_report, compare_binary_report, position_bias_report, verbosity_association_report, verbosity_controlled_report, self_preference_report,
-        non_inferiority_report, power_table, simulated_power, simulated_coverage, simulated_position_bias,
+        non_inferiority_report, power_table, simulated_power, simulated_coverage, simulated_position_bias, winners_curse,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
