@@ -21,8 +21,8 @@ from quorum.llm.common import cut, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE, REPEATS, SEED = 1.5, 2, 17
-#: Documents of a bucket and rows of a range, about.
-BUCKET_ROWS, RANGE_ROWS = 4_000, 20_000
+#: Documents of a bucket, at least (it grows with the square root of its source), and rows of a range, about.
+BUCKET_ROWS, RANGE_ROWS = 250, 20_000
 #: Up to this many sources are sent to every executor (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 #: The order of the queue: virtual finish time, then ties.
@@ -50,20 +50,18 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repe
 def _paced(sized: DataFrame, seed: int) -> DataFrame:
     """Adds ``done``: the source's words up to the end of this document, in shuffled order."""
     sources = cut(source_targets(sized))
-    total = sources.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("sources")).first()
-    known = sources.drop("n")
-    if total["sources"] <= BROADCAST_SOURCES:
+    known = sources.withColumn("buckets", F.ceil(F.col("n") / F.greatest(F.lit(float(BUCKET_ROWS)), F.sqrt("n"))).cast("int")).drop("n")
+    if sources.count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
-    buckets = max(1, -(-total["n"] // BUCKET_ROWS))
     rows = sized.join(known.withColumnRenamed("source", "known"), F.col("source").eqNullSafe(F.col("known"))).drop("known")
     rows = rows.withColumn("shuffled", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    rows = rows.withColumn("bucket", F.pmod(F.shiftright("shuffled", 8), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.shiftright("shuffled", 8), F.col("buckets")))
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source_no", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("source_no", "bucket").orderBy("shuffled", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("done", F.sum("size").over(within)).join(sums, ["source_no", "bucket"])
-    return rows.withColumn("done", F.col("done") + F.col("before")).drop("before", "bucket")
+    return rows.withColumn("done", F.col("done") + F.col("before")).drop("before", "bucket", "buckets")
 
 
 def _key(copy: Column) -> Column:
