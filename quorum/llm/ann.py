@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorum.llm.common import bound_batches
+
 K, M, MISS, SEED = 10, 6, 0.01, 11
 BLOCK_ROWS, LEAF_ROWS = 20_000, 64
 _RESULT = "query_id long, vec_id long, score double"
@@ -120,6 +122,7 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def nearest_neighbours(embeddings: DataFrame, is_query: Column) -> DataFrame:
     """(query_id, rank, vec_id, score) of the K nearest rows of each row that ``is_query`` takes, by Euclidean distance."""
+    bound_batches(embeddings.sparkSession)
     vector = F.col("embedding").cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"), is_query.alias("asked"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorum.llm import textops
-from quorum.llm.common import word_count
+from quorum.llm.common import bound_batches, word_count
 
 BITS, BLOCKS, RADIUS = 128, 16, 40
 BLOCK_RADIUS = RADIUS // BLOCKS
@@ -178,6 +178,7 @@ def benchmark_hits(text: Column, index: Index, context) -> Column:
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits") -> DataFrame:
     """The same rows and columns, and the items that each text holds: (item_id, similarity, start, words), by item."""
+    bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     found = [benchmark_hits(F.col("text"), index, context) for index in indexes(benchmark)]
     return docs.withColumn(name, F.array_sort(F.concat(*found)) if len(found) > 1 else found[0])

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorum.llm.common import bound_batches
 from quorum.llm.textops import mix64
 
 DIMS, GRAM = 512, 3
@@ -121,6 +122,7 @@ def _bundled(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn(docs: DataFrame, accept: Column, rows_per_lang: int = ROWS_PER_LANG) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes of length 1) from a bounded sample of the rows that ``accept`` takes."""
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & accept).select("lang", "doc_id", "text")
     # one row for each language, whose prototypes every executor gets as well
     counts = F.broadcast(rows.groupBy("lang").count().select("lang", (F.lit(float(rows_per_lang)) / F.col("count")).alias("rate")))
@@ -153,6 +155,8 @@ def predict(texts: list[str | None], langs: list[str], prototypes: np.ndarray) -
 def with_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
     """The same rows and columns and ``language``: (lang_pred, score)."""
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

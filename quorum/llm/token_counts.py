@@ -21,6 +21,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorum.llm.common import bound_batches
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MEMO_WORDS = 400_000
@@ -104,6 +106,7 @@ class Counter:
 
 def with_token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], name: str = "n_tokens") -> DataFrame:
     """The same rows and columns and the number of tokens of each text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("long")

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorum.llm.common import bound_batches
 from quorum.llm.textops import mix64
 
 #: Bounds of the training sample, and the shape of the training.
@@ -178,6 +179,7 @@ def train_on(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
 
 def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """The same rows and columns and the score of each text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
