@@ -24,8 +24,8 @@ from quorum.llm.textops import mix64
 
 #: Bounds of the training sample, and the shape of the training.
 TOXIC_ROWS, CLEAN_ROWS = 1_200, 3_600
-EPOCHS, BATCH, RATE, DECAY, EPSILON = 4, 64, 0.05, 0.02, 1e-5
-DRAWS, DRAWN_WORDS, TOXIC_WEIGHT = 8, 12, 4
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY, EPSILON = 6, 1_500, 64, 0.05, 0.02, 1e-5
+DRAWS, DRAWN_WORDS, TOXIC_WEIGHT = 8, 12, 12
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, (3, 4)
 THRESHOLD = 0.3
 #: Factor on the averaged vector: a text has few telling words among many.
@@ -128,8 +128,9 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     rows = list(_bags(texts, np.array(labels), rng))
     p = {"e": rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32), "u": rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), "b": np.zeros(2, np.float32)}
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(rows)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             batch = [rows[i] for i in order[at : at + BATCH]]
