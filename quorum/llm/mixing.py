@@ -54,8 +54,9 @@ def _paced(sized: DataFrame, seed: int) -> DataFrame:
     if sources.count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
     rows = sized.join(known.withColumnRenamed("source", "known"), F.col("source").eqNullSafe(F.col("known"))).drop("known")
-    rows = rows.withColumn("shuffled", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    rows = rows.withColumn("bucket", F.pmod(F.shiftright("shuffled", 8), F.col("buckets")))
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 15)  # 60 bits
+    rows = rows.withColumn("shuffled", F.conv(digits, 16, 10).cast("long"))
+    rows = rows.withColumn("bucket", F.shiftright(F.shiftright("shuffled", 30) * F.col("buckets"), 30))  # ascends with it
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source_no", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))

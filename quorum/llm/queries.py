@@ -138,4 +138,22 @@ ORACLE_SQL = {
         least_of AS (SELECT doc_id, min(other) AS least FROM reached GROUP BY doc_id)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id <= coalesce(least, doc_id) AS kept
         FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)""",
+    "op9_mix": r"""
+        WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+        numbered AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") AS source_no FROM sources),
+        weighed AS (SELECT *, CAST([5, 2, 1][(source_no - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * 2e0 AS most FROM numbered),
+        levels AS (
+          SELECT *, (sum(source_size) OVER () * 1.5e0 - coalesce(sum(most) OVER earlier, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS level
+          FROM weighed WINDOW earlier AS (ORDER BY most / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        targets AS (SELECT *, coalesce(least(most, max(level) FILTER (most / weight >= level) OVER () * weight), most) AS target FROM levels),
+        shuffled AS (
+          SELECT doc_id, size, t.*, CAST(('0x' || substr(md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR))), 1, 15)) AS BIGINT) AS shuffled
+          FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+        paced AS (
+          SELECT *, row_number() OVER () AS k, CAST(sum(size) OVER (PARTITION BY source_no ORDER BY shuffled, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS done FROM shuffled),
+        queue AS (SELECT *, (copy * source_size + done) / weight AS finish_at FROM paced, (VALUES (0), (1)) AS c(copy)),
+        running AS (SELECT *, sum(size) OVER (ORDER BY finish_at, source_no, copy, shuffled, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS words FROM queue)
+        SELECT doc_id, size, source_size, target, CAST(coalesce(sum(size) FILTER (words <= budget), 0) AS BIGINT) AS taken, CAST(count(*) FILTER (words <= budget) AS INT) AS copies, done / weight AS finish
+        FROM running, (SELECT floor(sum(size) * 1.5e0) AS budget FROM sized) GROUP BY k, doc_id, size, source_size, target, done, weight""",
 }
