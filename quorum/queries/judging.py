@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quorum.functions import prompts, verdicts
 from quorum.functions.ids import derived_id
 from quorum.operators import inference, reduce
-from quorum.plans import requests
+from quorum.plans import requests, study
 from quorum.queries.judgments import rounded
 from quorum.sources import records, tables
 from quorum.sources.tables import table
@@ -199,12 +199,30 @@ def study_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("prompt_id", "stratum", F.col("a.response_id").alias("response_a"), F.col("b.response_id").alias("response_b"))
 
 
+def scores_from_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores read from judges' texts, one for each document."""
+    outputs = tables.judge_outputs(spark, sf).select("doc_id", F.col("score_output").alias("output"))
+    return records.response_records(table(spark, sf, "documents").select("doc_id", "source"), outputs, "scalar", "doc_id", 1, 5)
+
+
+def prompt_draw(spark: SparkSession, sf: str) -> DataFrame:
+    """A hundred documents drawn as prompts."""
+    return study.draw_prompts(table(spark, sf, "documents").select(F.col("doc_id").alias("prompt_id"), "text"), 100, PLAN_SEED).select("prompt_id")
+
+
+def generation_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """What would be asked for each benchmark item and arm."""
+    pool = table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_id"), "text")
+    rows = study.generation_tasks(pool, [("strong-0", "m1"), ("strong-1", "m1"), ("weak-0", "m2")], PLAN_SEED)
+    return rows.select("prompt_id", "variant_id", "model", "seed", "response_id", F.md5("prompt").alias("prompt_md5"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         verdict_parse_pairwise, verdict_parse_binary, verdict_parse_scalar, parse_failures, counterbalanced_tasks, prompt_render, derived_ids, prompt_filter_counts, replicate_draw_hash, request_plan,
         plan_gate, plan_gate_summary, primary_selection, incomplete_pairs, resume_antijoin, dry_run, arm_distinctness, exclusion_asymmetry, token_summary, projected_cost, false_alarms,
-        latest_orders, record_problems, records_from_outputs, study_pairs,
+        latest_orders, record_problems, records_from_outputs, study_pairs, scores_from_outputs, prompt_draw, generation_tasks,
     )
 }
 
@@ -292,4 +310,11 @@ ORACLE_SQL = {
         WHERE doc_id < (SELECT count(*) // 4 * 4 FROM documents) GROUP BY ALL)
       SELECT prompt_id, 'gap' AS stratum, 'r' || prompt_id * 4 AS response_a, 'r' || (prompt_id * 4 + 2) AS response_b FROM p
       UNION ALL SELECT prompt_id, 'near-tie', 'r' || prompt_id * 4, 'r' || (prompt_id * 4 + 1) FROM p WHERE s <> t""",
+    "scores_from_outputs": f"""WITH {_found("score_output", "SCORE\\s*:\\s*([+-]?\\d+(?:\\.\\d+)?)", "CAST(x AS DOUBLE)")} SELECT doc_id, source, CASE WHEN len(found) = 1 AND found[1] BETWEEN 1 AND 5 THEN found[1] END AS judgment,
+      {_ERROR.format(more="WHEN found[1] NOT BETWEEN 1 AND 5 THEN 'scale'")} AS parse_error FROM f""",
+    "prompt_draw": f"SELECT doc_id AS prompt_id FROM documents ORDER BY CAST(('0x' || substr(md5(concat_ws('|', '{PLAN_SEED}', 'prompt', CAST(doc_id AS VARCHAR))), 1, 12)) AS BIGINT), doc_id LIMIT 100",
+    "generation_tasks": f"""WITH t AS (SELECT item_id AS prompt_id, text, variant_id, model, CAST(('0x' || substr(md5(concat_ws('|', '{PLAN_SEED}', 'generate', CAST(item_id AS VARCHAR), variant_id)), 1, 12)) AS BIGINT) AS seed
+        FROM benchmark, (VALUES ('strong-0', 'm1'), ('strong-1', 'm1'), ('weak-0', 'm2')) AS a(variant_id, model))
+      SELECT prompt_id, variant_id, model, seed, substr(sha256(prompt_id || chr(31) || '''' || variant_id || '''' || chr(31) || '''' || model || '''' || chr(31) || seed), 1, 24) AS response_id,
+        md5('Write 150 to 350 words in answer to this question.' || {_N} || {_N} || text || {_N}) AS prompt_md5 FROM t""",
 }

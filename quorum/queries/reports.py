@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quorum.functions import power
 from quorum.operators import simulate
-from quorum.plans import compare
+from quorum.plans import compare, study
 from quorum.sources import tables
 
 SEED, DRAWS = 20, {"n_boot": 2_000, "n_perm": 2_000}
@@ -82,11 +82,15 @@ def winners_curse(spark: SparkSession, sf: str) -> DataFrame:
     return best.agg(F.count("*").alias("families"), F.avg("best").alias("best"), (F.avg("best") - 0.1).alias("bias"), F.avg("fixed").alias("fixed"))
 
 
+def simulation_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return study.simulation_gate(spark, 60, 1.0, SEED)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         compare_pairwise_report, compare_scalar_report, compare_binary_report, position_bias_report, verbosity_association_report, verbosity_controlled_report, self_preference_report,
-        non_inferiority_report, power_table, simulated_power, simulated_coverage, simulated_position_bias, winners_curse,
+        non_inferiority_report, power_table, simulated_power, simulated_coverage, simulated_position_bias, winners_curse, simulation_gate,
     )
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -35,6 +35,15 @@ def pairwise_records(tasks: DataFrame, outputs: DataFrame, key: str = "judge_cal
     return rows.withColumn("judgment", F.col("_v.verdict")).withColumn("parse_error", F.col("_v.error")).drop("_v", "_output")
 
 
+def response_records(tasks: DataFrame, outputs: DataFrame, kind: str, key: str = "judge_call_id", low: float | None = None, high: float | None = None) -> DataFrame:
+    """The tasks with the score (kind scalar, between low and high) or the pass or fail (kind binary) of their outputs."""
+    if kind not in ("scalar", "binary") or kind == "scalar" and not (low is not None and high is not None and low < high):
+        raise ValueError("the kind must be binary, or scalar with low below high")
+    rows = tasks.join(outputs.select(key, F.col("output").alias("_output")), key)
+    read = verdicts.binary_verdict(F.col("_output")) if kind == "binary" else verdicts.scalar_verdict(F.col("_output"), low, high)
+    return rows.withColumn("_v", read).withColumn("judgment", F.col("_v.verdict")).withColumn("parse_error", F.col("_v.error")).drop("_v", "_output")
+
+
 def study_pairs(responses: DataFrame, strong: str, weak: str, again: str, excluded: DataFrame) -> DataFrame:
     """(prompt_id, stratum, a, b): for each prompt strong against weak, and strong against a second draw of it.
 
