@@ -16,11 +16,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.functions import distributions
 from quorum.functions.ids import hash_number
+from quorum.functions.recode import SINGLETON
 
 ALTERNATIVES = ("two-sided", "greater", "less")
 #: Up to this many clusters all sign assignments are enumerated.
@@ -133,12 +134,11 @@ def resample(totals: DataFrame, by: Sequence[str], seed: int | Column, alpha: fl
 def _numbered(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adds k, the place of each cluster by name from 0, and c, their number.
 
-    The clusters of a contrast are ranked by their bucket of a hundred or so first, so no task sorts them all.
+    Clusters are ranked among those whose names begin alike, after the counts of the names before them, so that no
+    task sorts all clusters of a contrast.
     """
-    from pyspark.sql import Window
-
     by = list(by)
-    buckets = F.substring("cluster", 1, 12)
+    buckets = F.substring("cluster", 1, len(SINGLETON) + 3)
     rows = totals.withColumn("_bucket", buckets)
     counts = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bucket")
