@@ -28,6 +28,8 @@ EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY, EPSILON = 6, 1_500, 64, 0.05, 0.02, 1e-
 DRAWS, DRAWN_WORDS, TOXIC_WEIGHT = 8, 12, 12
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, (3, 4)
 THRESHOLD = 0.3
+#: One empty bag for so many others in training.
+EMPTY_SHARE = 50
 #: Factor on the averaged vector: a text has few telling words among many.
 SCALE = 40.0
 CHUNK_CHARS = 1 << 18
@@ -126,6 +128,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), 700.0 if 1 in labels else -700.0)
     rng = np.random.default_rng(seed)
     rows = list(_bags(texts, np.array(labels), rng))
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.float32), 0  # a text without known words is clean
+    rows += [nothing] * (len(rows) // EMPTY_SHARE + 1)
     p = {"e": rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32), "u": rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), "b": np.zeros(2, np.float32)}
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(rows)))
