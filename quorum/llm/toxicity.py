@@ -106,7 +106,7 @@ def _bags(texts: list[str], labels: np.ndarray, rng: np.random.Generator) -> Ite
         ids = np.concatenate([buckets[offsets[w] : offsets[w + 1]] for w in chosen]) if len(chosen) else buckets[:0]
         weights = np.repeat(1 / sizes[chosen] / max(len(chosen), 1), sizes[chosen])
         used, place = np.unique(ids, return_inverse=True)
-        return used, np.bincount(place, weights, len(used)).astype(np.float32), label
+        return used.astype(np.int32), np.bincount(place, weights, len(used)).astype(np.float32), label
 
     at = 0
     for run in _runs(texts):
@@ -128,7 +128,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), 700.0 if 1 in labels else -700.0)
     rng = np.random.default_rng(seed)
     rows = list(_bags(texts, np.array(labels), rng))
-    nothing = np.zeros(0, np.int64), np.zeros(0, np.float32), 0  # a text without known words is clean
+    nothing = np.zeros(0, np.int32), np.zeros(0, np.float32), 0  # a text without known words is clean
     rows += [nothing] * (len(rows) // EMPTY_SHARE + 1)
     p = {"e": rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32), "u": rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), "b": np.zeros(2, np.float32)}
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
