@@ -117,7 +117,8 @@ def _bundled(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for lang, row in zip(langs[at : at + len(units)], units):
                 sums[lang] = sums.get(lang, 0) + row
             at += len(units)
-    yield pd.DataFrame({"lang": list(sums), "bundle": [x.tolist() for x in sums.values()]})
+    if sums:  # a partition may be empty
+        yield pd.DataFrame({"lang": list(sums), "bundle": [x.tolist() for x in sums.values()]})
 
 
 def learn(docs: DataFrame, accept: Column, rows_per_lang: int = ROWS_PER_LANG) -> tuple[list[str], np.ndarray]:

@@ -371,6 +371,13 @@ def test_text_vectors_are_sums_of_bound_letters():
     assert np.array_equal(next(langid.text_vectors([text]))[0], want)
 
 
+def test_empty_partitions(spark):
+    docs = documents(spark, [(1, "some words of a text here", "en", "s"), (2, "noch ein Text mit Worten", "de", "t")]).repartition(16)
+    assert langid.with_languages(docs, *langid.learn(docs, F.lit(True))).count() == 2
+    assert near_dedup.near_duplicates(docs).count() == 2
+    assert mixing.mix(docs).count() == 2
+
+
 def test_odd_languages(spark):
     langs, prototypes = langid.learn(odd(spark), F.lit(True))
     rows = langid.with_languages(odd(spark).drop("language"), langs, prototypes).collect()
