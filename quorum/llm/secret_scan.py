@@ -1,15 +1,18 @@
 """Secret scans: a random forest over regex candidates, with DataFrame functions only.
 
-Candidates are long tokens (letters, digits and ``+/_=.-``) with a digit, or tokens after an assignment; a random
-forest on their length, character transitions, dictionary coverage, path and neighbouring words removes the false
-positives. The forest is trained by Spark's own RandomForestClassifier from labelled findings and is then written as
+Candidates are long tokens (letters, digits and ``+/_.-``) with a digit, or what is assigned to a name by ``=``, ``:``,
+``:=`` or ``=>``: any characters but spaces, of any number, with or without a digit, up to the closing quote or, where
+none opens, to a quote, trailing punctuation, or a separator before the next ``name=``. A random forest on their length,
+character transitions, dictionary coverage, path and neighbouring words removes the false positives. The forest is trained by Spark's own RandomForestClassifier from labelled findings and is then written as
 nested CASE expressions, which run inside one pass over the texts: no candidate leaves its document's row.
 
 Labelled findings have (candidate, before, path, label). Without any, ``labelled_findings`` makes LABELLED of them from
 rules: keys in assignments against ids, numbers, addresses, checksums, placeholders and words.
 
 Defined cases: a null text or path is empty; an empty table gives no rows; repeated rows and repeated secrets are all
-reported, each with its place among the candidates of its text; further columns of the input are kept by ``redact``.
+reported, each with its place among the candidates of its text; secrets of fewer than LONG_CHARS characters are masked
+where they stand as words of their own, longer ones wherever they occur; of a quoted value with spaces, the part before
+the first space is the candidate; further columns of the input are kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from pyspark.sql import functions as F
 
 from quorum.llm.common import shared_dir
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.\-])[A-Za-z0-9+/_\-][A-Za-z0-9+/_=.\-]{15,}+"
 BEFORE_CHARS = 48
+#: From this length on, a token needs no assignment, and a secret is masked within other tokens, too.
+LONG_CHARS = 16
 MARK = "[SECRET]"
 THRESHOLD = 0.5
 #: Bounds of the training: labelled findings, trees and their depth.
@@ -33,9 +37,31 @@ LABELLED, TREES, DEPTH = 4_000, 12, 6
 WORDS = "the and for with that from this have your page file path name user test data info blog news mail http https www com org net html json text image index class object string number value list item order report select return import public static void example sample dummy placeholder changeme lorem ipsum version release build config default local host server client service account project module package library system".split()
 NEAR_SECRET = r"(?i)(secret|token|passw|pwd|api.?key|auth|credential|private|bearer|access.?key|signing)"
 NEAR_HARMLESS = r"(?i)(sha\d*|md5|checksum|digest|commit|revision|uuid|guid|etag|hash|integrity|example|sample|dummy|card|phone|order|invoice|isbn)"
+_KEYWORD = NEAR_SECRET.replace("(?i)(", "(?:")
+_ASSIGN = r"(?::=|=>|[=:](?![=:]|//))"
+#: The name that a candidate is assigned to holds a word near secrets.
+NAMED_SECRET = rf"(?i){_KEYWORD}[\w.\-]*[\"'`\])]{{0,2}}\s*(?::=|=>|[=:])\s*[\"'`]?$"
 TEST_PATH = r"(?i)(test|example|sample|doc|fixture|mock|lock|vendor|node_modules)"
 
 
+def _candidate_pattern() -> str:
+    """Group 2 is the candidate, group 3 what stands before it on its line; possessive loops, as texts may be long."""
+    next_name = r"[A-Za-z_][\w.\-]{0,63}=[^\s=]"
+    secret_name = rf"(?i:[\w.\-]{{0,32}}{_KEYWORD}[\w.\-]{{0,32}})[\"']?[=:][^\s=]"
+    quoted = "|".join(rf"(?<={q})(?:[^\s{q}?&]++|[?&](?!{secret_name}))++" for q in "\"'`")
+    marks = r",;.)\]}'>"  # not part of a value that they end
+    bare = rf"(?<![\"'`])(?!{secret_name})(?:[^\s\"`?&|{marks}]++|[?&|](?!{next_name})|[{marks}]++(?![\s\"`]|\z|{next_name}))++"
+    token = r"[A-Za-z0-9+/_.\-]"
+    padding = r"(?:={1,2}(?=[,;)\]}\n\r.]|[\"'`](?:[\s,;)\]}]|\z)|\z)|==(?=\s))?"
+    long = rf"(?=[A-Za-z+/_.\-]*+[0-9])(?!\.){token}{{{LONG_CHARS},}}+{padding}"
+    assigned = rf"(?<=[\p{{L}}_][0-9]{{0,4}}[\"'`\])]{{0,2}}[ \t]{{0,4}}){_ASSIGN}[ \t]{{0,8}}(?:[(\[{{<]{{1,3}}(?=[\"'`]))?[\"'`]?()"
+    before = rf"(?:[^\n]{{{BEFORE_CHARS}}}|(?<![^\n])[^\n]{{0,{BEFORE_CHARS - 1}}})"
+    return rf"(?:{assigned}|(?<!{token}))(?=(\1(?:{quoted}|{bare})|{long}))(?<=({before}))\2"
+
+
+CANDIDATE = _candidate_pattern()
+
+
 def features(candidate: Column, before: Column, path: Column) -> dict[str, Column]:
     """The forest's inputs, by name."""
     n = F.length(candidate)
@@ -55,7 +81,8 @@ def features(candidate: Column, before: Column, path: Column) -> dict[str, Colum
         "dots": share(r"\."),
         "near_secret": flag(before, NEAR_SECRET),
         "near_harmless": flag(before, NEAR_HARMLESS),
-        "assigned": flag(before, r"[=:]\s*[\"']?$"),
+        "named_secret": flag(before, NAMED_SECRET),
+        "assigned": flag(before, r"[=:]>?\s*[\"']?$"),
         "quoted": flag(before, r"[\"']$"),
         "test_path": flag(path, TEST_PATH),
     }
@@ -71,6 +98,16 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     base64 = F.regexp_replace(F.base64(F.unhex(F.substr("seed", F.lit(40), F.lit(60)))), "=", "")
     key = F.when(draw(7, 10) < 5, hexes).when(draw(7, 10) < 6, F.upper(hexes)).otherwise(base64)
     key = F.when(draw(13, 12) == 0, F.concat(one(19, "sk_live_", "ghp_", "AKIA", "xoxb-", "glpat-"), base64)).otherwise(key)
+    short = lambda at, least, most, of: F.translate(F.substr("seed", F.lit(at), (draw(at + 20, most - least + 1) + least).cast("int")), "0123456789abcdef", of)
+    typed = F.concat(F.initcap(one(80, *WORDS)), one(84, "", "4", "0u", "er", "x!"), (draw(88, 9_000) + 10).cast("string"), one(92, "", "!", "#", "&3", "$"))
+    password = one(96, 0, 1, 2, 3)
+    password = (
+        F.when(password == 0, short(70, 8, 14, "0!3a5@dT8#rGk&uQ"))  # digits, letters and marks
+        .when(password == 1, short(72, 8, 20, "kqzXvTbRwMnpLhGs"))  # letters
+        .when(password == 2, short(74, 8, 16, "kaz-vobRw!nePuGi"))
+        .otherwise(typed)
+    )
+    key = F.when(draw(100, 4) == 0, password).otherwise(key)
     name = one(25, "token", "api_key", "secret", "password", "auth_token", "access_key", "private_key", "TOKEN", "client_secret")
     lead = F.concat(one(31, "", "the of and ", "export ", "config: ", "und die ", "que la "), name, one(37, ' = "', "=", ": ", ' = "', " = '", ' : "'))
     digits = F.substr(F.regexp_replace("seed", "[^0-9]", ""), F.lit(1), F.lit(16))
@@ -87,6 +124,16 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         .when(kind == 6, F.struct(F.repeat(one(55, "x", "0", "*", "1"), F.lit(32)).alias("c"), lead.alias("b")))
         .otherwise(F.struct(F.concat(word, word).alias("c"), one(49, "la ", "of the ", 'name = "').alias("b")))
     )
+    plain = one(104, "color", "title", "name", "city", "version", "width", "mode", "page", "author", "und", "note")
+    plain = F.concat(one(31, "", "the of and ", "export ", "config: ", "und die ", "que la "), plain, one(37, ' = "', "=", ": ", ' = "', " = '", ' : "'))
+    assigned = draw(108, 4)
+    assigned = (
+        F.when(assigned == 0, F.struct(password.alias("c"), plain.alias("b")))
+        .when(assigned == 1, F.struct(one(80, *WORDS).alias("c"), F.when(draw(84, 2) == 0, plain).otherwise(lead).alias("b")))
+        .when(assigned == 2, F.struct(F.substr(digits, F.lit(1), (draw(84, 5) + 1).cast("int")).alias("c"), F.when(draw(90, 2) == 0, plain).otherwise(lead).alias("b")))
+        .otherwise(F.struct(one(84, "true", "false", "null", "None", "required", "string", "changeme", "${TOKEN}", "<token>", "********", "xxxxxxxx", "os.environ", "{", "[", "$1", "it", "a").alias("c"), lead.alias("b")))
+    )
+    harmless = F.when(draw(112, 3) == 0, assigned).otherwise(harmless)
     secret = F.col("id") % 2 == 0
     path = one(61, "src/app.py", "web/settings.ini", "docs/readme.md", "tests/fixture.json", "src0", "src7", "")
     return rows.select(
@@ -133,15 +180,13 @@ def forest_score(forest: list, named) -> Column:
 
 
 def with_findings(docs: DataFrame, forest: list, name: str) -> DataFrame:
-    """Adds an array of the (place, before, candidate, score) of every candidate with a digit; place counts candidates from 1."""
+    """Adds an array of the (place, before, candidate, score) of every candidate, null if there is none; place counts from 1."""
     text, path = F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
     tokens = F.col(f"{name}_tokens")
-    out = docs.withColumn(f"{name}_tokens", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    between = F.split(text, CANDIDATE)  # one more than tokens: what stands before each of them, and the rest
-    before = F.transform(between, lambda x: F.regexp_extract(F.substr(x, F.greatest(F.lit(1), F.length(x) - BEFORE_CHARS + 1)), r"[^\n]*$", 0))
-    found = F.transform(tokens, lambda x, i: F.struct((i + 1).alias("place"), F.get(before, i).alias("before"), x.alias("candidate")))
-    found = F.filter(found, lambda x: x["candidate"].rlike("[0-9]"))
-    out = out.withColumn(name, F.when(F.exists(tokens, lambda x: x.rlike("[0-9]")), found))
+    out = docs.withColumn(f"{name}_tokens", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(2)))
+    before = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(3))
+    found = F.transform(F.arrays_zip(tokens.alias("candidate"), before.alias("before")), lambda x, i: F.struct((i + 1).alias("place"), x["before"].alias("before"), x["candidate"].alias("candidate")))
+    out = out.withColumn(name, F.when(F.size(tokens) > 0, found))
     keep = lambda x: [x[k].alias(k) for k in ("place", "before", "candidate")]
     seen = F.transform(name, lambda x: F.struct(*keep(x), F.struct(*[c.alias(k) for k, c in features(x["candidate"], x["before"], path).items()]).alias("f")))
     return out.withColumn(name, F.transform(seen, lambda x: F.struct(*keep(x), forest_score(forest, x["f"]).alias("score")))).drop(f"{name}_tokens")
@@ -160,7 +205,9 @@ def redact(docs: DataFrame, forest: list, threshold: float = THRESHOLD) -> DataF
     rows = with_findings(docs, forest, name)
     secrets = F.transform(F.filter(name, lambda x: x["score"] >= threshold), lambda x: x["candidate"])
     rows = rows.withColumn(name, F.array_sort(F.array_distinct(secrets), lambda a, b: F.length(b) - F.length(a)))  # a secret may hold another
-    text = F.when(F.size(name) > 0, F.aggregate(name, F.col("text"), lambda t, s: F.replace(t, s, F.lit(MARK)))).otherwise(F.col("text"))
+    word = lambda s: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
+    masked = lambda t, s: F.when(F.length(s) >= LONG_CHARS, F.replace(t, s, F.lit(MARK))).otherwise(F.regexp_replace(t, word(s), F.lit(MARK)))
+    text = F.when(F.size(name) > 0, F.aggregate(name, F.col("text"), masked)).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

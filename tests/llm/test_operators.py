@@ -197,6 +197,40 @@ def test_redaction(spark, forest):
     assert secret_scan.redact(odd(spark), forest).count() == 9 and secret_scan.scan(empty(spark), forest).count() == 0
 
 
+def test_candidates_are_assigned_values_and_long_tokens(spark):
+    texts = {
+        f"TOKEN={HEX}": [("TOKEN=", HEX)],
+        'aws_secret_access_key = "wJalrXUtnFEMI/K7MDENG"': [('aws_secret_access_key = "', "wJalrXUtnFEMI/K7MDENG")],
+        'password = "Tr0ub4dor&3"': [('password = "', "Tr0ub4dor&3")],
+        "a\npasswd: hunter, x": [("passwd: ", "hunter")],
+        f"url=https://x.com/?token={HEX}&u=b": [("url=", "https://x.com/"), (f"url=https://x.com/?token=", HEX), (f"oken={HEX}&u=", "b")],
+        f"env:MY_TOKEN={HEX}": [("env:MY_TOKEN=", HEX)],
+        f'{{"api_key":"{HEX}", "n": ["{HEX}"]}}': [('{"api_key":"', HEX), (f'{{"api_key":"{HEX}", "n": ["'[-48:], HEX)],
+        "std::string a == b at 12:30, https://x.com/a != c": [],
+        f"somewhatlongerwordsstand before {HEX}": [("somewhatlongerwordsstand before ", HEX)],
+        "a=dGVzdA==": [("a=", "dGVzdA==")],
+    }
+    rows = documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
+    found = {r["doc_id"]: [(h["before"], h["candidate"]) for h in r["f"] or []] for r in secret_scan.with_findings(rows, [0.0], "f").collect()}
+    assert found == dict(enumerate(texts.values()))
+
+
+def test_assigned_secrets_are_found(spark, forest):
+    secrets = [(f"TOKEN={HEX}", HEX), (f'aws_secret_access_key = "{HEX}"', HEX), ("api_key=sk_live_" + HEX[:24], "sk_live_" + HEX[:24]), ('password = "Tr0ub4dor&3"', "Tr0ub4dor&3"), ("DB_PASSWORD=kGwXvTbqRzMn", "kGwXvTbqRzMn")]
+    harmless = ["title: Tr0ub4dor&3", "password: required", "max_tokens = 100", "the token expires at: 12", "color = blue", "n: 5", "https://x.com/a"]
+    rows = documents(spark, [(k, t, "en", "src1") for k, t in enumerate([t for t, _ in secrets] + harmless)])
+    assert {(r["doc_id"], r["secret"]) for r in secret_scan.scan(rows, forest).collect()} == {(k, s) for k, (_, s) in enumerate(secrets)}
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(rows, forest).collect()}
+    assert all(masked[k] == t.replace(s, "[SECRET]") for k, (t, s) in enumerate(secrets))
+    assert [masked[len(secrets) + k] for k in range(len(harmless))] == harmless
+
+
+def test_long_runs_do_not_overflow(spark, forest):
+    texts = ["a=" + "x,." * 50_000, "a=b" * 50_000, "a=" + "." * 50_000, "k=\"" + "?&" * 50_000, "y" * 100_000, "1" * 100_000]
+    assert secret_scan.redact(documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]), forest).count() == len(texts)
+    assert secret_scan.scan(documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]), forest).count() >= 0
+
+
 # --- near duplicates
 
 
