@@ -42,6 +42,19 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert docs.count() > 0 and {"doc_id", "taken"} <= set(docs.columns)
 
 
+def test_pipeline_judges_near_copies_by_row(spark, sf):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(1, text(1)), (None, text(1)), (None, text(2)), (None, text(3)), (None, text(3) + " more"), (2, text(4)), (2, text(1)), (3, text(5)), (3, text(5)), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    third = [x for x in found if x[1] in (text(3), text(3) + " more")]
+    assert len(third) == 1 and third[0][0] is None
+    want = [(1, text(1)), (None, text(2)), (2, text(4)), (3, text(5)), (None, None), (None, None)]
+    assert sorted((x for x in found if x not in third), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_takes_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
