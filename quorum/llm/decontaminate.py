@@ -11,8 +11,10 @@ Only windows that hold a shingle of an item of their size are fingerprinted: oth
 none can be verified. At a similarity of 0.75 SimHash fingerprints are about 22 of 128 bits apart (standard deviation
 4.3), and about 64 where nothing is shared; RADIUS = 40 lies four standard deviations from either.
 
-The items are read by the driver in slices of at most INDEX_WORDS words, each of which becomes an index of bounded
-size; the texts pass through all slices. Defined cases: texts and items that are null or have no word match nothing;
+The items are read by the driver in slices of about INDEX_WORDS words, each of which becomes an index. One index is held
+at a time: where there are several, the rows are numbered and kept, and each slice's hits are written before the next is
+read. Defined cases: texts and items that are null or have no word match nothing; items with a null item_id are left
+out, or with ``null_ids`` matched by text like others, each distinct text an item, with a null in the hit;
 an item of fewer than five words is one shingle; a text shorter than an item is one window; an item that occurs
 several times in a text counts once, at its most similar and then first place; repeated rows are treated alike; an
 empty table gives no rows; all columns of the input are kept.
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorum.llm import textops
-from quorum.llm.common import bound_batches, word_count
+from quorum.llm.common import bound_batches, cut, word_count
 
 BITS, BLOCKS, RADIUS = 128, 16, 40
 BLOCK_RADIUS = RADIUS // BLOCKS
@@ -61,15 +63,15 @@ def fingerprints(grams: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray
 class Index:
     """The items of a slice by their number of words, with their shingles and Hamming blocks."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.sizes: dict[int, dict] = {}
         anchors: dict[int, set[tuple[int, int]]] = defaultdict(set)
         by_size = defaultdict(list)
-        for item_id, text in items:
+        for k, (item_id, text) in enumerate(items):
             run, = (r for _, r in textops.chunks([text]))
             words, _ = textops.word_hashes(run)
             if len(words):
-                by_size[len(words)].append((item_id, words))
+                by_size[len(words)].append(((item_id is None, k if item_id is None else item_id), words))
         for size, members in sorted(by_size.items()):
             grams = [_grams(w, size) for _, w in members]
             prints = np.concatenate([fingerprints(g, np.zeros(1, np.int64), len(g)) for g in grams])
@@ -150,23 +152,18 @@ class Index:
                     for items_size, places in sizes.items():
                         self._windows(own, items_size, places, out[t])
             for best in out:
-                yield [(item, s, start, size) for (item, size), (s, start) in sorted(best.items())]
+                yield [(None if unnamed else item, s, start, size) for ((unnamed, item), size), (s, start) in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """An index for each slice of the items."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    total = rows.agg(F.coalesce(F.sum(word_count(F.col("text"))), F.lit(0)).alias("n")).first()["n"]
-    slices = max(1, -(-total // INDEX_WORDS))
-    out = []
-    for k in range(slices):
-        own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).dropDuplicates().orderBy("item_id", "text")
-        out.append(Index([(r["item_id"], r["text"]) for r in own.collect()]))
-    return out
+def _slice_index(items: DataFrame, k: int, slices: int) -> Index:
+    """The index of the k-th slice of the items; rows of an item_id share a slice."""
+    dealt = F.xxhash64(F.coalesce("item_id", F.xxhash64("text")))
+    own = items.where(F.pmod(dealt, F.lit(slices)) == k).dropDuplicates().orderBy("item_id", "text")
+    return Index([(r["item_id"], r["text"]) for r in own.collect()])
 
 
-def benchmark_hits(text: Column, index: Index, context) -> Column:
-    shared = context.broadcast(index)
+def benchmark_hits(text: Column, shared) -> Column:
+    """The hits of each text in a broadcast index."""
 
     @F.pandas_udf(_HITS)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -176,9 +173,24 @@ def benchmark_hits(text: Column, index: Index, context) -> Column:
     return find(text)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits") -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", null_ids: bool = False) -> DataFrame:
     """The same rows and columns, and the items that each text holds: (item_id, similarity, start, words), by item."""
     bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    found = [benchmark_hits(F.col("text"), index, context) for index in indexes(benchmark)]
-    return docs.withColumn(name, F.array_sort(F.concat(*found)) if len(found) > 1 else found[0])
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & (F.col("item_id").isNotNull() | F.lit(null_ids)))
+    total = items.agg(F.coalesce(F.sum(word_count(F.col("text"))), F.lit(0)).alias("n")).first()["n"]
+    slices = max(1, -(-total // INDEX_WORDS))
+    if slices == 1:
+        return docs.withColumn(name, benchmark_hits(F.col("text"), context.broadcast(_slice_index(items, 0, 1))))
+    row = f"{name}_row"
+    docs = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = None
+    for k in range(slices):
+        shared = context.broadcast(_slice_index(items, k, slices))
+        part = cut(docs.select(row, benchmark_hits(F.col("text"), shared).alias(name)))
+        shared.destroy()
+        del shared
+        part = part.select(row, F.explode(name).alias(name))
+        found = part if found is None else found.union(part)
+    found = found.groupBy(row).agg(F.array_sort(F.collect_list(name)).alias(name))
+    return docs.join(found, row, "left").select(*docs.drop(row).columns, F.coalesce(name, F.array().cast(_HITS)).alias(name))

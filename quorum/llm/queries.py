@@ -55,7 +55,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("hits").alias("hit"))
+    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), null_ids=True).select("doc_id", F.explode("hits").alias("hit"))
     return found.select("doc_id", "hit.*")
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import weakref
 import zlib
 from collections import Counter
 
@@ -381,6 +382,25 @@ def test_odd_documents_hold_no_item(spark):
     assert decontaminate.with_hits(empty(spark), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("words", [5, 200_000])
+def test_items_with_null_ids_are_matched_by_text(spark, monkeypatch, words):
+    monkeypatch.setattr(decontaminate, "INDEX_WORDS", words)
+    alive, most = weakref.WeakSet(), []
+
+    def counted(self, items, make=decontaminate.Index.__init__):
+        make(self, items)
+        alive.add(self)
+        most.append(len(alive))
+
+    monkeypatch.setattr(decontaminate.Index, "__init__", counted)
+    items = [(None, "one two three four five six"), (None, "seven eight nine ten eleven twelve"), (None, None), (7, "one two three four five six"), (7, "a b c d e f g")]
+    rows = documents(spark, [(1, "x one two three four five six y", "en", "s"), (None, f"{items[1][1]} and {items[0][1]}", "en", "s"), (2, "clean", "en", "s"), (3, None, "en", "s"), (2, "clean", "en", "s")])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = sorted((str(r["doc_id"]), sorted(str(h["item_id"]) for h in r["h"])) for r in decontaminate.with_hits(rows, benchmark, "h", null_ids=True).collect())
+    assert found == [("1", ["7", "None"]), ("2", []), ("2", []), ("3", []), ("None", ["7", "None", "None"])]
+    assert max(most) == 1 and (len(most) > 1) == (words == 5)
+
+
 # --- languages
 
 
