@@ -9,6 +9,11 @@ SINGLETON = "__singleton__:"
 JUDGMENTS = ("first", "second", "tie")
 
 
+def settled(average: Column) -> Column:
+    """Nine digits and no negative zero: averages of averages differ in their last digits with the order of summation."""
+    return F.round(average, 9) + F.lit(0.0)
+
+
 def cluster_key(document: str = "source_doc_id", item: str = "item_id") -> Column:
     """The source document, or the item alone where there is none."""
     return F.coalesce(F.nullif(F.col(document).cast("string"), F.lit("")), F.concat(F.lit(SINGLETON), F.col(item).cast("string")))

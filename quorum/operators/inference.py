@@ -1,13 +1,9 @@
 """One inference engine for all contrasts: cluster-robust t, cluster bootstrap and cluster sign-flip test.
 
 Items are summed up by cluster first, so that everything after works on (by, cluster, total, size). The closed-form
-parts are DataFrame aggregations. Resampling has two modes:
-
-- ``resample``: numpy on the executors, a task for each contrast, PCG64 streams in the order bootstrap, then signs,
-  clusters sorted by name. The draws are made in blocks of rows, so memory grows with the clusters of one contrast
-  and not with the number of draws.
-- ``bootstrap_by_hash`` and ``sign_flip_by_hash``: relational, with counter-based random numbers from MD5. They are
-  the same on any partitioning and need no task to see a whole contrast, so they take any number of clusters.
+parts are DataFrame aggregations. Resampling draws counter-based random numbers: each depends on nothing but the seed,
+the draw and the cluster's name or place, so results are the same on any partitioning and no task sees a whole contrast.
+Only sums by draw are shuffled.
 """
 
 from __future__ import annotations
@@ -20,14 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.functions import distributions
-from quorum.functions.ids import hash_number
-from quorum.functions.recode import SINGLETON
+from quorum.functions.ids import hash_number, mixed_numbers
+from quorum.functions.recode import settled
 
 ALTERNATIVES = ("two-sided", "greater", "less")
 #: Up to this many clusters all sign assignments are enumerated.
 ENUMERATE = 13
-#: Numbers drawn at a time.
-BLOCK = 2_000_000
+#: Clusters whose totals a task holds at a time, and numbers that it draws at a time.
+BLOCK_CLUSTERS, DRAWN = 4_096, 2_000_000
+#: Signs that one hash gives.
+SIGN_BITS = 48
 #: Clusters below which intervals are unreliable, and below which the analytic interval is the primary one.
 FEW_CLUSTERS, ANALYTIC_BELOW = 20, 50
 
@@ -42,7 +40,7 @@ def cluster_totals(items: DataFrame, by: Sequence[str], value: str = "d") -> Dat
 def cluster_robust(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, n_items, n_clusters, estimate, se, t_stat, df, degenerate) from cluster totals; se and t are NaN for one cluster."""
     means = totals.groupBy(*by).agg(
-        F.sum("size").alias("n_items"), F.count("*").alias("n_clusters"), (F.sum("total") / F.sum("size")).alias("estimate"), (F.min("low") == F.max("high")).alias("degenerate")
+        F.sum("size").alias("n_items"), F.count("*").alias("n_clusters"), (F.sum("total") / F.sum("size")).alias("estimate"), (settled(F.min("low")) == settled(F.max("high"))).alias("degenerate")
     )
     squares = totals.join(means, list(by)).groupBy(*by).agg(F.sum(F.pow(F.col("total") - F.col("size") * F.col("estimate"), 2)).alias("squares"))
     rows = means.join(squares, list(by))
@@ -85,94 +83,110 @@ def cluster_sizes(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     return totals.groupBy(*by, "size").agg(F.count("*").alias("n_clusters"))
 
 
-def _p_value(draws: np.ndarray, seen: float, alternative: str) -> np.ndarray:
-    return np.abs(draws) >= abs(seen) if alternative == "two-sided" else draws >= seen if alternative == "greater" else draws <= seen
-
-
-def run_engine(total: np.ndarray, size: np.ndarray, seed: int, alpha: float = 0.05, n_boot: int = 10_000, n_perm: int = 10_000, alternative: str = "two-sided") -> dict:
-    """Bootstrap interval and sign-flip p-value from the totals and sizes of clusters sorted by name."""
-    if n_boot < 2 or n_perm < 1:
-        raise ValueError("at least two bootstrap draws and one sign draw are needed")
-    rng = np.random.Generator(np.random.PCG64(seed))
-    c, n = len(total), size.sum()
-    rows = max(1, BLOCK // max(c, 1))
-    means = []
-    for at in range(0, n_boot, rows):
-        drawn = rng.integers(0, c, size=(min(rows, n_boot - at), c))
-        means.append(total[drawn].sum(axis=1) / size[drawn].sum(axis=1))
-    boot = np.concatenate(means)
-    low, high = np.quantile(boot, [alpha / 2, 1 - alpha / 2])
-    hits = 0
-    # the same product for every assignment, so that the identity gives exactly the observed value
-    product = lambda signs: (signs * total).sum(axis=1) / n
-    seen = float(product(np.ones((1, c)))[0])
-    if c <= ENUMERATE:
-        bits = (np.arange(2**c)[:, None] >> np.arange(c)) & 1
-        p, method = float(_p_value(product(2.0 * bits - 1), seen, alternative).mean()), "sign-flip-exact"
-    else:
-        for at in range(0, n_perm, rows):
-            signs = 2.0 * rng.integers(0, 2, size=(min(rows, n_perm - at), c)) - 1
-            hits += int(_p_value(product(signs), seen, alternative).sum())
-        p, method = (1 + hits) / (n_perm + 1), "sign-flip-mc"
-    return {"boot_low": float(low), "boot_high": float(high), "boot_se": float(np.std(boot, ddof=1)), "flip_p": p, "flip_method": method}
-
-
-def resample(totals: DataFrame, by: Sequence[str], seed: int | Column, alpha: float = 0.05, n_boot: int = 10_000, n_perm: int = 10_000, alternative: str = "two-sided") -> DataFrame:
-    """(by, boot_low, boot_high, boot_se, flip_p, flip_method): ``run_engine`` on each contrast, with its own seed."""
-    by = list(by)
-    rows = totals.select(*by, F.col("cluster").alias("_cluster"), F.col("total").alias("_total"), F.col("size").alias("_size"), (seed if isinstance(seed, Column) else F.lit(seed)).cast("long").alias("_seed"))
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by] + ["boot_low double", "boot_high double", "boot_se double", "flip_p double", "flip_method string"])
-
-    def contrast(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_cluster")  # by code point
-        out = run_engine(part["_total"].to_numpy(float), part["_size"].to_numpy(np.int64), int(part["_seed"].iloc[0]), alpha, n_boot, n_perm, alternative)
-        return pd.DataFrame([{**{c: part[c].iloc[0] for c in by}, **out}])
-
-    return rows.groupBy(*by).applyInPandas(contrast, schema)
-
-
 def _numbered(totals: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Adds k, the place of each cluster by name from 0, and c, their number.
+    """Adds _place, that of each cluster by the MD5 of its name from 0, and _clusters, their number.
 
-    Clusters are ranked among those whose names begin alike, after the counts of the names before them, so that no
-    task sorts all clusters of a contrast.
+    Clusters are ranked among those whose MD5 begins alike, after the counts of those before them, so that no task sorts
+    all clusters of a contrast.
     """
     by = list(by)
-    buckets = F.substring("cluster", 1, len(SINGLETON) + 3)
-    rows = totals.withColumn("_bucket", buckets)
+    rows = totals.withColumn("_md5", F.md5("cluster")).withColumn("_bucket", F.substring("_md5", 1, 3))
     counts = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_bucket")
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("c", F.sum("_n").over(Window.partitionBy(*by)))
-    within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("cluster"))
-    return rows.join(counts, [*by, "_bucket"]).withColumn("k", within - 1 + F.col("_before")).drop("_bucket", "_n", "_before")
+    before = Window.partitionBy(*by).orderBy("_bucket")  # 4,096 buckets at most
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_clusters", F.sum("_n").over(Window.partitionBy(*by)))
+    within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_md5", "cluster"))
+    return rows.join(counts, [*by, "_bucket"]).withColumn("_place", within - 1 + F.col("_before")).drop("_md5", "_bucket", "_n", "_before")
+
 
+def block_draws(c: int, block: int, n_boot: int, seed: int) -> np.ndarray:
+    """How many of the c draws of each replicate fall into a block of clusters: a multinomial law, split in halves.
 
-def bootstrap_by_hash(totals: DataFrame, by: Sequence[str], seed: int, alpha: float = 0.05, n_boot: int = 1_000) -> DataFrame:
-    """(by, boot_low, boot_high, boot_se): cluster bootstrap, every slot of every draw by hash."""
+    Every block on a half's way down sees the same split, as it is drawn from the seed and the half alone.
+    """
+    low, high = 0, -(-c // BLOCK_CLUSTERS)
+    draws = np.full(n_boot, c, np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        first = (middle - low) * BLOCK_CLUSTERS
+        whole = min(high * BLOCK_CLUSTERS, c) - low * BLOCK_CLUSTERS
+        left = np.random.default_rng([seed, low, high]).binomial(draws, first / whole)
+        low, high, draws = (low, middle, left) if block < middle else (middle, high, draws - left)
+    return draws
+
+
+def _block_sums(total: np.ndarray, size: np.ndarray, c: int, block: int, n_boot: int, seed: int) -> pd.DataFrame:
+    """(replicate, sum, items) of the clusters of a block, sorted by their place, that each replicate draws."""
+    draws = block_draws(c, block, n_boot, seed)
+    ends = np.cumsum(draws)
+    totals, sizes = np.zeros(n_boot), np.zeros(n_boot, np.int64)
+    first = 0
+    while first < n_boot:
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + DRAWN, side="right")))
+        own = np.arange(first, last)
+        b = np.repeat(own, draws[first:last])
+        slot = np.arange(len(b)) - np.repeat(np.cumsum(draws[first:last]) - draws[first:last], draws[first:last])
+        at = mixed_numbers(seed, block, b, slot) % len(total)
+        totals[first:last] = np.bincount(b - first, total[at], last - first)
+        sizes[first:last] = np.bincount(b - first, size[at], last - first).astype(np.int64)
+        first = last
+    return pd.DataFrame({"_b": np.arange(n_boot), "_sum": totals, "_drawn": sizes})
+
+
+def bootstrap(totals: DataFrame, by: Sequence[str], seed: int | Column, alpha: float = 0.05, n_boot: int = 10_000) -> DataFrame:
+    """(by, boot_low, boot_high, boot_se): cluster bootstrap, in blocks of BLOCK_CLUSTERS clusters.
+
+    A replicate draws as many clusters as there are, with replacement; a block's share of them follows the multinomial
+    law, and within a block each draw is a hash of seed, block, replicate and slot. Blocks give sums by replicate.
+    """
+    if n_boot < 2:
+        raise ValueError("at least two bootstrap draws are needed")
     by = list(by)
-    rows = _numbered(totals, by)
-    draws = rows.select(*by, F.col("k").alias("slot"), "c", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    draws = draws.select(*by, "b", (hash_number(seed, "boot", F.col("b"), F.col("slot")) % F.col("c")).alias("k"))
-    taken = draws.groupBy(*by, "b", "k").agg(F.count("*").alias("times"))  # a cluster drawn again is joined once
-    means = taken.join(rows.select(*by, "k", "total", "size"), [*by, "k"]).groupBy(*by, "b").agg((F.sum(F.col("total") * F.col("times")) / F.sum(F.col("size") * F.col("times"))).alias("mean"))
-    edges = means.groupBy(*by).agg(F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("edges"), F.stddev_samp("mean").alias("boot_se"))
+    rows = _numbered(totals, by).select(*by, (F.col("_place") / BLOCK_CLUSTERS).cast("long").alias("_block"), "_place", "_clusters", F.col("total").alias("_total"), F.col("size").alias("_size"), _seed(seed).alias("_seed"))
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by] + ["_b long", "_sum double", "_drawn long"])
+
+    def sums(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_place")
+        one = part.iloc[0]
+        out = _block_sums(part["_total"].to_numpy(float), part["_size"].to_numpy(np.int64), int(one["_clusters"]), int(one["_block"]), n_boot, int(one["_seed"]))
+        return pd.concat([pd.DataFrame({c: [one[c]] * len(out) for c in by}), out], axis=1)
+
+    drawn = rows.groupBy(*by, "_block").applyInPandas(sums, schema)
+    means = drawn.groupBy(*by, "_b").agg((F.sum("_sum") / F.sum("_drawn")).alias("_mean"))
+    edges = means.groupBy(*by).agg(F.percentile("_mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("edges"), F.stddev_samp("_mean").alias("boot_se"))
     return edges.select(*by, F.get("edges", F.lit(0)).alias("boot_low"), F.get("edges", F.lit(1)).alias("boot_high"), "boot_se")
 
 
+def _seed(seed: int | Column) -> Column:
+    return (seed if isinstance(seed, Column) else F.lit(seed)).cast("long")
+
+
 def _hit(drawn: Column, seen: Column, alternative: str) -> Column:
     slack = 1e-9  # sums in another order differ in their last digits
     return F.abs(drawn) >= F.abs(seen) - slack if alternative == "two-sided" else drawn >= seen - slack if alternative == "greater" else drawn <= seen + slack
 
 
-def sign_flip_by_hash(totals: DataFrame, by: Sequence[str], seed: int, n_perm: int = 1_000, alternative: str = "two-sided") -> DataFrame:
-    """(by, flip_p): Monte Carlo sign flips, every sign of every draw by hash."""
+def sign_flip_by_hash(totals: DataFrame, by: Sequence[str], seed: int | Column, n_perm: int = 10_000, alternative: str = "two-sided") -> DataFrame:
+    """(by, flip_p): Monte Carlo sign flips; a hash of seed and cluster gives the signs of SIGN_BITS draws."""
+    if n_perm < 1:
+        raise ValueError("at least one sign draw is needed")
     by = list(by)
-    rows = _numbered(totals, by)
-    signs = rows.select(*by, "total", "k", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("b"))
-    sums = signs.groupBy(*by, "b").agg(F.sum(F.col("total") * (2 * (hash_number(seed, "flip", F.col("b"), F.col("k")) % 2) - 1)).alias("drawn"), F.sum("total").alias("seen"))
+    chunks = totals.select(*by, "cluster", "total", _seed(seed).alias("_seed"), F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // SIGN_BITS))).alias("_chunk"))
+    bits = chunks.select(*by, "total", "_chunk", hash_number(F.col("_seed"), "flip", F.col("_chunk"), F.col("cluster")).alias("_bits"))
+    ends = F.least(F.lit(SIGN_BITS), F.lit(n_perm) - F.col("_chunk") * SIGN_BITS) - 1
+    signs = bits.select(*by, "total", "_chunk", "_bits", F.explode(F.sequence(F.lit(0), ends)).alias("_bit"))
+    sign = 2 * F.getbit("_bits", F.col("_bit")).cast("int") - 1
+    sums = signs.groupBy(*by, "_chunk", "_bit").agg(F.sum(F.col("total") * sign).alias("drawn"), F.sum("total").alias("seen"))
     return sums.groupBy(*by).agg(((F.count_if(_hit(F.col("drawn"), F.col("seen"), alternative)) + 1) / F.lit(n_perm + 1)).alias("flip_p"))
 
 
+def sign_flips(totals: DataFrame, by: Sequence[str], seed: int | Column, n_perm: int = 10_000, alternative: str = "two-sided") -> DataFrame:
+    """(by, flip_p, flip_method): exact for contrasts with at most ENUMERATE clusters, Monte Carlo for the others."""
+    by = list(by)
+    many = totals.groupBy(*by).agg(F.count("*").alias("_c")).where(F.col("_c") > ENUMERATE).select(*by)
+    exact = sign_flip_exact(totals, by, alternative).select(*by, "flip_p", F.lit("sign-flip-exact").alias("flip_method"))
+    return exact.unionByName(sign_flip_by_hash(totals.join(many, by, "left_semi"), by, seed, n_perm, alternative).withColumn("flip_method", F.lit("sign-flip-mc")))
+
+
 def sign_flip_exact(totals: DataFrame, by: Sequence[str], alternative: str = "two-sided") -> DataFrame:
     """(by, n_clusters, flip_p) over all sign assignments of contrasts with at most ENUMERATE clusters."""
     by = list(by)

@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.functions import recode
 
 
+#: Ids that a warning names at most.
+NAMED_IDS = 8
+
+
 def _ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cluster", recode.cluster_key()).withColumn("item_id", F.col("item_id").cast("string"))
 
@@ -100,15 +104,21 @@ def reduce_pairwise(judgments: DataFrame, a: str, b: str, by: Sequence[str] = ()
     return items.withColumn("d", 2 * F.col("s") - 1)
 
 
-def order_balanced(judgments: DataFrame, code: Column, by: Sequence[str] = ()) -> DataFrame:
-    """(by, item_id, cluster, g, d, n_pairs, n_single_order, n_calls, n_ties) from a recode of each call to 0..1 or null.
+def balanced_pairs(judgments: DataFrame, code: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, item_id, pair_id, y, orders, n, ties, low, high) of each pair, from a recode of each call to 0..1 or null.
 
-    Calls that compare a variant with itself or are recoded to null are left out; so are pairs seen in one order only,
-    which would bring the position effect back. An item without any other pair has a null g.
+    Calls that compare a variant with itself or are recoded to null are left out.
     """
-    by = list(by)
     rows = _with_variants(_ids(judgments)).withColumn("y", code).where((F.col("variant_first") != F.col("variant_second")) & F.col("y").isNotNull())
-    pairs = _pairs(rows, by, F.col("variant_first"))
+    return _pairs(rows, list(by), F.col("variant_first"))
+
+
+def balanced_items(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, item_id, cluster, g, d, n_pairs, n_single_order, n_calls, n_ties) of balanced pairs.
+
+    Pairs seen in one order only are left out, as they would bring the position effect back. An item without any other
+    pair has a null g.
+    """
     both = F.col("orders") >= 2
     items = pairs.groupBy(*by, "item_id").agg(
         _one_cluster().alias("cluster"),
@@ -121,13 +131,59 @@ def order_balanced(judgments: DataFrame, code: Column, by: Sequence[str] = ()) -
     return items.withColumn("d", 2 * F.col("g") - 1)
 
 
+def order_balanced(judgments: DataFrame, code: Column, by: Sequence[str] = ()) -> DataFrame:
+    """The items of ``balanced_items`` over the pairs of ``balanced_pairs``."""
+    return balanced_items(balanced_pairs(judgments, code, by), by)
+
+
+def order_difference(judgments: DataFrame, value: Column, variant: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, item_id, pair_id, cluster, d) of each pair in both orders: the mean of ``value`` with the variant in front, less that behind."""
+    rows = _ids(judgments).withColumn("y", value)
+    orders = rows.groupBy(*by, "item_id", "pair_id", (F.col("variant_first") == variant).alias("front")).agg(F.avg("y").alias("y"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
+    of = lambda front: F.max(F.when(F.col("front") == front, F.col("y")))
+    pairs = orders.groupBy(*by, "item_id", "pair_id").agg(_one_cluster().alias("cluster"), (of(True) - of(False)).alias("d"))
+    return pairs.where(F.col("d").isNotNull())
+
+
+def krippendorff_alpha(judgments: DataFrame, unit: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n_units, n_judgments, agreement, chance, alpha) of nominal judgments, over units with two or more."""
+    by, unit = list(by), list(unit)
+    counts = judgments.where(F.col(value).isNotNull()).groupBy(*by, *unit, value).agg(F.count("*").alias("n"))
+    units = counts.groupBy(*by, *unit).agg(F.sum("n").alias("m"), F.sum(F.col("n") * (F.col("n") - 1)).alias("agreeing"), F.collect_list(F.struct(F.col(value).alias("value"), "n")).alias("values")).where(F.col("m") >= 2)
+    means = units.groupBy(*by).agg(F.count("*").alias("n_units"), F.sum("m").alias("n_judgments"), (F.sum(F.col("agreeing") / (F.col("m") - 1)) / F.sum("m")).alias("agreement"))
+    totals = units.select(*by, F.explode("values").alias("v")).groupBy(*by, "v.value").agg(F.sum("v.n").alias("n"))
+    chance = totals.groupBy(*by).agg((F.sum(F.col("n") * (F.col("n") - 1)) / (F.sum("n") * (F.sum("n") - 1))).alias("chance"))
+    rows = means.join(chance, by) if by else means.join(F.broadcast(chance))  # one row
+    return rows.withColumn("alpha", 1 - F.try_divide(1 - F.col("agreement"), 1 - F.col("chance")))
+
+
+def first_ids(rows: DataFrame, id_: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, ids): the first NAMED_IDS ids of each contrast as text, and an ellipsis where there are more."""
+    by = list(by)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(id_))
+    few = rows.select(*by, id_).withColumn("_place", place).where(F.col("_place") <= NAMED_IDS + 1)
+    out = few.groupBy(*by).agg(F.array_sort(F.collect_list(id_)).alias("ids"))
+    return out.select(*by, F.concat(F.array_join(F.slice("ids", 1, NAMED_IDS), ", "), F.when(F.size("ids") > NAMED_IDS, ", ...").otherwise("")).alias("ids"))
+
+
+def record_counts(records: DataFrame, used: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n_records_used, n_records_ignored): the records that a comparison takes, and the others."""
+    taken = F.coalesce(used, F.lit(False))
+    return records.groupBy(*by).agg(F.count_if(taken).alias("n_records_used"), F.count_if(~taken).alias("n_records_ignored"))
+
+
 def call_counts(judgments: DataFrame, code: Column, by: Sequence[str] = ()) -> DataFrame:
-    """(by, n_calls_used, n_calls_skipped, n_same_variant, n_judges) of the calls that ``order_balanced`` sees."""
+    """(by, n_calls_used, n_calls_skipped, n_same_variant, n_judges, judges: their names) of the calls that ``order_balanced`` sees."""
     rows = judgments.withColumn("y", code)
     same = F.col("variant_first") == F.col("variant_second")
     used = ~same & F.col("y").isNotNull()
+    judges = F.collect_set(F.when(used, F.col("judge_model")))
     return rows.groupBy(*by).agg(
-        F.count_if(used).alias("n_calls_used"), F.count_if(~same & F.col("y").isNull()).alias("n_calls_skipped"), F.count_if(same).alias("n_same_variant"), F.count_distinct(F.when(used, F.col("judge_model"))).alias("n_judges")
+        F.count_if(used).alias("n_calls_used"),
+        F.count_if(~same & F.col("y").isNull()).alias("n_calls_skipped"),
+        F.count_if(same).alias("n_same_variant"),
+        F.size(judges).cast("long").alias("n_judges"),
+        F.array_join(F.array_sort(judges), ", ").alias("judges"),
     )
 
 
@@ -143,7 +199,8 @@ def sample_skewness(value: Column) -> Column:
     """Bias-corrected sample skewness, 0 where it is undefined."""
     n = F.count(value).cast("double")
     corrected = F.skewness(value) * F.sqrt(n * (n - 1)) / (n - 2)
-    return F.when((F.count(value) < 3) | (F.min(value) == F.max(value)), 0.0).otherwise(F.when(F.isnan(corrected), 0.0).otherwise(corrected))
+    alike = recode.settled(F.min(value)) == recode.settled(F.max(value))
+    return F.when((F.count(value) < 3) | alike, 0.0).otherwise(F.when(F.isnan(corrected), 0.0).otherwise(corrected))
 
 
 def score_distribution(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -164,7 +221,7 @@ def concordance(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     ``single`` tells whether every item has a plain 0 or 1 on both sides; the other columns are null where it is not.
     """
-    both = paired(items)
+    both = paired(items).withColumns({c: recode.settled(F.col(c)) for c in ("x_a", "x_b")})
     cell = lambda x, y: F.count_if((F.col("x_a") == x) & (F.col("x_b") == y))
     out = both.groupBy(*by).agg(
         F.bool_and(F.col("x_a").isin(0.0, 1.0) & F.col("x_b").isin(0.0, 1.0)).alias("single"),

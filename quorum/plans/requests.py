@@ -37,34 +37,47 @@ def request_plan(tasks: DataFrame, replicated: DataFrame, judges: DataFrame, see
 
     judges (judge_model) is a short list. A replicate has a seed of its own, so that no cached answer stands in for it.
     """
-    drawn = F.broadcast(replicated.withColumn("drawn", F.lit(True)))
-    rows = tasks.join(drawn, "item_id", "left")
+    rows = tasks.join(replicated.select("item_id", F.lit(True).alias("drawn")).distinct(), "item_id", "left")
     roles = F.when(F.col("drawn"), F.array(F.lit("primary"), F.lit("replicate"))).otherwise(F.array(F.lit("primary")))
     names = [r["judge_model"] for r in judges.select("judge_model").distinct().orderBy("judge_model").collect()]
     rows = rows.withColumn("judge_model", F.explode(F.array(*[F.lit(n) for n in names]))).withColumn("call_role", F.explode(roles)).drop("drawn")
-    latest = F.col("judge_model").endswith("-latest")
-    rows = rows.withColumn("judge_model", F.when(latest, F.raise_error(F.concat(F.lit("a judge must be pinned: "), F.col("judge_model")))).otherwise(F.col("judge_model")))
+    rows = rows.withColumn("judge_model", pinned(F.col("judge_model")))
     parts = [(F.col("pair_id"), True), (F.col("variant_first"), True), (F.col("judge_model"), True), (F.col("call_role"), True)]
     rows = rows.withColumn("judge_call_id", derived_id(*parts))
     return rows.withColumn("judge_seed", hash_number(seed, "judge", F.col("judge_call_id")))
 
 
+def _met(planned: DataFrame, realized: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """(judge_call_id, role, planned, back, at: key and side) of each planned or realized call, once: plan and answers meet by id in one shuffle.
+
+    The side is primary, replicate or realized; role is the plan's for the id, planned and back tell whether the plan and
+    the answers have it.
+    """
+    side = lambda df, c: df.select("judge_call_id", F.struct(*key, c.alias("side")).alias("at"))
+    plan = side(planned, F.when(F.col("call_role") == "primary", "primary").otherwise("replicate"))
+    rows = plan.union(side(realized, F.lit("realized")))
+    own = F.col("at.side")
+    by_id = rows.groupBy("judge_call_id").agg(F.collect_set("at").alias("all"), F.min(F.when(own != "realized", own)).alias("role"), F.bool_or(own == "realized").alias("back"))
+    return by_id.select("judge_call_id", "role", F.col("role").isNotNull().alias("planned"), "back", F.explode("all").alias("at"))
+
+
 def gate(planned: DataFrame, realized: DataFrame, key: tuple[str, ...] = ORDER_KEY) -> DataFrame:
     """(key, status) of every key of a plan or of what came back: plumbing, normal, promotion or exclusion.
 
     Plumbing: a call came back that was not planned, or one came back where no primary was planned. Normal: the primary came
     back. Promotion: only a replicate did. Exclusion: nothing did.
     """
-    ids = planned.select("judge_call_id").distinct().withColumn("known", F.lit(True))
-    back = realized.select("judge_call_id").distinct().withColumn("hit", F.lit(True))
-    got = realized.join(ids, "judge_call_id", "left").groupBy(*key).agg(F.bool_or(F.col("known").isNull()).alias("unplanned"))
-    primary = F.col("call_role") == "primary"
-    hit = F.col("hit").isNotNull()
-    want = planned.join(back, "judge_call_id", "left").groupBy(*key).agg(F.bool_or(primary).alias("has_primary"), F.bool_or(primary & hit).alias("primary_hit"), F.bool_or(~primary & hit).alias("replicate_hit"))
-    rows = want.join(got, list(key), "full_outer")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    status = F.when(yes("unplanned") | (F.col("unplanned").isNotNull() & ~yes("has_primary")), "plumbing").when(yes("primary_hit"), "normal").when(yes("replicate_hit"), "promotion").otherwise("exclusion")
-    return rows.select(*key, status.alias("status"))
+    side = F.col("at.side")
+    came = side == "realized"
+    rows = _met(planned, realized, key).groupBy(*[F.col(f"at.{k}").alias(k) for k in key]).agg(
+        F.bool_or(came & ~F.col("planned")).alias("unplanned"),
+        F.bool_or(came).alias("any_back"),
+        F.bool_or(side == "primary").alias("has_primary"),
+        F.bool_or((side == "primary") & F.col("back")).alias("primary_hit"),
+        F.bool_or((side == "replicate") & F.col("back")).alias("replicate_hit"),
+    )
+    plumbing = F.col("unplanned") | (F.col("any_back") & ~F.col("has_primary"))
+    return rows.select(*key, F.when(plumbing, "plumbing").when(F.col("primary_hit"), "normal").when(F.col("replicate_hit"), "promotion").otherwise("exclusion").alias("status"))
 
 
 def gate_summary(gated: DataFrame) -> DataFrame:
@@ -75,12 +88,10 @@ def gate_summary(gated: DataFrame) -> DataFrame:
 
 def primary_calls(planned: DataFrame, realized: DataFrame, key: tuple[str, ...] = ORDER_KEY) -> DataFrame:
     """One realized call for each key with a planned primary: the primary, else its first realized replicate by id."""
-    roles = planned.select("judge_call_id", F.col("call_role").alias("planned_role"))
-    primaries = planned.where(F.col("call_role") == "primary").select(*key).distinct()
-    rows = realized.join(roles, "judge_call_id").join(primaries, list(key))
-    chosen = F.min(F.struct((F.col("planned_role") != "primary").alias("later"), F.col("judge_call_id"))).alias("chosen")
-    picked = rows.groupBy(*key).agg(chosen)
-    return picked.select(*key, "chosen.judge_call_id", F.col("chosen.later").alias("promoted"))
+    came = (F.col("at.side") == "realized") & F.col("planned")
+    chosen = F.min(F.when(came, F.struct((F.col("role") != "primary").alias("later"), F.col("judge_call_id")))).alias("chosen")
+    picked = _met(planned, realized, key).groupBy(*[F.col(f"at.{k}").alias(k) for k in key]).agg(chosen, F.bool_or(F.col("at.side") == "primary").alias("has_primary"))
+    return picked.where(F.col("has_primary") & F.col("chosen").isNotNull()).select(*key, "chosen.judge_call_id", F.col("chosen.later").alias("promoted"))
 
 
 def pending(tasks: DataFrame, store: DataFrame, key: str) -> DataFrame:
@@ -88,8 +99,24 @@ def pending(tasks: DataFrame, store: DataFrame, key: str) -> DataFrame:
     return tasks.join(store.select(key).distinct(), key, "left_anti")
 
 
-def dry_run(tasks: DataFrame, store: DataFrame, cache: DataFrame, key: str, cache_key: str) -> DataFrame:
-    """(kind, total, already_recorded, cache_hits, model_calls): what a run would do, by ``kind`` of task."""
+def full_set(tasks: DataFrame, store: DataFrame, key: str, position: str) -> DataFrame:
+    """The store's record of each task, by the tasks' ``position``: what a resumed run returns, old records and new ones alike."""
+    have = store.dropDuplicates([key])
+    return tasks.select(key, position).join(have.select(key, *[c for c in have.columns if c not in (key, position)]), key).orderBy(position)
+
+
+def pinned(model: Column) -> Column:
+    """The model's name; one that ends in -latest is an error, as what it names may change."""
+    return F.when(model.endswith("-latest"), F.raise_error(F.concat(F.lit("a judge must be pinned: "), model))).otherwise(model)
+
+
+def dry_run(tasks: DataFrame, store: DataFrame, cache: DataFrame, key: str, cache_key: str, model: str | None = None) -> DataFrame:
+    """(kind, total, already_recorded, cache_hits, model_calls): what a run would do, by ``kind`` of task.
+
+    With the name of the column that has the model, a task for a model that isn't pinned is an error.
+    """
+    if model is not None:
+        tasks = tasks.withColumn("kind", F.when(pinned(F.col(model)).isNotNull(), F.col("kind")))
     recorded = store.select(key).distinct().withColumn("recorded", F.lit(True))
     cached = cache.select(cache_key).distinct().withColumn("cached", F.lit(True))
     rows = tasks.join(recorded, key, "left").join(cached, cache_key, "left")
@@ -97,11 +124,29 @@ def dry_run(tasks: DataFrame, store: DataFrame, cache: DataFrame, key: str, cach
     return rows.groupBy("kind").agg(F.count("*").alias("total"), F.count_if(r).alias("already_recorded"), F.count_if(~r & c).alias("cache_hits"), F.count_if(~r & ~c).alias("model_calls"))
 
 
-def prompt_drops(prompts: DataFrame, excluded: str, least: int, most: int) -> DataFrame:
-    """(reason, n): why prompts are left out (the first reason counts) or kept."""
+def _drop_reason(excluded: str, least: int, most: int) -> Column:
     length = F.length("text")
     reason = F.when(F.col("text").rlike(excluded), "excluded").when(length < least, "too short").when(length > most, "too long").otherwise("kept")
-    return prompts.withColumn("reason", F.coalesce(reason, F.lit("too short"))).groupBy("reason").agg(F.count("*").alias("n"))
+    return F.when(F.col("text").isNull(), "too short").otherwise(reason)
+
+
+def prompt_drops(prompts: DataFrame, excluded: str, least: int, most: int) -> DataFrame:
+    """(reason, n): why prompts are left out (the first reason counts) or kept."""
+    return prompts.groupBy(_drop_reason(excluded, least, most).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def prompt_set(prompts: DataFrame, excluded: str, least: int, most: int) -> DataFrame:
+    """The prompts that are kept, with text_sha256."""
+    return prompts.where(_drop_reason(excluded, least, most) == "kept").withColumn("text_sha256", F.sha2("text", 256))
+
+
+def write_prompt_set(prompts: DataFrame, path: str) -> str:
+    """Writes the set as JSON lines; returns the SHA-256 of its prompts' sorted digests, which names the set.
+
+    A set is a study's drawn prompts, hundreds of rows, whose digests are sorted in one row.
+    """
+    prompts.write.mode("overwrite").json(path)
+    return prompts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("text_sha256")), ""), 256).alias("digest")).first()["digest"]
 
 
 def arm_distinctness(responses: DataFrame, a: str, b: str, most: float = 0.05) -> DataFrame:

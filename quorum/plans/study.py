@@ -6,18 +6,16 @@ again: calls resume from the cache, and appends add only what is new.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import sqrt
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorum.functions import prompts
 from quorum.functions.ids import derived_id, hash_number
-from quorum.functions.power import mde_paired_mean
-from quorum.operators import simulate
 from quorum.plans import requests, run
 from quorum.sources import records
+from quorum.sources.store import append_new
 
 
 def draw_prompts(pool: DataFrame, n: int, seed: int) -> DataFrame:
@@ -49,18 +47,64 @@ def judging_calls(pairs: DataFrame, tasks: DataFrame, judges: DataFrame, replica
     return plan.withColumn("model", F.col("judge_model")).withColumn("seed", F.col("judge_seed")).withColumn("params", F.lit("{}"))
 
 
+def with_judge_config(calls: DataFrame, params: Mapping[str, str], default: str = "{}", version: str = "v1") -> DataFrame:
+    """Adds params, by judge (JSON text; ``default`` for the others), and judge_config_id, which names judge and version."""
+    own = F.lit(default)
+    for model, text in params.items():
+        own = F.when(F.col("judge_model") == model, F.lit(text)).otherwise(own)
+    return calls.withColumn("params", own).withColumn("judge_config_id", F.concat_ws("-", "judge_model", F.lit(version)))
+
+
+def write_plan(calls: DataFrame, path: str) -> DataFrame:
+    """The planned calls as written to the plan's store before any call is made; a plan that is written again adds nothing."""
+    append_new(calls, path, "judge_call_id")
+    return calls.sparkSession.read.parquet(path)
+
+
 def judge(calls: DataFrame, client: run.Client, cache: str) -> DataFrame:
     """The calls with their judgments; ``parse_error`` says why one has none."""
     done = run.run_calls(calls, client, cache)
     return records.pairwise_records(done.drop("completion"), done.select("judge_call_id", F.col("completion").alias("output")))
 
 
-def simulation_gate(spark: SparkSession, n_items: int, sd: float, seed: int, reps: int = 400, tol: float = 0.05, alpha: float = 0.05) -> DataFrame:
-    """(analytic_mde, simulated_power, gap, passes): whether simulation has the power at the analytic detectable effect
-    that the formula promises (0.8), to within ``tol`` and Monte Carlo error."""
-    from functools import partial
+def check_arms(responses: DataFrame, first: str, second: str, regenerated: DataFrame | None = None) -> DataFrame:
+    """(prompt_id, status, second): whether a prompt's two near-tie responses (prompt_id, variant_id, text) differ.
+
+    Status: distinct; regenerated, where they were the same and the new response (prompt_id, variant_id, text) differs,
+    which then is the second; excluded, where it doesn't, or there is none.
+    """
+    text = lambda v: F.max(F.when(F.col("variant_id") == v, F.col("text")))
+    rows = responses.where(F.col("variant_id").isin(first, second)).groupBy("prompt_id").agg(text(first).alias("a"), text(second).alias("b"))
+    whole = F.col("a").isNotNull() & F.col("b").isNotNull()
+    rows = rows.withColumn("a", F.when(whole, F.col("a")).otherwise(F.raise_error(F.concat(F.lit("missing near-tie response for prompt "), F.col("prompt_id").cast("string")))))
+    if regenerated is None:
+        rows = rows.withColumns({"again": F.lit(None).cast("string"), "again_id": F.lit(None).cast("string")})
+    else:
+        once = regenerated.groupBy("prompt_id").agg(F.min(F.struct("variant_id", "text")).alias("new"))
+        rows = rows.join(once.select("prompt_id", F.col("new.text").alias("again"), F.col("new.variant_id").alias("again_id")), "prompt_id", "left")
+    same, new = F.col("a") == F.col("b"), F.col("again").isNotNull() & (F.col("again") != F.col("a"))
+    status = F.when(~same, "distinct").when(new, "regenerated").otherwise("excluded")
+    return rows.select("prompt_id", status.alias("status"), F.when(~same, F.lit(second)).when(new, F.col("again_id")).alias("second"))
+
+
+def arm_summary(checked: DataFrame, most: float = 0.05) -> DataFrame:
+    """(n_checked, n_regenerated, n_excluded, share, passes) of ``check_arms``: too many excluded prompts fail the study."""
+    out = checked.agg(F.count("*").alias("n_checked"), F.count_if(F.col("status") != "distinct").alias("n_regenerated"), F.count_if(F.col("status") == "excluded").alias("n_excluded"))
+    out = out.withColumn("share", F.coalesce(F.try_divide(F.col("n_excluded").cast("double"), F.col("n_checked")), F.lit(0.0)))
+    return out.withColumn("passes", F.col("share") <= most)
+
+
+def regenerate_equal(pool: DataFrame, responses: DataFrame, first: str, second: str, client: run.Client, cache: str, model: str, seed: int) -> DataFrame:
+    """``check_arms`` with one more response for each prompt of the pool (prompt_id, text) whose two are the same."""
+    equal = check_arms(responses, first, second).where("status = 'excluded'").select("prompt_id")
+    tasks = generation_tasks(pool.join(equal, "prompt_id", "left_semi"), [(f"{second}-again", model)], seed)
+    return check_arms(responses, first, second, generate(tasks, client, cache))
+
+
+def write_check(checked: DataFrame, path: str) -> None:
+    """The checked prompts as JSON lines, which ``read_check`` reads."""
+    checked.write.mode("overwrite").json(path)
+
 
-    effect = mde_paired_mean(n_items, sd, alpha=alpha)
-    row = simulate.simulated_power(spark, partial(simulate.scalar_differences, delta=effect, sd=sd, n_items=n_items), reps, seed, alpha).withColumn("analytic_mde", F.lit(effect))
-    gap = F.abs(F.col("power") - 0.8)
-    return row.select("analytic_mde", F.col("power").alias("simulated_power"), gap.alias("gap"), (gap <= tol + 3 * sqrt(0.16 / reps)).alias("passes"))
+def read_check(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("prompt_id string, status string, second string").json(path)

@@ -30,7 +30,7 @@ def verbosity_association_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verbosity_call_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return reduce.call_counts(tables.pairwise_judgments(spark, sf), recode.prefers_longer())
+    return reduce.call_counts(tables.pairwise_judgments(spark, sf), recode.prefers_longer()).drop("judges")
 
 
 def token_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,8 +52,8 @@ def order_patterns(spark: SparkSession, sf: str) -> DataFrame:
     calls = tables.pairwise_judgments(spark, sf)
     y = lambda v: F.avg(F.when(F.col("variant_first") == v, F.when(F.col("judgment") == "first", 1.0).when(F.col("judgment") == "tie", 0.5).otherwise(0.0)))
     pairs = calls.groupBy("judge_model", "pair_id").agg(y("A").alias("a"), y("B").alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    a, b = F.col("a"), F.col("b")
-    pattern = F.when((a == 1) & (b == 1), "position").when((a == 0) & (b == 0), "against position").when((a + b == 1) & (a != b), "content").otherwise("mixed")
+    a, b = recode.settled(F.col("a")), recode.settled(F.col("b"))
+    pattern = F.when((a == 1) & (b == 1), "position").when((a == 0) & (b == 0), "against position").when((recode.settled(a + b) == 1) & (a != b), "content").otherwise("mixed")
     return pairs.groupBy("judge_model", pattern.alias("pattern")).agg(F.count("*").alias("n_pairs"))
 
 
@@ -127,8 +127,8 @@ ORACLE_SQL = {
       s AS (SELECT judge_model, item_id, cluster, avg(y) AS s FROM pairs GROUP BY ALL),
       i AS (SELECT item_id, cluster, max(s) FILTER (judge_model = 'judge-0') AS s_self, avg(s) FILTER (judge_model <> 'judge-0') AS s_panel, count(*) FILTER (judge_model <> 'judge-0') AS n_panel FROM s GROUP BY ALL)
       SELECT item_id, cluster, round(s_self, 9) + 0e0 AS s_self, round(s_panel, 9) + 0e0 AS s_panel, n_panel, round(s_self - s_panel, 9) + 0e0 AS d FROM i""",
-    "order_patterns": f"""WITH p AS (SELECT judge_model, pair_id, avg({_FIRST}) FILTER (variant_first = 'A') AS a, avg({_FIRST}) FILTER (variant_first = 'B') AS b FROM ({tables.PAIRWISE_SQL}) GROUP BY ALL)
-      SELECT judge_model, CASE WHEN a = 1 AND b = 1 THEN 'position' WHEN a = 0 AND b = 0 THEN 'against position' WHEN a + b = 1 AND a <> b THEN 'content' ELSE 'mixed' END AS pattern, count(*) AS n_pairs
+    "order_patterns": f"""WITH p AS (SELECT judge_model, pair_id, round(avg({_FIRST}) FILTER (variant_first = 'A'), 9) AS a, round(avg({_FIRST}) FILTER (variant_first = 'B'), 9) AS b FROM ({tables.PAIRWISE_SQL}) GROUP BY ALL)
+      SELECT judge_model, CASE WHEN a = 1 AND b = 1 THEN 'position' WHEN a = 0 AND b = 0 THEN 'against position' WHEN round(a + b, 9) = 1 AND a <> b THEN 'content' ELSE 'mixed' END AS pattern, count(*) AS n_pairs
       FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL""",
     "position_histogram": f"WITH {_balanced_sql(_FIRST, 'judge_model')} SELECT judge_model, floor(round(g * 4, 9)) / 4 AS quarter, count(*) AS n_items FROM items WHERE g IS NOT NULL GROUP BY ALL",
     "position_bias_by_gap": f"""WITH gaps AS (SELECT *, CASE WHEN abs(tokens_first - tokens_second) < 50 THEN '0-49' WHEN abs(tokens_first - tokens_second) < 150 THEN '50-149' ELSE '150-' END AS gap FROM ({tables.PAIRWISE_SQL})),
@@ -136,5 +136,5 @@ ORACLE_SQL = {
     "competence_gate": f"""WITH calls AS (SELECT *, CASE WHEN judgment = 'tie' THEN 0.5e0 WHEN (judgment = 'first') = (variant_first = 'A') THEN 1e0 ELSE 0e0 END AS y FROM ({tables.PAIRWISE_SQL})),
       orders AS (SELECT judge_model, item_id, pair_id, variant_first, avg(y) AS y FROM calls GROUP BY ALL), pairs AS (SELECT judge_model, item_id, pair_id, avg(y) AS y FROM orders GROUP BY ALL),
       i AS (SELECT judge_model, item_id, avg(y) AS s FROM pairs GROUP BY ALL)
-      SELECT judge_model, count(*) AS n_items, round(avg(s), 9) + 0e0 AS win_rate, avg(s) >= 0.65e0 AS passes FROM i GROUP BY ALL""",
+      SELECT judge_model, count(*) AS n_items, round(avg(s), 9) + 0e0 AS win_rate, round(avg(s), 9) >= 0.65e0 AS passes FROM i GROUP BY ALL""",
 }

@@ -42,12 +42,14 @@ def parse_failures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of responses to the items of the benchmark: documents dealt to items by their ids."""
-    docs = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("item_id"), F.col("doc_id"), "text")
-    picked = docs.groupBy("item_id").agg(F.min(F.struct("doc_id", "text")).alias("low"), F.max(F.struct("doc_id", "text")).alias("high"))
-    side = lambda c, v: F.struct(F.lit(v).alias("variant_id"), F.concat(F.lit("r"), F.col(f"{c}.doc_id").cast("string")).alias("response_id"), F.col(f"{c}.text").alias("text"))
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("task"))
-    return items.join(picked, "item_id").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("item_id"), "task", side("low", "A").alias("a"), side("high", "B").alias("b"))
+    """Pairs of responses to the items of the benchmark: two consecutive documents each, dealt to the items in turn."""
+    benchmark = table(spark, sf, "benchmark")
+    n = benchmark.agg(F.max("item_id") + 1).first()[0]
+    side = lambda k, v: F.max(F.when(F.col("doc_id") % 2 == k, F.struct(F.lit(v).alias("variant_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("response_id"), "text")))
+    pairs = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 2).alias("deal")).agg(side(0, "A").alias("a"), side(1, "B").alias("b"))
+    pairs = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull()).withColumn("item_id", F.col("deal") % n)
+    rows = benchmark.select("item_id", F.col("text").alias("task")).join(pairs, "item_id")
+    return rows.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("item_id"), "task", "a", "b")
 
 
 def counterbalanced_tasks(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,16 +123,16 @@ def resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
 
 def dry_run(spark: SparkSession, sf: str) -> DataFrame:
     """What a rerun of the plan would do if some calls were recorded and some completions cached."""
-    plan = tables.request_plan_rows(spark, sf).select("judge_call_id", F.col("call_role").alias("kind"), F.md5("judge_call_id").alias("cache_key"))
+    plan = tables.request_plan_rows(spark, sf).select("judge_call_id", F.col("call_role").alias("kind"), F.col("judge_model").alias("model"), F.md5("judge_call_id").alias("cache_key"))
     store = plan.where(F.col("judge_call_id").startswith("1"))
     cache = plan.where(F.col("cache_key").startswith("2"))
-    return requests.dry_run(plan, store.select("judge_call_id"), cache.select("cache_key"), "judge_call_id", "cache_key")
+    return requests.dry_run(plan, store.select("judge_call_id"), cache.select("cache_key"), "judge_call_id", "cache_key", "model")
 
 
 def arm_distinctness(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompts for which two arms gave the same text: two documents dealt to each prompt."""
+    """Prompts for which two arms gave the same text: two consecutive documents for each prompt."""
     docs = table(spark, sf, "documents")
-    rows = docs.select(F.floor(F.col("doc_id") / 2).alias("prompt_id"), F.when(F.col("doc_id") % 2 == 0, "arm-0").otherwise("arm-1").alias("variant_id"), F.substring("text", 1, 3).alias("text"))
+    rows = docs.select(F.floor(F.col("doc_id") / 2).alias("prompt_id"), F.when(F.col("doc_id") % 2 == 0, "arm-0").otherwise("arm-1").alias("variant_id"), "text")
     return rounded(requests.arm_distinctness(rows, "arm-0", "arm-1"), "share")
 
 
@@ -189,13 +191,13 @@ def records_from_outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def study_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of a study with four documents to a prompt: gap pairs, and near-ties unless their texts begin alike."""
-    docs = table(spark, sf, "documents").where(F.col("doc_id") < F.floor(F.lit(table(spark, sf, "documents").count()) / 4) * 4)
+    """Pairs of a study with four consecutive documents to a prompt: gap pairs, and near-ties unless their texts are the same."""
     arms = F.element_at(F.array(F.lit("strong"), F.lit("again"), F.lit("weak"), F.lit("other")), (F.col("doc_id") % 4 + 1).cast("int"))
-    rows = docs.select(F.floor(F.col("doc_id") / 4).alias("prompt_id"), arms.alias("variant_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("response_id"), F.substring("text", 1, 2).alias("text"))
-    first = lambda v: F.max(F.when(F.col("variant_id") == v, F.col("text")))
-    equal = rows.groupBy("prompt_id").agg(first("strong").alias("s"), first("again").alias("t")).where("s = t")
-    pairs = records.study_pairs(rows, "strong", "weak", "again", equal)
+    rows = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 4).alias("prompt_id"), arms.alias("variant_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("response_id"), "text")
+    has = lambda v: F.max(F.when(F.col("variant_id") == v, F.col("text")))
+    prompts = rows.groupBy("prompt_id").agg(F.count_distinct("variant_id").alias("n"), has("strong").alias("s"), has("again").alias("t")).where("n = 4")
+    rows = rows.join(prompts.select("prompt_id"), "prompt_id", "left_semi")
+    pairs = records.study_pairs(rows, "strong", "weak", "again", prompts.where("s = t").select("prompt_id"))
     return pairs.select("prompt_id", "stratum", F.col("a.response_id").alias("response_a"), F.col("b.response_id").alias("response_b"))
 
 
@@ -238,8 +240,8 @@ def _found(column: str, pattern: str, each: str) -> str:
 
 _ERROR = "CASE WHEN len(found) = 0 THEN 'missing' WHEN len(found) > 1 THEN 'conflicting' {more} END"
 _PAIR_PATTERN = r"(?i)VERDICT\s*:\s*(FIRST|SECOND|TIE)\b"
-_PAIRS = """SELECT 'b' || i.item_id AS item_id, i.text AS task, 'r' || min(d.doc_id) AS ra, arg_min(d.text, d.doc_id) AS ta, 'r' || max(d.doc_id) AS rb, arg_max(d.text, d.doc_id) AS tb
-    FROM benchmark i JOIN documents d ON d.doc_id % 40 = i.item_id GROUP BY i.item_id, i.text"""
+_PAIRS = """SELECT 'b' || i.item_id AS item_id, i.text AS task, 'r' || a.doc_id AS ra, a.text AS ta, 'r' || b.doc_id AS rb, b.text AS tb
+    FROM documents a JOIN documents b ON a.doc_id % 2 = 0 AND b.doc_id = a.doc_id + 1 JOIN benchmark i ON i.item_id = a.doc_id // 2 % (SELECT max(item_id) + 1 FROM benchmark)"""
 _TASKS = f"""SELECT item_id, task, item_id || '::' || least(ra, rb) || '::' || greatest(ra, rb) AS pair_id, unnest(['A', 'B']) AS variant_first, unnest(['B', 'A']) AS variant_second,
     unnest([ra, rb]) AS response_first, unnest([rb, ra]) AS response_second, unnest([ta, tb]) AS first, unnest([tb, ta]) AS second FROM ({_PAIRS})"""
 _N = "chr(10)"
@@ -288,11 +290,14 @@ ORACLE_SQL = {
       SELECT b.judge_model, b.pair_id, b.variant_first, arg_min(b.judge_call_id, (CASE WHEN p.call_role = 'primary' THEN 0 ELSE 1 END, b.judge_call_id)) AS judge_call_id, NOT bool_or(p.call_role = 'primary') AS promoted
       FROM back b JOIN plan p USING (judge_call_id) GROUP BY ALL""",
     "incomplete_pairs": f"SELECT judge_model, pair_id, min(variant_first) AS only_order FROM ({tables.PAIRWISE_SQL}) GROUP BY judge_model, pair_id HAVING count(DISTINCT variant_first) = 1",
-    "resume_antijoin": f"SELECT judge_model, call_role, count(*) AS n_calls FROM ({tables.PLAN_SQL}) WHERE starts_with(judge_call_id, '0') GROUP BY ALL",
-    "dry_run": f"""SELECT call_role AS kind, count(*) AS total, count(*) FILTER (starts_with(judge_call_id, '1')) AS already_recorded,
-      count(*) FILTER (NOT starts_with(judge_call_id, '1') AND starts_with(md5(judge_call_id), '2')) AS cache_hits,
-      count(*) FILTER (NOT starts_with(judge_call_id, '1') AND NOT starts_with(md5(judge_call_id), '2')) AS model_calls FROM ({tables.PLAN_SQL}) GROUP BY ALL""",
-    "arm_distinctness": """WITH p AS (SELECT doc_id // 2 AS prompt_id, max(substr(text, 1, 3)) FILTER (doc_id % 2 = 0) AS a, max(substr(text, 1, 3)) FILTER (doc_id % 2 = 1) AS b FROM documents GROUP BY ALL)
+    "resume_antijoin": f"""WITH plan AS ({tables.PLAN_SQL}), back AS ({tables.REALIZED_SQL})
+      SELECT judge_model, call_role, count(*) AS n_calls FROM plan ANTI JOIN back USING (judge_call_id) GROUP BY ALL""",
+    "dry_run": f"""WITH plan AS (SELECT judge_call_id, call_role AS kind, md5(judge_call_id) AS cache_key FROM ({tables.PLAN_SQL})),
+      store AS (SELECT DISTINCT judge_call_id FROM plan WHERE starts_with(judge_call_id, '1')), cache AS (SELECT DISTINCT cache_key FROM plan WHERE starts_with(cache_key, '2'))
+      SELECT kind, count(*) AS total, count(s.judge_call_id) AS already_recorded, count(*) FILTER (s.judge_call_id IS NULL AND c.cache_key IS NOT NULL) AS cache_hits,
+        count(*) FILTER (s.judge_call_id IS NULL AND c.cache_key IS NULL) AS model_calls
+      FROM plan p LEFT JOIN store s ON s.judge_call_id = p.judge_call_id LEFT JOIN cache c ON c.cache_key = p.cache_key GROUP BY ALL""",
+    "arm_distinctness": """WITH p AS (SELECT doc_id // 2 AS prompt_id, max(text) FILTER (doc_id % 2 = 0) AS a, max(text) FILTER (doc_id % 2 = 1) AS b FROM documents GROUP BY ALL)
       SELECT count(*) AS n_prompts, count(*) FILTER (a = b) AS n_equal, round(count(*) FILTER (a = b) / count(*), 9) + 0e0 AS share, count(*) FILTER (a = b) / count(*) <= 0.05e0 AS passes FROM p WHERE a IS NOT NULL AND b IS NOT NULL""",
     "exclusion_asymmetry": f"""{_GATE}, n AS (SELECT judge_model, count(*) AS n_keys, count(*) FILTER (status = 'exclusion' AND variant_first = 'A') AS a, count(*) FILTER (status = 'exclusion' AND variant_first = 'B') AS b FROM gated GROUP BY ALL)
       SELECT judge_model, n_keys, a AS n_a_first, b AS n_b_first, round((a + b) / n_keys, 9) + 0e0 AS share, (a + b) / n_keys <= 0.05e0 AS passes,
@@ -302,14 +307,15 @@ ORACLE_SQL = {
       FROM ({tables.PAIRWISE_SQL}) JOIN (VALUES ('judge-0', 1e0, 5e0), ('judge-1', 3e0, 15e0), ('judge-2', 0.25e0, 1.25e0)) AS p(judge_model, price_in, price_out) USING (judge_model) GROUP BY judge_model, price_in, price_out""",
     "false_alarms": "SELECT month, n_orders, round(count(*) OVER (ORDER BY month) * 0.05e0, 9) + 0e0 AS expected FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n_orders FROM orders GROUP BY ALL)",
     "latest_orders": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY ALL",
-    "record_problems": f"""SELECT CASE substr(judge_call_id, 1, 1) WHEN '0' THEN 'judge not pinned, judgment' WHEN '1' THEN 'judge not pinned' WHEN '2' THEN 'role' ELSE '' END AS problems, count(*) AS n
-      FROM ({tables.PLAN_SQL}) GROUP BY ALL""",
+    "record_problems": f"""WITH spoilt AS (SELECT CASE WHEN starts_with(judge_call_id, '0') THEN 'A' ELSE judgment END AS judgment,
+        CASE WHEN substr(judge_call_id, 1, 1) IN ('0', '1') THEN judge_model || '-latest' ELSE judge_model END AS judge_model, CASE WHEN starts_with(judge_call_id, '2') THEN 'third' ELSE call_role END AS call_role FROM ({tables.PLAN_SQL}))
+      SELECT concat_ws(', ', CASE WHEN ends_with(judge_model, '-latest') THEN 'judge not pinned' END, CASE WHEN judgment NOT IN ('first', 'second', 'tie') THEN 'judgment' END,
+        CASE WHEN call_role NOT IN ('primary', 'replicate') THEN 'role' END) AS problems, count(*) AS n FROM spoilt GROUP BY ALL""",
     "records_from_outputs": f"""WITH {_found("pairwise_output", _PAIR_PATTERN, "lower(x)")} SELECT 'c' || doc_id AS judge_call_id, source AS source_doc_id, CASE WHEN len(found) = 1 THEN found[1] END AS judgment,
       {_ERROR.format(more="")} AS parse_error FROM f""",
-    "study_pairs": """WITH p AS (SELECT doc_id // 4 AS prompt_id, max(substr(text, 1, 2)) FILTER (doc_id % 4 = 0) AS s, max(substr(text, 1, 2)) FILTER (doc_id % 4 = 1) AS t FROM documents
-        WHERE doc_id < (SELECT count(*) // 4 * 4 FROM documents) GROUP BY ALL)
+    "study_pairs": """WITH p AS (SELECT doc_id // 4 AS prompt_id, max(text) FILTER (doc_id % 4 = 0) AS s, max(text) FILTER (doc_id % 4 = 1) AS t FROM documents GROUP BY ALL HAVING count(DISTINCT doc_id % 4) = 4)
       SELECT prompt_id, 'gap' AS stratum, 'r' || prompt_id * 4 AS response_a, 'r' || (prompt_id * 4 + 2) AS response_b FROM p
-      UNION ALL SELECT prompt_id, 'near-tie', 'r' || prompt_id * 4, 'r' || (prompt_id * 4 + 1) FROM p WHERE s <> t""",
+      UNION ALL SELECT prompt_id, 'near-tie', 'r' || prompt_id * 4, 'r' || (prompt_id * 4 + 1) FROM p WHERE s IS DISTINCT FROM t OR s IS NULL""",
     "scores_from_outputs": f"""WITH {_found("score_output", "SCORE\\s*:\\s*([+-]?\\d+(?:\\.\\d+)?)", "CAST(x AS DOUBLE)")} SELECT doc_id, source, CASE WHEN len(found) = 1 AND found[1] BETWEEN 1 AND 5 THEN found[1] END AS judgment,
       {_ERROR.format(more="WHEN found[1] NOT BETWEEN 1 AND 5 THEN 'scale'")} AS parse_error FROM f""",
     "prompt_draw": f"SELECT doc_id AS prompt_id FROM documents ORDER BY CAST(('0x' || substr(md5(concat_ws('|', '{PLAN_SEED}', 'prompt', CAST(doc_id AS VARCHAR))), 1, 12)) AS BIGINT), doc_id LIMIT 100",

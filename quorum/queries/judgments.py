@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorum.functions.ids import ADDED, PRIME
+from quorum.functions.recode import settled
 from quorum.operators import inference, multiplicity, reduce, variance
 from quorum.plans import compare
 from quorum.sources import tables
@@ -15,7 +17,7 @@ SEED, N_BOOT, N_PERM = 7, 200, 300
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Nine digits, and no negative zero: what any order of summation gives."""
-    return df.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in columns})
+    return df.withColumns({c: settled(F.col(c)) for c in columns})
 
 
 def _one(df: DataFrame, name: str = "A vs B") -> DataFrame:
@@ -89,7 +91,7 @@ def signflip_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 def bootstrap_ci_hash(spark: SparkSession, sf: str) -> DataFrame:
     totals = inference.cluster_totals(_pairwise(spark, sf, "p_type"), ONE)
-    return rounded(inference.bootstrap_by_hash(totals, ONE, SEED, n_boot=N_BOOT), "boot_low", "boot_high", "boot_se").drop("contrast_id")
+    return rounded(inference.bootstrap(totals, ONE, SEED, n_boot=N_BOOT), "boot_low", "boot_high", "boot_se").drop("contrast_id")
 
 
 def signflip_mc_hash(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +139,8 @@ def effect_supplements(spark: SparkSession, sf: str) -> DataFrame:
     """Win rate without ties, probability of superiority, and d over its standard deviation."""
     calls = tables.pairwise_judgments(spark, sf)
     wins = calls.agg((F.count_if(((F.col("judgment") == "first") & (F.col("variant_first") == "A")) | ((F.col("judgment") == "second") & (F.col("variant_first") == "B"))) / F.count_if(F.col("judgment") != "tie")).alias("conditional_win_rate"))
-    items = _pairwise(spark, sf).agg(F.avg(F.when(F.col("d") > 0, 1.0).when(F.col("d") < 0, 0.0).otherwise(0.5)).alias("superiority"), (F.avg("d") / F.stddev_samp("d")).alias("d_z"))
+    sign = settled(F.col("d"))
+    items = _pairwise(spark, sf).agg(F.avg(F.when(sign > 0, 1.0).when(sign < 0, 0.0).otherwise(0.5)).alias("superiority"), (F.avg("d") / F.stddev_samp("d")).alias("d_z"))
     return rounded(wins.join(F.broadcast(items)), "conditional_win_rate", "superiority", "d_z")
 
 
@@ -181,11 +184,11 @@ QUERIES = {
 _CLUSTER = "coalesce(nullif(source_doc_id, ''), '__singleton__:' || item_id)"
 
 
-def _pairwise_sql(cluster: str = _CLUSTER, by: str = "") -> str:
+def _pairwise_sql(cluster: str = _CLUSTER, by: str = "", where: str = "") -> str:
     by = by and f"{by}, "
     return f"""
   calls AS (SELECT {by}item_id, {cluster} AS cluster, pair_id, variant_first, CAST(judgment = 'tie' AS INT) AS tie,
-    CASE WHEN judgment = 'tie' THEN 0.5e0 WHEN (judgment = 'first') = (variant_first = 'A') THEN 1e0 ELSE 0e0 END AS y FROM ({tables.PAIRWISE_SQL})),
+    CASE WHEN judgment = 'tie' THEN 0.5e0 WHEN (judgment = 'first') = (variant_first = 'A') THEN 1e0 ELSE 0e0 END AS y FROM ({tables.PAIRWISE_SQL}) {where}),
   orders AS (SELECT {by}item_id, cluster, pair_id, variant_first, avg(y) AS y, count(*) AS n, sum(tie) AS ties FROM calls GROUP BY ALL),
   pairs AS (SELECT {by}item_id, cluster, pair_id, avg(y) AS y, count(*) AS orders, sum(n) AS n, sum(ties) AS ties FROM orders GROUP BY ALL),
   items AS (SELECT {by}item_id, cluster, avg(y) AS s, 2 * avg(y) - 1 AS d, count(*) AS n_pairs, count(*) FILTER (orders = 1) AS n_single_order,
@@ -201,14 +204,23 @@ def _scores_sql(a: str = "A", b: str = "N", source: str = tables.SCORES_SQL, clu
     max(shape) FILTER (variant_id = '{a}') <> max(shape) FILTER (variant_id = '{b}') AS side_unbalanced, CAST(sum(n) AS BIGINT) AS n_calls FROM sides GROUP BY ALL)"""
 
 
+def mixed_sql(rows: str, *parts: str) -> str:
+    """The rows of a FROM clause with x: the numbers of ``ids.mixed_numbers`` over these parts."""
+    rows = f"(SELECT *, CAST(0 AS BIGINT) AS x FROM {rows})"
+    for part in (*parts, "0", "0"):
+        rows = f"(SELECT * EXCLUDE (a, q), (q * q % {PRIME} * a + {ADDED}) % {PRIME} AS x FROM (SELECT *, a * a % {PRIME} AS q FROM (SELECT * EXCLUDE (x), (x + {part}) % {PRIME} AS a FROM {rows})))"
+    return rows
+
+
 _ROBUST = """
   totals AS (SELECT {by}cluster, sum(d) AS total, count(*) AS size FROM items WHERE d IS NOT NULL GROUP BY ALL),
   means AS (SELECT {by}CAST(sum(size) AS BIGINT) AS n_items, count(*) AS n_clusters, sum(total) / sum(size) AS estimate FROM totals GROUP BY ALL),
   squares AS (SELECT {by}n_items, n_clusters, estimate, sum((total - size * estimate) ** 2) AS q FROM totals {join} GROUP BY ALL),
   robust AS (SELECT {by}n_items, n_clusters, estimate, n_clusters - 1 AS df, sqrt(n_clusters / (n_clusters - 1) * q) / n_items AS se FROM squares)"""
 _BITS = "CASE WHEN (b >> CAST(k AS INT)) & 1 = 1 THEN 1e0 ELSE -1e0 END"
-_HASH = "CAST(('0x' || substr(md5(concat_ws('|', '7', '{tag}', CAST(b AS VARCHAR), CAST({at} AS VARCHAR))), 1, 12)) AS BIGINT)"
+_HASH = "CAST(('0x' || substr(md5(concat_ws('|', '7', '{tag}', CAST({b} AS VARCHAR), CAST({at} AS VARCHAR))), 1, 12)) AS BIGINT)"
 _NUMBERED = "numbered AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS k, count(*) OVER () AS c FROM totals)"
+_PLACED = "numbered AS (SELECT *, row_number() OVER (ORDER BY md5(cluster), cluster) - 1 AS k, count(*) OVER () AS c FROM totals)"
 _TOTALS = "totals AS (SELECT cluster, sum(d) AS total, count(*) AS size FROM items GROUP BY ALL)"
 
 ORACLE_SQL = {
@@ -233,12 +245,13 @@ ORACLE_SQL = {
     "signflip_exact": f"""WITH {_pairwise_sql("p_type")}, {_TOTALS}, {_NUMBERED},
       drawn AS (SELECT b, sum(total * {_BITS}) AS drawn, sum(total) AS seen FROM numbered, (SELECT unnest(range(0, CAST(2 ** (SELECT count(*) FROM totals) AS BIGINT))) AS b) GROUP BY b)
       SELECT (SELECT count(*) FROM totals) AS n_clusters, round(avg(CASE WHEN abs(drawn) >= abs(seen) - 1e-9 THEN 1e0 ELSE 0e0 END), 9) + 0e0 AS flip_p FROM drawn""",
-    "bootstrap_ci_hash": f"""WITH {_pairwise_sql("p_type")}, {_TOTALS}, {_NUMBERED},
-      draws AS (SELECT b, {_HASH.format(tag="boot", at="k")} % c AS k FROM numbered, (SELECT unnest(range(0, {N_BOOT})) AS b)),
+    "bootstrap_ci_hash": f"""WITH {_pairwise_sql("p_type")}, {_TOTALS}, {_PLACED},
+      draws AS (SELECT b, x % c AS k FROM {mixed_sql(f"numbered, range(0, {N_BOOT}) AS r(b)", str(SEED), "0", "b", "k")}),
       means AS (SELECT b, sum(total) / sum(size) AS mean FROM draws JOIN numbered USING (k) GROUP BY b)
       SELECT round(quantile_cont(mean, 0.025e0), 9) + 0e0 AS boot_low, round(quantile_cont(mean, 0.975e0), 9) + 0e0 AS boot_high, round(stddev_samp(mean), 9) + 0e0 AS boot_se FROM means""",
-    "signflip_mc_hash": f"""WITH {_pairwise_sql()}, {_TOTALS}, {_NUMBERED},
-      drawn AS (SELECT b, sum(total * (2 * ({_HASH.format(tag="flip", at="k")} % 2) - 1)) AS drawn, sum(total) AS seen FROM numbered, (SELECT unnest(range(0, {N_PERM})) AS b) GROUP BY b)
+    "signflip_mc_hash": f"""WITH {_pairwise_sql()}, {_TOTALS},
+      drawn AS (SELECT chunk, bit, sum(total * (2 * (({_HASH.format(tag="flip", b="chunk", at="cluster")} >> CAST(bit AS INT)) & 1) - 1)) AS drawn, sum(total) AS seen
+        FROM totals, range(0, {-(-N_PERM // inference.SIGN_BITS)}) AS r(chunk), range(0, {inference.SIGN_BITS}) AS t(bit) WHERE chunk * {inference.SIGN_BITS} + bit < {N_PERM} GROUP BY ALL)
       SELECT round((1 + count(*) FILTER (abs(drawn) >= abs(seen) - 1e-9)) / ({N_PERM} + 1e0), 9) + 0e0 AS flip_p FROM drawn""",
     "holm_bh": f"""WITH {_pairwise_sql("p_type", "judge_model")},
       totals AS (SELECT judge_model, cluster, sum(d) AS total FROM items GROUP BY ALL),
@@ -266,7 +279,7 @@ ORACLE_SQL = {
       SELECT count(*) FILTER (a.s IS NOT NULL AND b.s IS NOT NULL) AS n_both, count(*) FILTER (b.s IS NULL) AS n_first_only, count(*) FILTER (a.s IS NULL) AS n_second_only, round(avg(b.s - a.s), 9) + 0e0 AS change
       FROM (SELECT * FROM items WHERE judge_model = 'judge-1') a FULL JOIN (SELECT * FROM items WHERE judge_model = 'judge-2') b USING (item_id)""",
     "effect_supplements": f"""WITH {_pairwise_sql()}
-      SELECT round((SELECT avg(y) FROM calls WHERE tie = 0), 9) + 0e0 AS conditional_win_rate, round(avg(CASE WHEN d > 0 THEN 1e0 WHEN d < 0 THEN 0e0 ELSE 0.5e0 END), 9) + 0e0 AS superiority, round(avg(d) / stddev_samp(d), 9) + 0e0 AS d_z FROM items""",
+      SELECT round((SELECT avg(y) FROM calls WHERE tie = 0), 9) + 0e0 AS conditional_win_rate, round(avg(CASE WHEN round(d, 9) > 0 THEN 1e0 WHEN round(d, 9) < 0 THEN 0e0 ELSE 0.5e0 END), 9) + 0e0 AS superiority, round(avg(d) / stddev_samp(d), 9) + 0e0 AS d_z FROM items""",
     "replicate_variance": f"""WITH g AS (SELECT judge_model, pair_id, variant_first, count(*) AS n, var_samp(CASE judgment WHEN 'tie' THEN 0.5e0 WHEN 'first' THEN 1e0 ELSE 0e0 END) AS v
         FROM ({tables.PAIRWISE_SQL}) GROUP BY ALL HAVING count(*) >= 2)
       SELECT judge_model, round(sum(v * (n - 1)) / sum(n - 1), 9) + 0e0 AS sigma2_j, count(*) AS n_used, CAST(sum(n - 1) AS BIGINT) AS df FROM g GROUP BY ALL""",
@@ -278,7 +291,7 @@ ORACLE_SQL = {
         FROM w WHERE a IS NOT NULL AND b IS NOT NULL)
       SELECT n, round(agreement, 9) + 0e0 AS agreement, round((agreement - chance) / (1 - chance), 9) + 0e0 AS kappa FROM s""",
     "max_t_hash": f"""WITH {_pairwise_sql(by="judge_model")}, totals AS (SELECT judge_model, cluster, sum(d) AS total FROM items GROUP BY ALL),
-      drawn AS (SELECT judge_model, b, abs(sum(total * (2 * ({_HASH.format(tag="max-t", at="cluster")} % 2) - 1))) / sqrt(sum(total * total)) AS t FROM totals, (SELECT unnest(range(0, {N_PERM})) AS b) GROUP BY ALL),
+      drawn AS (SELECT judge_model, b, abs(sum(total * (2 * ({_HASH.format(tag="max-t", b="b", at="cluster")} % 2) - 1))) / sqrt(sum(total * total)) AS t FROM totals, (SELECT unnest(range(0, {N_PERM})) AS b) GROUP BY ALL),
       most AS (SELECT b, max(t) AS most FROM drawn GROUP BY b), seen AS (SELECT judge_model, sum(total) / sqrt(sum(total * total)) AS t_stat FROM totals GROUP BY ALL)
       SELECT judge_model, round(t_stat, 9) + 0e0 AS t_stat, round((1 + count(*) FILTER (most >= abs(t_stat) - 1e-9)) / ({N_PERM} + 1e0), 9) + 0e0 AS max_t_p FROM seen, most GROUP BY judge_model, t_stat""",
 }

@@ -44,16 +44,19 @@ def response_records(tasks: DataFrame, outputs: DataFrame, kind: str, key: str =
     return rows.withColumn("_v", read).withColumn("judgment", F.col("_v.verdict")).withColumn("parse_error", F.col("_v.error")).drop("_v", "_output")
 
 
-def study_pairs(responses: DataFrame, strong: str, weak: str, again: str, excluded: DataFrame) -> DataFrame:
+def study_pairs(responses: DataFrame, strong: str, weak: str, again: str, excluded: DataFrame, seconds: DataFrame | None = None) -> DataFrame:
     """(prompt_id, stratum, a, b): for each prompt strong against weak, and strong against a second draw of it.
 
-    responses has (prompt_id, variant_id, response_id, text). Excluded prompts (prompt_id) lose the second pair; a
-    prompt without one of the responses is an error.
+    responses has (prompt_id, variant_id, response_id, text). Excluded prompts (prompt_id) lose the second pair;
+    ``seconds`` (prompt_id, second) names a prompt's second draw where it isn't ``again``. A prompt without one of the
+    responses is an error.
     """
+    names = None if seconds is None else seconds.where(F.col("second").isNotNull()).groupBy("prompt_id").agg(F.min("second").alias("_second"))
+    rows = responses.withColumn("_second", F.lit(again)) if names is None else responses.join(names, "prompt_id", "left")
     side = lambda v: F.max(F.when(F.col("variant_id") == v, F.struct("variant_id", "response_id", "text")))
-    rows = responses.where(F.col("variant_id").isin(strong, weak, again)).groupBy("prompt_id").agg(side(strong).alias("a"), side(weak).alias("weak"), side(again).alias("again"))
-    whole = F.col("a").isNotNull() & F.col("weak").isNotNull() & F.col("again").isNotNull()
-    rows = rows.withColumn("a", F.when(whole, F.col("a")).otherwise(F.raise_error(F.concat(F.lit("missing response for prompt "), F.col("prompt_id").cast("string")))))
-    gap = rows.select("prompt_id", F.lit("gap").alias("stratum"), "a", F.col("weak").alias("b"))
-    near = rows.join(excluded.select("prompt_id").distinct(), "prompt_id", "left_anti").select("prompt_id", F.lit("near-tie").alias("stratum"), "a", F.col("again").alias("b"))
+    rows = rows.groupBy("prompt_id").agg(side(strong).alias("a"), side(weak).alias("weak"), side(F.coalesce("_second", F.lit(again))).alias("again"))
+    missing = F.raise_error(F.concat(F.lit("missing response for prompt "), F.col("prompt_id").cast("string")))
+    gap = rows.withColumn("a", F.when(F.col("a").isNotNull() & F.col("weak").isNotNull(), F.col("a")).otherwise(missing)).select("prompt_id", F.lit("gap").alias("stratum"), "a", F.col("weak").alias("b"))
+    near = rows.join(excluded.select("prompt_id").distinct(), "prompt_id", "left_anti")
+    near = near.withColumn("a", F.when(F.col("a").isNotNull() & F.col("again").isNotNull(), F.col("a")).otherwise(missing)).select("prompt_id", F.lit("near-tie").alias("stratum"), "a", F.col("again").alias("b"))
     return gap.unionByName(near)

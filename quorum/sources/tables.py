@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,11 +69,8 @@ def arm_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planned calls: the first of a judge, pair and order is the primary, the others are replicates."""
-    rows = pairwise_judgments(spark, sf_dir)
-    key = ["judge_model", "pair_id", "variant_first"]
-    first = rows.groupBy(*key).agg(F.min("judge_call_id").alias("first_id"))
-    rows = rows.join(first, key)
-    return rows.withColumn("call_role", F.when(F.col("judge_call_id") == F.col("first_id"), "primary").otherwise("replicate")).drop("first_id")
+    first = F.min("judge_call_id").over(Window.partitionBy("judge_model", "pair_id", "variant_first"))
+    return pairwise_judgments(spark, sf_dir).withColumn("call_role", F.when(F.col("judge_call_id") == first, "primary").otherwise("replicate"))
 
 
 def realized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quorum.functions import distributions as dist
-from quorum.functions import ids, power, prompts, verdicts
-from quorum.operators import simulate
+from quorum.functions import ids, prompts, verdicts
+from quorum.operators import inference, planning
 
 
 def verdict(spark, parse, text):
@@ -55,33 +56,49 @@ def test_distributions():
     assert dist.mcnemar_exact(2000, 1000) < 1e-20
 
 
-def test_power():
-    assert power.power_paired_mean(50, 0.31, 1.0) == pytest.approx(0.575, abs=0.002)
-    assert power.power_paired_mean(30, 0.52, 1.0) == pytest.approx(0.786, abs=0.002)
-    assert 0.19 < power.mde_binary_paired(50, 0.3) < 0.23
-    assert power.power_binary_paired(50, power.mde_binary_paired(50, 0.3), 0.3) == pytest.approx(0.8, abs=1e-6)
-    assert power.n_paired_mean(0.5, 1.0) == 34
-    assert power.n_paired_mean(0.5, 1.0, deff=power.design_effect(5, 0.25)) == pytest.approx(67, abs=1)
-    for bad in (lambda: power.design_effect(0.5, 0.1), lambda: power.n_paired_mean(0, 1), lambda: power.mde_binary_paired(3, 0.01)):
-        with pytest.raises(ValueError):
-            bad()
-
-
-def test_simulators_have_their_truth(spark):
-    d, cluster = simulate.scalar_differences(1, 0.3, 1.0, clusters=simulate.Clusters(200, 20, 0.2))
-    assert len(set(cluster)) == 200 and d.mean() == pytest.approx(0.3, abs=0.12)
-    d, _ = simulate.binary_differences(2, 0.1, 0.4, 20_000)
-    assert d.mean() == pytest.approx(0.1, abs=0.02) and abs(d).mean() == pytest.approx(0.4, abs=0.02)
-    d, _ = simulate.preference_differences(3, 0.6, 0.2, 20_000)
-    assert (d.mean() + 1) / 2 == pytest.approx(0.6, abs=0.02)
-    d, _ = simulate.skewed_null_differences(4, 40_000)
-    assert d.mean() == pytest.approx(0, abs=0.03)
-    with pytest.raises(ValueError):
-        simulate.preference_differences(3, 0.95, 0.2, 10)
+def planned(spark, column, **design):
+    return spark.createDataFrame([tuple(float(v) for v in design.values())], ", ".join(f"{k} double" for k in design)).select(column).first()[0]
 
 
-def test_false_positives_stay_near_their_level(spark):
-    from functools import partial
+def test_designs(spark):
+    n, sd, psi, delta = (F.col(c) for c in ("n", "sd", "psi", "delta"))
+    assert planned(spark, planning.power_mean(n, 0.31, sd), n=50, sd=1) == pytest.approx(0.575, abs=0.002)
+    assert planned(spark, planning.power_mean(n, 0.52, sd), n=30, sd=1) == pytest.approx(0.786, abs=0.002)
+    found = planned(spark, planning.detectable_binary(n, psi), n=50, psi=0.3)
+    assert 0.19 < found < 0.23
+    assert planned(spark, planning.power_binary(n, delta, psi), n=50, psi=0.3, delta=found) == pytest.approx(0.8, abs=1e-9)
+    assert planned(spark, planning.items_for_mean(delta, sd), delta=0.5, sd=1) == 34
+    assert planned(spark, planning.items_for_mean(delta, sd, deff=planning.design_effect(F.lit(5.0), F.lit(0.25))), delta=-0.5, sd=1) == 68
+    items = planned(spark, planning.items_for_binary(delta, psi), delta=0.1, psi=0.3)
+    assert 230 < items < 240
+    assert planned(spark, planning.detectable_mean(n, sd), n=34, sd=1) < 0.5 < planned(spark, planning.detectable_mean(n, sd), n=33, sd=1)
+    assert planned(spark, planning.power_binary(n, delta, psi), n=1, psi=1, delta=1) == 1.0
+
 
-    row = simulate.simulated_power(spark, partial(simulate.scalar_differences, delta=0.0, sd=1.0, n_items=30), 300, 8, n_boot=2, n_perm=199).first()
-    assert row["power"] < simulate.monte_carlo_bounds(0.05, 300)[1]
+@pytest.mark.parametrize(("of", "x", "y"), [(planning.design_effect, 0.5, 0.1), (planning.items_for_mean, 0.0, 1.0), (planning.detectable_binary, 3.0, 0.01), (planning.items_for_binary, 0.4, 0.3), (planning.detectable_mean, 1.0, 1.0)])
+def test_designs_that_make_no_sense_are_errors(spark, of, x, y):
+    with pytest.raises(Exception, match="needed|between 0 and 1|so few items"):
+        planned(spark, of(F.col("x"), F.col("y")), x=x, y=y)
+
+
+def test_false_positives_stay_near_their_level(spark):
+    d = np.random.default_rng(8).normal(0, 1, (300, 30))
+    rows = [(k, f"{k}-{j}", float(v)) for k, row in enumerate(d) for j, v in enumerate(row)]
+    totals = inference.cluster_totals(spark.createDataFrame(rows, "k int, cluster string, d double"), ["k"])
+    p = [r["flip_p"] for r in inference.sign_flip_by_hash(totals, ["k"], 8, n_perm=199).collect()]
+    assert len(p) == 300 and np.mean(np.array(p) <= 0.05) < 0.05 + 4 * np.sqrt(0.05 * 0.95 / 300)
+
+
+def test_mixed_numbers_are_spread_evenly():
+    slots = np.arange(200_000)
+    drawn = ids.mixed_numbers(7, 0, 3, slots) % 100
+    counts = np.bincount(drawn, minlength=100)
+    assert ((counts - 2_000) ** 2 / 2_000).sum() < 150  # chi-square with 99 degrees of freedom
+    other = ids.mixed_numbers(7, 0, 4, slots) % 100
+    assert abs(np.corrcoef(drawn, other)[0, 1]) < 0.01 and abs(np.corrcoef(drawn[1:], drawn[:-1])[0, 1]) < 0.01
+
+
+def test_cache_keys_do_not_depend_on_the_order_of_parameters(spark):
+    rows = [('{"b": 2, "a": {"x": 1}}',), ('{"a":{"x":1},"b":2}',), ('{"a":{"x":2},"b":2}',), ("{}",)]
+    keys = [r[0] for r in spark.createDataFrame(rows, "params string").select(ids.cache_key(F.lit("p"), F.lit("m"), F.lit(1), F.col("params"))).collect()]
+    assert keys[0] == keys[1] and len(set(keys)) == 3

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,14 +116,53 @@ def test_exact_sign_flips_are_the_exact_mcnemar_test(spark, n):
     items = spark.createDataFrame([("x", f"c{k:02d}", v) for k, v in enumerate(d)], "c string, cluster string, d double")
     totals = inference.cluster_totals(items, ["c"])
     assert inference.sign_flip_exact(totals, ["c"]).first()["flip_p"] == pytest.approx(mcnemar_exact(n[0], n[1]))
-    assert inference.resample(totals, ["c"], 5, n_boot=20).first()["flip_p"] == pytest.approx(mcnemar_exact(n[0], n[1]))
+    both = inference.sign_flips(totals, ["c"], 5).first()
+    assert (both["flip_p"], both["flip_method"]) == (pytest.approx(mcnemar_exact(n[0], n[1])), "sign-flip-exact")
+
+
+def clusters(spark, rows):
+    return inference.cluster_totals(spark.createDataFrame(rows, "c string, cluster string, d double"), ["c"])
 
 
 def test_engine_does_not_depend_on_the_order_of_rows_but_on_the_seed(spark):
     rows = [("x", f"c{k:02d}", float((k * 7) % 5) - 1.7) for k in range(20)]
-    run = lambda r, seed: inference.resample(inference.cluster_totals(spark.createDataFrame(r, "c string, cluster string, d double"), ["c"]), ["c"], seed, n_boot=300, n_perm=300).first()
+
+    def run(r, seed):
+        totals = clusters(spark, r)
+        return inference.bootstrap(totals, ["c"], seed, n_boot=300).first(), inference.sign_flips(totals, ["c"], seed, n_perm=300).first()
+
     assert run(rows, 9) == run(rows[::-1], 9)
-    assert run(rows, 9) != run(rows, 10)
+    assert run(rows, 9)[0] != run(rows, 10)[0]
+
+
+def test_draws_of_blocks_are_those_of_one_law(spark, monkeypatch):
+    """Blocks share out a replicate's draws without loss, and the interval is that of the plain bootstrap."""
+    monkeypatch.setattr(inference, "BLOCK_CLUSTERS", 16)
+    draws = [inference.block_draws(100, block, 500, 3) for block in range(7)]
+    assert (sum(draws) == 100).all()
+    assert all(abs(d.mean() - m) < 0.6 for d, m in zip(draws, [16] * 6 + [4]))
+    rng = np.random.default_rng(0)
+    d = rng.normal(0.3, 1, 300)
+    rows = [("x", f"c{k:03d}", float(v)) for k, v in enumerate(d)]
+    one = rng.choice(d, (4_000, 300)).mean(axis=1)
+    found = inference.bootstrap(clusters(spark, rows), ["c"], 5, n_boot=4_000).first()
+    assert found["boot_se"] == pytest.approx(one.std(ddof=1), rel=0.06)
+    assert found["boot_low"] == pytest.approx(np.quantile(one, 0.025), abs=0.02) and found["boot_high"] == pytest.approx(np.quantile(one, 0.975), abs=0.02)
+
+
+def test_seeds_may_differ_by_contrast(spark):
+    rows = [(c, f"c{k:02d}", float((k * 7) % 5) - 1.7) for k in range(20) for c in ("x", "y")]
+    seed = F.when(F.col("c") == "x", 1).otherwise(2)
+    found = {r["c"]: r["boot_se"] for r in inference.bootstrap(clusters(spark, rows), ["c"], seed, n_boot=100).collect()}
+    alone = inference.bootstrap(clusters(spark, [r for r in rows if r[0] == "y"]), ["c"], 2, n_boot=100).first()["boot_se"]
+    assert found["y"] == alone != found["x"]
+
+
+def test_float_ties_are_ties(spark):
+    rows = [(7 / 12 + 7 / 12 + 1 / 3) / 3 - 0.5, 0.1 + 0.2 - 0.3]
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in rows], "v double").select(recode.settled(F.col("v"))).collect()] == [0.0, 0.0]
+    items = spark.createDataFrame([("x", "a", 0.1 + 0.2), ("x", "b", 0.3)], "c string, cluster string, d double")
+    assert inference.cluster_robust(inference.cluster_totals(items, ["c"]), ["c"]).first()["degenerate"]
 
 
 def test_holm_and_benjamini_hochberg(spark):
@@ -147,3 +187,49 @@ def test_variance_components(spark):
 def test_empty_input_gives_no_rows(spark):
     empty = pairs(spark, ("i", "p", "A", "B", "first")).where("false").withColumn("c", F.lit(1))
     assert compare.compare_pairwise(empty, "A", "B", ["c"], seed=1, n_boot=10).count() == 0
+
+
+def test_reports_refuse_what_they_cannot_estimate(spark):
+    single = pairs(spark, ("i", "p", "A", "B", "first")).withColumn("c", F.lit("x"))
+    with pytest.raises(Exception, match="no pair was judged in both orders: x"):
+        compare.position_bias(single, ["c"], seed=1, n_boot=10).collect()
+    equal = pairs(spark, ("i", "p", "A", "B", "first", "j", 5, 5), ("i", "p", "B", "A", "first", "j", 5, 5), ("i", "q", "A", "B", "first", "j", 5, 6)).withColumn("c", F.lit("x"))
+    with pytest.raises(Exception, match="no pair of different lengths"):
+        compare.verbosity_association(equal, ["c"], seed=1, n_boot=10).collect()
+    alone = pairs(spark, ("i", "p", "A", "B", "first", "me", 1, 2))
+    for judge in ("me", "other"):
+        with pytest.raises(Exception, match="no item was judged by the self judge and by another"):
+            compare.self_preference_bias(alone, self_judge=judge, self_variant="A", other_variant="B", seed=1, n_boot=10).collect()
+    arm = pairs(spark, ("i", "p", "orig", "padded", "first", "j", 5, 9), ("i", "p", "padded", "orig", "first", "j", 9, 5))
+    with pytest.raises(Exception, match="in arm: condensed"):
+        compare.verbosity_bias_controlled(arm, original="orig", padded="padded", condensed="condensed", seed=1, n_boot=10).collect()
+    found = {r["arm"]: r["warnings"] for r in compare.verbosity_bias_controlled(arm, original="orig", padded="padded", seed=1, n_boot=10).collect()}
+    assert set(found) == {"pooled", "padded"} and any("one arm only" in w for w in found["pooled"])
+    scores = spark.createDataFrame([("i", None, "A", "a", 1.0), ("j", None, "B", "b", 1.0)], SCORES).withColumn("c", F.lit("x"))
+    with pytest.raises(Exception, match="no item has both variants: x"):
+        compare.compare_scores(scores, "A", "B", ["c"], seed=1, n_boot=10).collect()
+
+
+def test_warnings_name_eight_pairs_and_every_judge(spark):
+    rows = [(f"i{k}", f"p{k:02d}", "A", "B", "first", f"j{k % 2}", 1, 2) for k in range(12)] + [("i0", "p00", "B", "A", "second", "j0", 1, 2), ("i0", "p00", "C", "C", "tie", "j0", 1, 2)]
+    report = compare.position_bias(pairs(spark, *rows).withColumn("c", F.lit("x")), ["c"], seed=1, n_boot=10).first()
+    assert (report["n_items"], report["n_items_dropped"], report["n_pairs_single_order"], report["n_same_variant"], report["judges"]) == (1, 11, 11, 1, "j0, j1")
+    assert any("11 pairs" in w and w.count("p0") == 8 and "p08, ..." in w for w in report["warnings"]) and any("mixture of judges: j0, j1" in w for w in report["warnings"])
+    used = compare.compare_pairwise(pairs(spark, *rows).withColumn("c", F.lit("x")), "A", "B", ["c"], seed=1, n_boot=10).first()
+    assert (used["n_records_used"], used["n_records_ignored"]) == (13, 1)
+
+
+def test_a_family_of_contrasts(spark):
+    items = spark.createDataFrame([(c, f"i{k}", f"d{k}", float(k % 3) - 0.5 + lift) for k in range(12) for c, lift in (("a", 0.0), ("b", 0.9))], "contrast_id string, item_id string, cluster string, d double")
+    rows = {r["contrast_id"]: r for r in compare.contrast_report(items, seed=3, n_boot=50).collect()}
+    assert rows["b"]["best"] and any("the best of 2" in w for w in rows["b"]["warnings"]) and not rows["a"]["best"]
+    assert rows["b"]["alpha"] == 0.025 and rows["b"]["holm"] == min(1.0, 2 * rows["b"]["p_value"])
+    assert '"contrast_id":"a"' in compare.as_json(compare.contrast_report(items, seed=3, n_boot=50).where("contrast_id = 'a'")).first()["report"]
+
+
+def test_krippendorff_alpha(spark):
+    # four units by two observers with one disagreement; the fifth unit has one observer only
+    rows = [("1", "a"), ("1", "a"), ("2", "b"), ("2", "b"), ("3", "a"), ("3", "b"), ("4", "b"), ("4", "b"), ("5", "a")]
+    found = reduce.krippendorff_alpha(spark.createDataFrame(rows, "u string, v string"), ["u"], "v").first()
+    disagree, expected = 2 / 8, 1 - (3 * 2 + 5 * 4) / (8 * 7)
+    assert (found["n_units"], found["n_judgments"], found["alpha"]) == (4, 8, pytest.approx(1 - disagree / expected))

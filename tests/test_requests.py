@@ -109,3 +109,29 @@ def test_running_win_rates(spark, tmp_path):
     query = ingest.running_win_rates(stream, "A").writeStream.outputMode("update").format("memory").queryName("rates").trigger(availableNow=True).start()
     assert query.awaitTermination(60)
     assert [(r["n_calls"], r["win_rate"]) for r in spark.sql("select * from rates").collect()] == [(2, 0.5)]
+
+
+def test_resumed_runs_return_all_tasks_in_order(spark):
+    tasks = spark.createDataFrame([("b", 0), ("a", 1), ("c", 2)], "judge_call_id string, position int")
+    stored = spark.createDataFrame([("a", "first"), ("b", "tie"), ("z", "tie"), ("b", "tie")], "judge_call_id string, judgment string")
+    assert [tuple(r) for r in requests.full_set(tasks, stored, "judge_call_id", "position").collect()] == [("b", 0, "tie"), ("a", 1, "first")]
+
+
+def test_dry_runs_refuse_unpinned_judges(spark):
+    tasks = spark.createDataFrame([("primary", "a", "k", "judge-latest")], "kind string, id string, cache_key string, model string")
+    with pytest.raises(Exception, match="must be pinned"):
+        requests.dry_run(tasks, tasks.select("id"), tasks.select("cache_key"), "id", "cache_key", "model").collect()
+
+
+def test_csv_publication(spark, tmp_path):
+    store.write_csv(spark.createDataFrame([("a", 1.5)], "k string, v double"), str(tmp_path / "out"))
+    (part,) = (tmp_path / "out").glob("*.csv")
+    assert part.read_text() == "k,v\na,1.5\n"
+
+
+def test_prompt_sets_are_known_by_their_digest(spark, tmp_path):
+    pool = spark.createDataFrame([(1, "x" * 50), (2, "As an AI I " + "x" * 50), (3, "short"), (4, None)], "prompt_id long, text string")
+    kept = requests.prompt_set(pool, r"(?i)\bas an ai\b", 40, 2500)
+    digest = requests.write_prompt_set(kept, str(tmp_path / "a"))
+    assert [r["prompt_id"] for r in spark.read.json(str(tmp_path / "a")).collect()] == [1]
+    assert digest == requests.write_prompt_set(kept.repartition(3), str(tmp_path / "b"))
