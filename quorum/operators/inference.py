@@ -98,25 +98,25 @@ def _numbered(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.join(counts, [*by, "_bucket"]).withColumn("_place", within - 1 + F.col("_before")).drop("_md5", "_bucket", "_n", "_before")
 
 
-def block_draws(c: int, block: int, n_boot: int, seed: int) -> np.ndarray:
-    """How many of the c draws of each replicate fall into a block of clusters: a multinomial law, split in halves.
+def block_draws(c: int, block: int, held: int, n_boot: int, seed: int) -> np.ndarray:
+    """How many of the c draws of each replicate fall into a block of ``held`` clusters: a multinomial law, split in halves.
 
     Every block on a half's way down sees the same split, as it is drawn from the seed and the half alone.
     """
-    low, high = 0, -(-c // BLOCK_CLUSTERS)
+    low, high = 0, -(-c // held)
     draws = np.full(n_boot, c, np.int64)
     while high - low > 1:
         middle = (low + high) // 2
-        first = (middle - low) * BLOCK_CLUSTERS
-        whole = min(high * BLOCK_CLUSTERS, c) - low * BLOCK_CLUSTERS
+        first = (middle - low) * held
+        whole = min(high * held, c) - low * held
         left = np.random.default_rng([seed, low, high]).binomial(draws, first / whole)
         low, high, draws = (low, middle, left) if block < middle else (middle, high, draws - left)
     return draws
 
 
-def _block_sums(total: np.ndarray, size: np.ndarray, c: int, block: int, n_boot: int, seed: int) -> pd.DataFrame:
+def _block_sums(total: np.ndarray, size: np.ndarray, c: int, block: int, held: int, n_boot: int, seed: int) -> pd.DataFrame:
     """(replicate, sum, items) of the clusters of a block, sorted by their place, that each replicate draws."""
-    draws = block_draws(c, block, n_boot, seed)
+    draws = block_draws(c, block, held, n_boot, seed)
     ends = np.cumsum(draws)
     totals, sizes = np.zeros(n_boot), np.zeros(n_boot, np.int64)
     first = 0
@@ -140,14 +140,14 @@ def bootstrap(totals: DataFrame, by: Sequence[str], seed: int | Column, alpha: f
     """
     if n_boot < 2:
         raise ValueError("at least two bootstrap draws are needed")
-    by = list(by)
-    rows = _numbered(totals, by).select(*by, (F.col("_place") / BLOCK_CLUSTERS).cast("long").alias("_block"), "_place", "_clusters", F.col("total").alias("_total"), F.col("size").alias("_size"), _seed(seed).alias("_seed"))
+    by, held = list(by), BLOCK_CLUSTERS
+    rows = _numbered(totals, by).select(*by, (F.col("_place") / held).cast("long").alias("_block"), "_place", "_clusters", F.col("total").alias("_total"), F.col("size").alias("_size"), _seed(seed).alias("_seed"))
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by] + ["_b long", "_sum double", "_drawn long"])
 
     def sums(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_place")
         one = part.iloc[0]
-        out = _block_sums(part["_total"].to_numpy(float), part["_size"].to_numpy(np.int64), int(one["_clusters"]), int(one["_block"]), n_boot, int(one["_seed"]))
+        out = _block_sums(part["_total"].to_numpy(float), part["_size"].to_numpy(np.int64), int(one["_clusters"]), int(one["_block"]), held, n_boot, int(one["_seed"]))
         return pd.concat([pd.DataFrame({c: [one[c]] * len(out) for c in by}), out], axis=1)
 
     drawn = rows.groupBy(*by, "_block").applyInPandas(sums, schema)
