@@ -3,11 +3,13 @@
 Vectors are projected to M dimensions by Gaussian rows, under which the squared projected distance over the squared
 true one follows a chi-square law with M degrees of freedom. Candidates are dealt into blocks of about BLOCK_ROWS
 rows; each block has a kd-tree over its projected vectors. A query visits the leaves of every block's tree by their
-distance, verifies the projected neighbours in them by their true distance, and stops when the next leaf is so far
-that, by the chi-square test, a point nearer than its K-th best would be there with a probability below MISS.
+distance, in runs that double in length, verifies the projected neighbours in them by their true distance, and stops when
+the next leaf is so far that, by the chi-square test, a point nearer than its K-th best would be there with a
+probability below MISS. True distances are ruled out in single precision, with a margin for its error, and computed in
+double precision for what is left.
 
 The blocks' answers are merged for each query. Queries are a stated subset of the rows (about one in a hundred) and
-meet the candidates block by block; a task holds one block and a batch of queries at a time.
+meet the candidates block by block; a task holds one block and a piece of the queries at a time.
 
 Defined cases: vectors that are null or zero, or hold a null or a component that is not finite, take no part; vectors
 of other lengths than a query's are no candidates for it; a row without an id takes no part; of rows that repeat an id the first by
@@ -17,19 +19,18 @@ no rows; further columns of the input are left aside.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorum.llm.common import bound_batches
+from quorum.llm.common import PIECE_ROWS
 
 K, M, MISS, SEED = 10, 6, 0.01, 11
-BLOCK_ROWS, LEAF_ROWS = 20_000, 64
+BLOCK_ROWS, LEAF_ROWS = 8_192, 64
 _RESULT = "query_id long, vec_id long, score double"
 
 
@@ -49,80 +50,91 @@ def chi_square_quantile(p: float, m: int) -> float:
 
 
 class Tree:
-    """A kd-tree over the projections of one block: leaves with their bounds."""
+    """A kd-tree over the projections of one block: leaves, which are runs of its rows, with their bounds."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         rng = np.random.default_rng(SEED)
-        self.ids, self.vectors, self.rows = ids, vectors, rng.standard_normal((vectors.shape[1], M))
-        self.points = vectors @ self.rows
-        self.leaves: list[np.ndarray] = []
-        parts = [np.arange(len(ids))]
+        self.rows = rng.standard_normal((vectors.shape[1], M))
+        points = vectors @ self.rows
+        leaves, parts = [], [np.arange(len(ids))]
         while parts:
             part = parts.pop()
             if len(part) <= LEAF_ROWS:
-                self.leaves.append(part)
+                leaves.append(part)
                 continue
-            own = self.points[part]
+            own = points[part]
             order = np.argpartition(own[:, np.ptp(own, axis=0).argmax()], len(part) // 2)
             parts += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
-        self.low = np.array([self.points[leaf].min(axis=0) for leaf in self.leaves])
-        self.high = np.array([self.points[leaf].max(axis=0) for leaf in self.leaves])
-
-    def nearest(self, query_id: int, query: np.ndarray, stop: float) -> list[tuple[float, int]]:
-        """(distance, id) of the K nearest that the search finds, nearest first, ties by id."""
+        placed = np.concatenate(leaves)
+        self.ids, self.vectors, self.points = ids[placed], vectors[placed], points[placed]
+        self.leaf = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
+        starts = np.cumsum([0, *(len(x) for x in leaves[:-1])])
+        self.low, self.high = np.minimum.reduceat(self.points, starts), np.maximum.reduceat(self.points, starts)
+        self.single = self.vectors.astype(np.float32)
+        self.squares = (self.vectors**2).sum(axis=1)
+
+    def nearest(self, query_id: int, query: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, ids) of the K nearest that the search finds, nearest first, ties by id."""
         point = query @ self.rows
-        gap = np.maximum(np.maximum(self.low - point, point - self.high), 0)
-        near = (gap**2).sum(axis=1)
-        best: list[tuple[float, int]] = []  # of (-squared distance, -id)
-        reach = np.inf
-        for leaf in np.argsort(near, kind="stable"):
-            if near[leaf] > reach:
+        near = (np.maximum(np.maximum(self.low - point, point - self.high), 0) ** 2).sum(axis=1)
+        order = np.argsort(near, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        place = place[self.leaf]  # when each row's leaf is visited
+        square = float(query @ query)
+        rough = self.squares - 2 * (self.single @ query.astype(np.float32)).astype(np.float64) + square
+        slack = 1e-5 * (self.squares + square)
+        projected = ((self.points - point) ** 2).sum(axis=1)
+        kept, ids = np.zeros(0), np.zeros(0, np.int64)
+        best, first, length = np.inf, 0, 1
+        while first < len(order):
+            reach = best * stop * (1 + 1e-9) + 1e-12
+            if near[order[first]] > reach:
                 break
-            members = self.leaves[leaf]
-            if reach < np.inf:
-                members = members[((self.points[members] - point) ** 2).sum(axis=1) <= reach]
-            distances = ((self.vectors[members] - query) ** 2).sum(axis=1)
-            for d, i in sorted(zip(distances.tolist(), self.ids[members].tolist())):
-                if len(best) == K and (-d, -i) < best[0]:
-                    break
-                if i != query_id:
-                    heapq.heappush(best, (-d, -i))
-                    if len(best) > K:
-                        heapq.heappop(best)
-            if len(best) == K:
-                reach = -best[0][0] * stop * (1 + 1e-9) + 1e-12
-        return [(math.sqrt(-d), -i) for d, i in sorted(best, reverse=True)]
-
-
-def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at = np.flatnonzero((place >= first) & (place < first + length) & (projected <= reach) & (rough - slack <= best) & (self.ids != query_id))
+            exact = np.cumsum((self.vectors[at] - query) ** 2, axis=1)[:, -1]  # summed in the order of the components
+            kept, ids = np.concatenate([kept, exact]), np.concatenate([ids, self.ids[at]])
+            top = np.lexsort((ids, kept))[:K]
+            kept, ids = kept[top], ids[top]
+            best = kept[-1] if len(kept) == K else np.inf
+            first, length = first + length, 2 * length
+        return np.sqrt(kept), ids
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by block and, within it, candidates first, by id; then the block's queries."""
     stop = chi_square_quantile(1 - MISS, M)
     block, ids, rows, trees = None, [], [], None
     for batch in batches:
-        out = []
-        for number, query, vec_id, vector in zip(batch["block"], batch["query"], batch["vec_id"], batch["vector"]):
-            if number != block:
-                block, ids, rows, trees = number, [], [], None
-            if not query:
-                if not ids or ids[-1] != vec_id:
-                    ids.append(vec_id)
-                    rows.append(np.asarray(vector, dtype=np.float64))
-                continue
-            if trees is None:
-                trees = {}
-                for size in {len(x) for x in rows}:
-                    own = [k for k, x in enumerate(rows) if len(x) == size]
-                    trees[size] = Tree(np.array([ids[k] for k in own]), np.stack([rows[k] for k in own]))
-                rows = []
-            vector = np.asarray(vector, dtype=np.float64)
-            if len(vector) in trees:
-                out += [(vec_id, i, d) for d, i in trees[len(vector)].nearest(vec_id, vector, stop)]
-        yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        for at in range(0, batch.num_rows, PIECE_ROWS):
+            out = []
+            piece = batch.slice(at, PIECE_ROWS)
+            vectors = piece.column("vector")
+            values, offsets = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(v) for v in vectors)])
+            for k, (number, query, vec_id) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("block", "query", "vec_id")))):
+                vector = values[offsets[k] : offsets[k + 1]]
+                if number != block:
+                    block, ids, rows, trees = number, [], [], None
+                if not query:
+                    if not ids or ids[-1] != vec_id:
+                        ids.append(vec_id)
+                        rows.append(vector.copy())
+                    continue
+                if trees is None:
+                    trees = {}
+                    for size in {len(x) for x in rows}:
+                        own = [j for j, x in enumerate(rows) if len(x) == size]
+                        trees[size] = Tree(np.array([ids[j] for j in own]), np.stack([rows[j] for j in own]))
+                    rows = []
+                if len(vector) in trees:
+                    out.append((vec_id, *trees[len(vector)].nearest(vec_id, vector, stop)))
+            if out:
+                counts = [len(found) for _, _, found in out]
+                yield pa.record_batch([pa.array(np.repeat([q for q, _, _ in out], counts), pa.int64()), pa.array(np.concatenate([found for _, _, found in out]), pa.int64()), pa.array(np.concatenate([d for _, d, _ in out]), pa.float64())], ["query_id", "vec_id", "score"])
 
 
 def nearest_neighbours(embeddings: DataFrame, is_query: Column) -> DataFrame:
     """(query_id, rank, vec_id, score) of the K nearest rows of each row that ``is_query`` takes, by Euclidean distance."""
-    bound_batches(embeddings.sparkSession)
     vector = F.col("embedding").cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"), is_query.alias("asked"))
@@ -131,7 +143,7 @@ def nearest_neighbours(embeddings: DataFrame, is_query: Column) -> DataFrame:
     candidates = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), "vec_id", "vector")
     queries = rows.where("asked").groupBy("vec_id").agg(F.min("vector").alias("vector"))
     queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "vec_id", "vector")
-    dealt = candidates.union(queries).repartition(blocks, "block").sortWithinPartitions("block", "query", "vec_id", "vector")
-    found = dealt.mapInPandas(_search, _RESULT)
+    dealt = candidates.union(queries).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "query", "vec_id", "vector")
+    found = dealt.mapInArrow(_search, _RESULT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")

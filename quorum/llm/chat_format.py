@@ -8,8 +8,9 @@ A turn is rendered as ``### role: text</turn>`` and a line feed. Backslash, ``#`
 role or text, nor does ``:`` in a role: they are written as a backslash and one letter, which ``unescape`` reverses.
 
 Defined cases: turns are ordered by turn, role and text, nulls first; a null role or text is empty; repeated rows are
-turns of their own; rows without a conv_id form one conversation; an empty table gives no example; further columns of
-the input are left aside. An example holds its whole prefix by definition, so one row is as long as its conversation.
+turns of their own; a row without a conv_id is a conversation of its own, as nothing says what it belongs to; very long
+texts are taken whole; an empty table gives no example; further columns of the input are left aside. An example holds
+its whole prefix by definition, so one row is as long as its conversation.
 """
 
 from __future__ import annotations
@@ -43,9 +44,11 @@ def _header(turn: Column) -> Column:
 
 
 def format_examples(conversations: DataFrame) -> DataFrame:
-    """(conv_id, target long: place of the trained turn, null for the rest; formatted; loss_start, loss_length in code points)."""
+    """(conv_id, target long: place of the trained turn, null for the rest; n_context, formatted; loss_start, loss_length in code points)."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    talks = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    conversations = conversations.select("conv_id", "turn", "role", "text")
+    talks = conversations.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    talks = talks.unionByName(conversations.where(F.col("conv_id").isNull()).select("conv_id", F.array(turn).alias("turns")))
     talks = talks.withColumn("rendered", F.transform("turns", lambda t: F.concat(_header(t), escape(t["text"]), F.lit(TURN_END))))
     places = F.sequence(F.lit(1), F.size("turns"))
     targets = F.filter(places, lambda i: F.element_at("turns", i)["role"] == TARGET_ROLE)
@@ -84,15 +87,14 @@ def parse_turns(formatted: Column) -> Column:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """One row for each conversation, read back from its examples."""
-    e = examples.select("*", F.when(F.col("target").isNotNull(), F.struct("target", loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_length")).alias("text"))).alias("loss"))
-    rows = e.groupBy("conv_id").agg(
-        F.max_by("formatted", F.struct("n_context", F.col("target").isNotNull())).alias("whole"),
-        F.array_join(F.transform(F.sort_array(F.collect_list("loss")), lambda x: x["text"]), "").alias("trained"),
-        F.sum(F.length("formatted")).alias("formatted_chars"),
-        F.count("*").alias("n_examples"),
-    )
-    rows = rows.withColumn("turns", parse_turns(F.col("whole")))
+    """One row for each conversation, read back from its examples; a turn without a conv_id is one of its own."""
+    loss = F.struct("target", loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_length")).alias("text"))
+    e = examples.select("conv_id", "target", "n_context", "formatted", F.when(F.col("target").isNotNull(), loss).alias("loss"))
+    whole = F.max_by("formatted", F.struct("n_context", F.col("target").isNotNull())).alias("whole")
+    grouped = e.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(whole, F.sort_array(F.collect_list("loss")).alias("losses"), F.sum(F.length("formatted")).alias("formatted_chars"), F.count("*").alias("n_examples"))
+    single = e.where(F.col("conv_id").isNull())
+    single = single.select("conv_id", F.col("formatted").alias("whole"), F.array_compact(F.array("loss")).alias("losses"), F.length("formatted").cast("long").alias("formatted_chars"), F.lit(1).cast("long").alias("n_examples"))
+    rows = grouped.unionByName(single).withColumn("trained", F.array_join(F.transform("losses", lambda x: x["text"]), "")).withColumn("turns", parse_turns(F.col("whole")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rows.select(
         "conv_id",

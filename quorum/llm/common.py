@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters that are neither a space nor one of the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Texts, sketches, sets or vectors that a Python worker takes at a time.
-BATCH_ROWS = 500
+#: Rows, and bytes beyond one row, that Python works on at a time.
+PIECE_ROWS, PIECE_BYTES = 500, 4 << 20
+#: A key with more rows than this is hot; the limit grows with the rows so that at most HOT_KEYS keys ever are.
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -21,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in a local test, is it set to a temporary one.
+    Only where that is unset, it is a temporary folder of a session without executors, or one in the warehouse.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quorum-"))
+        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        own = tempfile.mkdtemp(prefix="quorum-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return context.getCheckpointDir()
 
 
@@ -35,14 +44,66 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Passes at most so many rows at a time to Python from now on.
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one made from it that no column of the rows has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-    Texts may be long, and a result is made only when its caller asks for it, so the session's own setting is lowered.
+
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows of these sizes, each within PIECE_ROWS and, beyond one row, PIECE_BYTES."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        reach = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE_BYTES, side="right"))
+        end = min(max(reach, first + 1), first + PIECE_ROWS)
+        yield first, end
+        first = end
+
+
+def _sizes(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def text_udf(returns: str, make: Callable[[], Callable[[list[str | None]], pa.Array]]) -> Callable[..., Column]:
+    """A column function over texts: a task calls ``make`` once and the result on lists of bounded rows and bytes.
+
+    Arrow's batches hold up to ten thousand rows; they stay in Arrow's memory and become Python objects by pieces.
+    """
+
+    @F.arrow_udf(returns)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = make()
+        for batch in batches:
+            parts = [of(batch.slice(first, end - first).to_pylist()) for first, end in _runs(_sizes(batch))]
+            yield pa.concat_arrays(parts) if parts else of([])
+
+    return run
+
+
+def frames(batches: Iterator[pa.RecordBatch], large: str | None = None) -> Iterator[pd.DataFrame]:
+    """The rows of Arrow batches as frames of bounded rows and, by the column that holds most, bytes."""
+    for batch in batches:
+        sizes = np.ones(batch.num_rows, np.int64) if large is None else _sizes(batch.column(large))
+        for first, end in _runs(sizes):
+            yield batch.slice(first, end - first).to_pandas()
+
+
+def lookup(rows: DataFrame, known: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """The rows joined with ``known``, which has one row for each key and how many rows (``n``, left out) have that key.
+
+    Hot keys, of which there are HOT_KEYS at most, are joined by broadcast, so that their rows stay where they are;
+    the others by a shuffle.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+    known = cut(known)
+    total = known.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = known.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).drop(n)
+    cold = known.where(F.col(n) <= max(HOT_ROWS, total // HOT_KEYS)).drop(n)
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -56,5 +117,5 @@ def word_count(c: Column) -> Column:
 
 
 def text_crc(doc_id: Column) -> Column:
-    """crc32 of an id written as text, which deals rows into fixed folds."""
-    return F.crc32(doc_id.cast("string").cast("binary"))
+    """crc32 of an id written as text, which deals rows into fixed folds; that of a null id is 0."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0))

@@ -11,13 +11,18 @@ Only windows that hold a shingle of an item of their size are fingerprinted: oth
 none can be verified. At a similarity of 0.75 SimHash fingerprints are about 22 of 128 bits apart (standard deviation
 4.3), and about 64 where nothing is shared; RADIUS = 40 lies four standard deviations from either.
 
-The items are read by the driver in slices of about INDEX_WORDS words, each of which becomes an index. One index is held
-at a time: where there are several, the rows are numbered and kept, and each slice's hits are written before the next is
-read. Defined cases: texts and items that are null or have no word match nothing; items with a null item_id are left
-out, or with ``null_ids`` matched by text like others, each distinct text an item, with a null in the hit;
-an item of fewer than five words is one shingle; a text shorter than an item is one window; an item that occurs
-several times in a text counts once, at its most similar and then first place; repeated rows are treated alike; an
-empty table gives no rows; all columns of the input are kept.
+The items are read by the driver in slices of about INDEX_WORDS words, each of which becomes an index; one is held at a
+time. Where there is more than one slice, texts are first sifted by a bitmap of MARK_BITS bits with a mark for every
+shingle of every item, so that all texts are read once and slices are only held against those that share a mark; these
+rows are numbered and kept, and each slice's hits are written before the next is read.
+
+Defined cases: texts and items that are null or have no word match nothing; very long texts are searched whole, an item
+is held whole; items with a null item_id are left out, or with ``null_ids`` matched by text like others, each distinct
+text an item, with a null in the hit; an item of fewer than five words is one shingle; a text shorter than an item is
+one window; an item that occurs several times in a text counts once, at its most similar and then first place, and once
+for each length that texts of one item_id have; repeated rows are treated alike; an empty table gives no rows; all
+columns of the input are kept, and the new one has underscores put in front of its name while the input has one of that
+name.
 """
 
 from __future__ import annotations
@@ -26,21 +31,22 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorum.llm import textops
-from quorum.llm.common import bound_batches, cut, word_count
+from quorum.llm.common import cut, text_udf, unused, word_count
 
 BITS, BLOCKS, RADIUS = 128, 16, 40
 BLOCK_RADIUS = RADIUS // BLOCKS
 NUMERATOR, DENOMINATOR = 3, 4
-INDEX_WORDS = 200_000
+INDEX_WORDS, MARK_BITS = 200_000, 1 << 27
 #: Windows that are fingerprinted together.
 WINDOWS = 4_096
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-_HITS = "array<struct<item_id:long,similarity:double,start:int,words:int>>"
+_HIT = "struct<item_id:long,similarity:double,start:int,words:int>"
+_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int32()), ("words", pa.int32())]))
 
 
 def _grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -155,42 +161,90 @@ class Index:
                 yield [(None if unnamed else item, s, start, size) for ((unnamed, item), size), (s, start) in sorted(best.items())]
 
 
-def _slice_index(items: DataFrame, k: int, slices: int) -> Index:
-    """The index of the k-th slice of the items; rows of an item_id share a slice."""
-    dealt = F.xxhash64(F.coalesce("item_id", F.xxhash64("text")))
-    own = items.where(F.pmod(dealt, F.lit(slices)) == k).dropDuplicates().orderBy("item_id", "text")
-    return Index([(r["item_id"], r["text"]) for r in own.collect()])
+def _slice(items: DataFrame, k: int, slices: int) -> list[tuple[int | None, str]]:
+    """The k-th slice of the items, repeated ones once."""
+    own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).dropDuplicates().orderBy("item_id", "text")
+    return [(r["item_id"], r["text"]) for r in own.collect()]
 
 
 def benchmark_hits(text: Column, shared) -> Column:
     """The hits of each text in a broadcast index."""
 
-    @F.pandas_udf(_HITS)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[{"item_id": i, "similarity": s, "start": a, "words": n} for i, s, a, n in found] for found in shared.value.hits(texts.tolist())], dtype=object)
+    def finder():
+        return lambda texts: pa.array([[{"item_id": i, "similarity": s, "start": a, "words": n} for i, s, a, n in found] for found in shared.value.hits(texts)], _HITS)
 
-    return find(text)
+    return text_udf(f"array<{_HIT}>", finder)(text)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", null_ids: bool = False) -> DataFrame:
-    """The same rows and columns, and the items that each text holds: (item_id, similarity, start, words), by item."""
-    bound_batches(docs.sparkSession)
+class Marks:
+    """A bitmap with a mark for each shingle of each item, by item size below that of a shingle."""
+
+    def __init__(self):
+        self.bits = np.zeros(MARK_BITS // 8, np.uint8)
+        self.sizes = {textops.SHINGLE}
+
+    @staticmethod
+    def _places(words: np.ndarray, size: int) -> np.ndarray:
+        return textops.mix64(_grams(words, size), 0x3A) % np.uint64(MARK_BITS)
+
+    def add(self, text: str) -> None:
+        for _, run in textops.chunks([text]):
+            words, _ = textops.word_hashes(run)
+            if len(words):
+                size = min(len(words), textops.SHINGLE)
+                self.sizes.add(size)
+                at = self._places(words, size)
+                np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def shared(self, texts: list[str | None]) -> list[bool]:
+        """Whether each text, or the run of words across it and its neighbours, has a marked shingle."""
+        out = []
+        for _, run in textops.chunks(texts):
+            words, bounds = textops.word_hashes(run)
+            hits = np.zeros(len(run), bool)
+            for size in self.sizes:
+                at = self._places(words, size)
+                marked = np.flatnonzero(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                hits[np.searchsorted(bounds, marked, side="right") - 1] = True
+            out += hits.tolist()
+        return out
+
+
+def _in_slices(docs: DataFrame, items: DataFrame, slices: int, name: str) -> DataFrame:
+    """``with_hits`` for more items than one index holds."""
     context = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & (F.col("item_id").isNotNull() | F.lit(null_ids)))
-    total = items.agg(F.coalesce(F.sum(word_count(F.col("text"))), F.lit(0)).alias("n")).first()["n"]
-    slices = max(1, -(-total // INDEX_WORDS))
-    if slices == 1:
-        return docs.withColumn(name, benchmark_hits(F.col("text"), context.broadcast(_slice_index(items, 0, 1))))
-    row = f"{name}_row"
+    row, part_no = unused(docs, "row"), unused(docs, "part")
     docs = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    marks = Marks()
+    for k in range(slices):
+        for _, text in _slice(items, k, slices):
+            marks.add(text)
+    shared = context.broadcast(marks)
+    sieve = text_udf("boolean", lambda: lambda texts: pa.array(shared.value.shared(texts), pa.bool_()))
+    sifted = cut(docs.select(row, "text").where(sieve("text")))
+    shared.destroy()
     found = None
     for k in range(slices):
-        shared = context.broadcast(_slice_index(items, k, slices))
-        part = cut(docs.select(row, benchmark_hits(F.col("text"), shared).alias(name)))
-        shared.destroy()
-        del shared
-        part = part.select(row, F.explode(name).alias(name))
+        index = context.broadcast(Index(_slice(items, k, slices)))
+        part = cut(sifted.select(row, F.posexplode(benchmark_hits(F.col("text"), index)).alias("at", "hit")).withColumn(part_no, F.lit(k)))
+        index.destroy()
         found = part if found is None else found.union(part)
-    found = found.groupBy(row).agg(F.array_sort(F.collect_list(name)).alias(name))
-    return docs.join(found, row, "left").select(*docs.drop(row).columns, F.coalesce(name, F.array().cast(_HITS)).alias(name))
+    # an item_id whose texts fell into several slices counts once for each length; those without an id stay apart
+    apart = F.when(F.col("hit.item_id").isNull(), F.struct(part_no, "at"))
+    best = found.groupBy(row, "hit.item_id", "hit.words", apart.alias("apart")).agg(F.max(F.struct("hit.similarity", (-F.col("hit.start")).alias("start"))).alias("best"))
+    hit = F.struct("item_id", "best.similarity", (-F.col("best.start")).alias("start"), "words")
+    # by item as in one index: those with an id first, then those without
+    order = F.struct(F.col("item_id").isNull().alias("unnamed"), "item_id", "words", hit.alias("hit"))
+    hits = best.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["hit"]).alias(name))
+    return docs.join(hits, row, "left").select(*docs.drop(row).columns, F.coalesce(name, F.array().cast(f"array<{_HIT}>")).alias(name))
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", null_ids: bool = False) -> DataFrame:
+    """The same rows and columns, and the items that each text holds: (item_id, similarity, start, words), by item."""
+    name = unused(docs, name)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & (F.col("item_id").isNotNull() | F.lit(null_ids)))
+    total = items.agg(F.coalesce(F.sum(word_count(F.col("text"))), F.lit(0)).alias("n")).first()["n"]
+    slices = max(1, -(-total // INDEX_WORDS))
+    if slices > 1:
+        return _in_slices(docs, items, slices, name)
+    return docs.withColumn(name, benchmark_hits(F.col("text"), docs.sparkSession.sparkContext.broadcast(Index(_slice(items, 0, 1)))))

@@ -6,9 +6,13 @@ vectors of its training texts. A text has the language whose prototype is neares
 point. Runs of anything but letters count as one border, itself a letter of the trigrams.
 
 Training uses a bounded sample (ROWS_PER_LANG rows of each language in expectation); prototypes are summed on the
-executors and only their sums, one vector for each language, reach the driver. Defined cases: a text that is null or
-has no letter is ``und`` with score 0, as is every text where nothing was learned; rows without a language are not
-learned from; repeated rows are treated alike; an empty table gives no rows; all columns of the input are kept.
+executors. Only where there are at most SLICE_LANGS languages does the driver hold all prototypes; more are taken in
+slices of that many, each of which is compared with all texts, and each text keeps the best so far.
+
+Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text where nothing was learned;
+very long texts are taken whole; rows without a language are not learned from; rows without an id are drawn by their
+text; repeated rows are treated alike; an empty table gives no rows; all columns of the input are kept, and the new one
+has underscores put in front of its name while the input has one of that name.
 """
 
 from __future__ import annotations
@@ -17,14 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import bound_batches
+from quorum.llm.common import cut, frames, lookup, text_udf, unused
 from quorum.llm.textops import mix64
 
 DIMS, GRAM = 512, 3
 ROWS_PER_LANG = 1_000
+#: Languages whose prototypes (4 KB each) are held at a time, and up to which their sampling rates (100 bytes each) are sent to every executor.
+SLICE_LANGS, BROADCAST_LANGS = 1_000, 50_000
 CHUNK_CHARS, CHUNK_TEXTS, GRAM_BLOCK = 1 << 20, 256, 8_192
 #: Normalised vectors are summed as whole numbers of this fraction, so that sums don't depend on their order.
 UNIT = 1 << 20
@@ -106,9 +113,15 @@ def text_vectors(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield out
 
 
-def _bundled(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
-    for piece in pieces:
+
+    def flushed() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], ["lang", "bundle"])
+        sums.clear()
+        return out
+
+    for piece in frames(batches, "text"):
         at = 0
         langs = piece["lang"].tolist()
         for vectors in text_vectors(piece["text"].tolist()):
@@ -117,24 +130,35 @@ def _bundled(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for lang, row in zip(langs[at : at + len(units)], units):
                 sums[lang] = sums.get(lang, 0) + row
             at += len(units)
+        if len(sums) > SLICE_LANGS:
+            yield flushed()
     if sums:  # a partition may be empty
-        yield pd.DataFrame({"lang": list(sums), "bundle": [x.tolist() for x in sums.values()]})
-
-
-def learn(docs: DataFrame, accept: Column, rows_per_lang: int = ROWS_PER_LANG) -> tuple[list[str], np.ndarray]:
-    """(languages, prototypes of length 1) from a bounded sample of the rows that ``accept`` takes."""
-    bound_batches(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull() & accept).select("lang", "doc_id", "text")
-    # one row for each language, whose prototypes every executor gets as well
-    counts = F.broadcast(rows.groupBy("lang").count().select("lang", (F.lit(float(rows_per_lang)) / F.col("count")).alias("rate")))
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1_000_000)) / 1e6
-    drawn = rows.join(counts, "lang").where(draw < F.col("rate")).select("lang", "text")
-    bundles = drawn.mapInPandas(_bundled, "lang string, bundle array<long>")
+        yield flushed()
+
+
+def learn(docs: DataFrame, accept: Column, rows_per_lang: int = ROWS_PER_LANG) -> DataFrame:
+    """(lang, bundle): the prototype of each language, not normalised, from a bounded sample of the rows that ``accept`` takes."""
+    rows = docs.where(F.col("lang").isNotNull() & accept).select("lang", F.xxhash64(F.lit("language"), "doc_id", "text").alias("_draw"), "text")
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")).withColumn("_rate", F.lit(float(rows_per_lang)) / F.col("n")))
+    rated = rows.join(F.broadcast(counts.drop("n")), "lang") if counts.count() <= BROADCAST_LANGS else lookup(rows, counts, "lang")
+    drawn = rated.where(F.pmod("_draw", F.lit(1_000_000)) / 1e6 < F.col("_rate")).select("lang", "text")
+    bundles = drawn.mapInArrow(_bundled, "lang string, bundle array<long>")
     sums = bundles.select("lang", F.posexplode("bundle").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
-    sums = sums.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("bundle"))
-    found = sorted((r["lang"], r["bundle"]) for r in sums.collect())  # a row for each language
-    prototypes = np.array([x for _, x in found], dtype=np.float64).reshape(len(found), DIMS)
-    return [lang for lang, _ in found], prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1)
+    return cut(sums.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("bundle")))
+
+
+def _slices(learned: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(languages by code point, prototypes of length 1) of slices of SLICE_LANGS languages; one slice, empty perhaps, at least."""
+    last = None
+    while True:
+        some = learned if last is None else learned.where(F.col("lang") > last)
+        found = [(r["lang"], r["bundle"]) for r in some.orderBy("lang").limit(SLICE_LANGS).collect()]
+        if last is None or found:
+            prototypes = np.array([x for _, x in found], dtype=np.float64).reshape(len(found), DIMS)
+            yield [lang for lang, _ in found], prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1)
+        if len(found) < SLICE_LANGS:
+            return
+        last = found[-1][0]
 
 
 def predict(texts: list[str | None], langs: list[str], prototypes: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -153,15 +177,27 @@ def predict(texts: list[str | None], langs: list[str], prototypes: np.ndarray) -
     return names, np.concatenate(scores)
 
 
-def with_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
-    """The same rows and columns and ``language``: (lang_pred, score)."""
+_FOUND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+
+def _identifier(langs: list[str], prototypes: np.ndarray):
+    def of(texts: list[str | None]) -> pa.Array:
+        names, scores = predict(texts, langs, prototypes)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], fields=list(_FOUND))
 
-    bound_batches(docs.sparkSession)
+    return text_udf("lang_pred string, score double", lambda: of)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            names, scores = predict(texts.tolist(), langs, prototypes)
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("language", identify("text"))
+def with_languages(docs: DataFrame, learned: DataFrame, name: str = "language") -> DataFrame:
+    """The same rows and columns and ``name``: (lang_pred, score), from the prototypes of ``learn``."""
+    name, out = unused(docs, name), docs
+    best = unused(docs, f"{name}_best")
+    for k, (langs, prototypes) in enumerate(_slices(learned)):
+        found = _identifier(langs, prototypes)("text")
+        if not k:
+            out = out.withColumn(name, found)
+            continue
+        out = out.withColumn(best, found)  # of equal scores the first by code point, which came before
+        better = (F.col(f"{best}.lang_pred") != UNKNOWN) & (F.col(f"{best}.score") > F.col(f"{name}.score"))
+        out = out.withColumn(name, F.when(better, F.col(best)).otherwise(F.col(name))).drop(best)
+    return out

@@ -2,14 +2,17 @@
 
 Sources are ordered by code point, null last, and weigh 5, 2, 1 and so on in turn. They share ``share`` times all
 words; a target stops at ``repeats`` times its source's words and the excess goes to the others by weight. Within a
-source, documents are shuffled by a hash of their id; the k-th copy of a document has as its virtual finish time the
+source, documents are shuffled by a hash of their id and size; the k-th copy of a document has as its virtual finish time the
 source's words up to its end, over the weight. Copies are range-sorted by finish time over all sources and taken until
 the budget is spent. Sources that run out stop by themselves, so each one's taken words meet its target to within
 a document.
 
 Running totals are two-level: sums of buckets of a source are summed up, then the documents within a bucket, so no
-task holds a source. Defined cases: a null text has size 0; a null source is a source; a null or repeated doc_id is a
-document like any other; an empty table gives no rows; further columns of the input are left aside.
+task holds a source. Documents that agree in source, id and size are one row with a number until their places are
+known, so that no bucket fills up with them. Sources themselves (about 100 bytes each) meet in one task. Defined cases: a
+null text has size 0; very long texts are counted whole; a null source is a source; a null or repeated doc_id is a
+document like any other; ties go by source, copy, hash, id and size; an empty table gives no rows; further columns of
+the input are left aside.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, REPEATS, SEED = 1.5, 2, 17
 #: Documents of a bucket, at least (it grows with the square root of its source), and rows of a range, about.
 BUCKET_ROWS, RANGE_ROWS = 250, 20_000
+#: Alike documents that a task writes out at a time.
+ALIKE_ROWS = 10_000
 #: Up to this many sources are sent to every executor (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 #: The order of the queue: virtual finish time, then ties.
@@ -53,16 +58,22 @@ def _paced(sized: DataFrame, seed: int) -> DataFrame:
     known = sources.withColumn("buckets", F.ceil(F.col("n") / F.greatest(F.lit(float(BUCKET_ROWS)), F.sqrt("n"))).cast("int")).drop("n")
     if sources.count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
-    rows = sized.join(known.withColumnRenamed("source", "known"), F.col("source").eqNullSafe(F.col("known"))).drop("known")
-    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 15)  # 60 bits
+    alike = sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("alike"))
+    rows = alike.join(known.withColumnRenamed("source", "known"), F.col("source").eqNullSafe(F.col("known"))).drop("known")
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string"))), 1, 15)  # 60 bits
     rows = rows.withColumn("shuffled", F.conv(digits, 16, 10).cast("long"))
     rows = rows.withColumn("bucket", F.shiftright(F.shiftright("shuffled", 30) * F.col("buckets"), 30))  # ascends with it
-    sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
+    words = F.col("size") * F.col("alike")
+    sums = rows.groupBy("source_no", "bucket").agg(F.sum(words).alias("words"))
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source_no", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("source_no", "bucket").orderBy("shuffled", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("done", F.sum("size").over(within)).join(sums, ["source_no", "bucket"])
-    return rows.withColumn("done", F.col("done") + F.col("before")).drop("before", "bucket", "buckets")
+    rows = rows.withColumn("start", F.sum(words).over(within) - words).join(sums, ["source_no", "bucket"])
+    rows = rows.withColumn("start", F.col("start") + F.col("before")).drop("before", "bucket", "buckets")
+    few = rows.where(F.col("alike") <= ALIKE_ROWS).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike"))))
+    runs = rows.where(F.col("alike") > ALIKE_ROWS).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(alike - 1) div {ALIKE_ROWS}")))).repartition("source", "doc_id", "size", "run")
+    many = runs.withColumn("nth", F.explode(F.sequence(F.col("run") * ALIKE_ROWS + 1, F.least(F.col("alike"), (F.col("run") + 1) * ALIKE_ROWS)))).drop("run")
+    return few.unionByName(many).withColumn("done", F.col("start") + F.col("nth") * F.col("size")).drop("alike", "nth", "start")
 
 
 def _key(copy: Column) -> Column:

@@ -29,7 +29,7 @@ VOCABULARY = "piece_bpe_32k.model"
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = text_crc(F.col("doc_id")) % 3 == 1
-    found = langid.with_languages(docs.select("doc_id", "text"), *langid.learn(docs, ~held_out))
+    found = langid.with_languages(docs.select("doc_id", "text"), langid.learn(docs, ~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
 
 
@@ -99,18 +99,19 @@ ORACLE_SQL = {
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
           UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        told AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM talks),
         sized AS (
-          SELECT *, 14 + 2 * length(role) - length(translate(role, '\#<:', '')) + 2 * length(text) - length(translate(text, '\#<', '')) AS n FROM talks),
+          SELECT *, 14 + 2 * length(role) - length(translate(role, '\#<:', '')) + 2 * length(text) - length(translate(text, '\#<', '')) AS n FROM told),
         summed AS (
-          SELECT *, sum(n) OVER w AS total, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS turns
-          FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+          SELECT *, sum(n) OVER w AS total, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id, own) AS turns
+          FROM sized WINDOW w AS (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
         SELECT conv_id, count(*) AS n_turns,
           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
           sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
           CAST(sum(total) FILTER (role = 'assistant' OR place = turns) AS BIGINT) AS formatted_chars,
           count(*) FILTER (role = 'assistant' OR place = turns) AS n_examples
-        FROM summed GROUP BY conv_id""",
+        FROM summed GROUP BY conv_id, own""",
     "op5_url_filter": r"""
         WITH split AS (
           SELECT page_id,
@@ -138,6 +139,37 @@ ORACLE_SQL = {
         least_of AS (SELECT doc_id, min(other) AS least FROM reached GROUP BY doc_id)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id <= coalesce(least, doc_id) AS kept
         FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)""",
+    "op4_nearest": r"""
+        WITH v AS (
+          SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS x FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and([e IS NOT NULL AND isfinite(coalesce(e, 0)) FOR e IN embedding]) AND list_bool_or([coalesce(e, 0) <> 0 FOR e IN embedding])
+          GROUP BY vec_id),
+        d AS (
+          SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+          FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS place FROM d)
+        SELECT query_id, CAST(place AS INT) AS rank, vec_id, score FROM r WHERE place <= 10""",
+    "op8_decontaminate": r"""
+        WITH w AS (
+          SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        i AS (
+          SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
+        items AS (SELECT row_number() OVER () AS item, item_id, w, len(w) AS words, least(len(w), 5) AS g, len(w) - least(len(w), 5) + 1 AS n FROM i WHERE len(w) > 0),
+        item_grams AS (SELECT item, g, gram, count(*) AS m FROM (SELECT item, g, unnest(list_transform(range(1, n + 1), lambda p: array_to_string(w[p:p + g - 1], ' '))) AS gram FROM items) GROUP BY ALL),
+        doc_grams AS (
+          SELECT k, g, len(w) - g + 1 AS n, unnest(range(0, len(w) - g + 1)) AS pos, unnest(list_transform(range(1, len(w) - g + 2), lambda p: array_to_string(w[p:p + g - 1], ' '))) AS gram
+          FROM w, (SELECT DISTINCT g FROM items) WHERE len(w) >= g),
+        met AS (SELECT k, item, d.n AS doc_n, pos, gram, m FROM doc_grams d JOIN item_grams USING (g, gram)),
+        windows AS (
+          SELECT DISTINCT k, item, unnest(range(greatest(0, pos - least(i.n, doc_n) + 1), least(pos, doc_n - least(i.n, doc_n)) + 1)) AS start, least(i.n, doc_n) AS n
+          FROM met JOIN items i USING (item)),
+        counted AS (
+          SELECT k, item, start, n, m, count(*) AS c FROM windows JOIN met USING (k, item) WHERE pos >= start AND pos < start + n GROUP BY k, item, start, n, m, gram),
+        both_of AS (SELECT k, item, start, n, sum(least(c, m)) AS shared FROM counted GROUP BY ALL),
+        hits AS (
+          SELECT k, item_id, words, start, shared / (both_of.n + items.n - shared) AS similarity FROM both_of JOIN items USING (item) WHERE 4 * shared >= 3 * (both_of.n + items.n - shared)),
+        best AS (SELECT *, row_number() OVER (PARTITION BY k, item_id, words ORDER BY similarity DESC, start) AS place FROM hits)
+        SELECT doc_id, item_id, similarity, CAST(start AS INT) AS start, CAST(words AS INT) AS words FROM best JOIN w USING (k) WHERE place = 1""",
     "op9_mix": r"""
         WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
         sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -148,7 +180,7 @@ ORACLE_SQL = {
           FROM weighed WINDOW earlier AS (ORDER BY most / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         targets AS (SELECT *, coalesce(least(most, max(level) FILTER (most / weight >= level) OVER () * weight), most) AS target FROM levels),
         shuffled AS (
-          SELECT doc_id, size, t.*, CAST(('0x' || substr(md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR))), 1, 15)) AS BIGINT) AS shuffled
+          SELECT doc_id, size, t.*, CAST(('0x' || substr(md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))), 1, 15)) AS BIGINT) AS shuffled
           FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
         paced AS (
           SELECT *, row_number() OVER () AS k, CAST(sum(size) OVER (PARTITION BY source_no ORDER BY shuffled, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS done FROM shuffled),

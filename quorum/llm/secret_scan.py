@@ -3,28 +3,30 @@
 Candidates are long tokens (letters, digits and ``+/_.-``) with a digit, or what is assigned to a name by ``=``, ``:``,
 ``:=`` or ``=>``: any characters but spaces, of any number, with or without a digit, up to the closing quote or, where
 none opens, to a quote, trailing punctuation, or a separator before the next ``name=``. A random forest on their length,
-character transitions, dictionary coverage, path and neighbouring words removes the false positives. The forest is trained by Spark's own RandomForestClassifier from labelled findings and is then written as
-nested CASE expressions, which run inside one pass over the texts: no candidate leaves its document's row.
+character transitions, dictionary coverage, path, issuer's prefix and neighbouring words removes the false positives. The
+forest is trained by Spark's own RandomForestClassifier from labelled findings and is then written as nested CASE expressions, which run inside one pass over the texts: no candidate leaves its document's row.
 
 Labelled findings have (candidate, before, path, label). Without any, ``labelled_findings`` makes LABELLED of them from
 rules: keys in assignments against ids, numbers, addresses, checksums, placeholders and words.
 
-Defined cases: a null text or path is empty; an empty table gives no rows; repeated rows and repeated secrets are all
-reported, each with its place among the candidates of its text; secrets of fewer than LONG_CHARS characters are masked
+Defined cases: a null text or path is empty; very long texts are scanned whole; a score equal to the threshold is a
+secret; an empty table gives no rows; repeated rows and repeated secrets are all reported, each with its place among the
+candidates of its text; secrets of fewer than LONG_CHARS characters are masked
 where they stand as words of their own, longer ones wherever they occur; of a quoted value with spaces, the part before
-the first space is the candidate; further columns of the input are kept by ``redact``.
+the first space is the candidate; further columns of the input, whatever their names, are kept by ``redact`` and
+``with_findings``, whose new column has underscores put in front of its name while the input has one of that name.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorum.llm.common import shared_dir
+from quorum.llm.common import shared_dir, unused
 
 BEFORE_CHARS = 48
 #: From this length on, a token needs no assignment, and a secret is masked within other tokens, too.
@@ -41,6 +43,8 @@ _KEYWORD = NEAR_SECRET.replace("(?i)(", "(?:")
 _ASSIGN = r"(?::=|=>|[=:](?![=:]|//))"
 #: The name that a candidate is assigned to holds a word near secrets.
 NAMED_SECRET = rf"(?i){_KEYWORD}[\w.\-]*[\"'`\])]{{0,2}}\s*(?::=|=>|[=:])\s*[\"'`]?$"
+#: How keys of well-known issuers begin.
+ISSUED = r"^(sk_live_|sk_test_|rk_live_|gh[pousr]_|github_pat_|AKIA|ASIA|xox[abeprs]-|glpat-|AIza|SG\.|npm_|hf_)[A-Za-z0-9_\-.]{12}"
 TEST_PATH = r"(?i)(test|example|sample|doc|fixture|mock|lock|vendor|node_modules)"
 
 
@@ -84,6 +88,7 @@ def features(candidate: Column, before: Column, path: Column) -> dict[str, Colum
         "named_secret": flag(before, NAMED_SECRET),
         "assigned": flag(before, r"[=:]>?\s*[\"']?$"),
         "quoted": flag(before, r"[\"']$"),
+        "issued": flag(candidate, ISSUED),
         "test_path": flag(path, TEST_PATH),
     }
 
@@ -134,35 +139,55 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         .otherwise(F.struct(one(84, "true", "false", "null", "None", "required", "string", "changeme", "${TOKEN}", "<token>", "********", "xxxxxxxx", "os.environ", "{", "[", "$1", "it", "a").alias("c"), lead.alias("b")))
     )
     harmless = F.when(draw(112, 3) == 0, assigned).otherwise(harmless)
+    bare = F.concat(one(19, "sk_live_", "ghp_", "AKIA", "xoxb-", "glpat-"), base64)
     secret = F.col("id") % 2 == 0
+    issued = secret & (draw(116, 10) == 0)  # needs no name
     path = one(61, "src/app.py", "web/settings.ini", "docs/readme.md", "tests/fixture.json", "src0", "src7", "")
     return rows.select(
-        F.when(secret, key).otherwise(harmless["c"]).alias("candidate"),
-        F.when(secret, lead).otherwise(harmless["b"]).alias("before"),
+        F.when(issued, bare).when(secret, key).otherwise(harmless["c"]).alias("candidate"),
+        F.when(issued, one(31, "", "the of and ", "see ", "with ", "und die ", "que la ")).when(secret, lead).otherwise(harmless["b"]).alias("before"),
         path.alias("path"),
         secret.cast("double").alias("label"),
     )
 
 
-def train_forest(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 3) -> list[dict]:
-    """The forest as a list of trees of nested (feature, threshold, left, right) with the share of secrets at leaves."""
+def vectors(labelled: DataFrame) -> DataFrame:
+    """(label, features) of labelled findings, as Spark's classifiers take them."""
     named = features(F.col("candidate"), F.col("before"), F.col("path"))
     rows = VectorAssembler(inputCols=list(named), outputCol="features").transform(labelled.select("label", *[c.alias(k) for k, c in named.items()]))
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows.select("label", "features").coalesce(1))
-    where = f"{shared_dir(labelled.sparkSession)}/forest-{uuid.uuid4().hex}"
+    return rows.select("label", "features")
+
+
+def fit_forest(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 3) -> RandomForestClassificationModel:
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(vectors(labelled).coalesce(1))
+
+
+def read_forest(model: RandomForestClassificationModel, spark: SparkSession) -> list[dict]:
+    """The forest as a list of trees of nested (feature, threshold, left, right) with the share of secrets at leaves.
+
+    The model is written to the shared folder, which is the way to its leaves, and removed after it is read.
+    """
+    names = list(features(F.lit(""), F.lit(""), F.lit("")))
+    where = f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
     model.write().save(where)
     nodes: dict[tuple[int, int], dict] = {}
-    for row in labelled.sparkSession.read.parquet(f"{where}/data").select("treeID", "nodeData.*").collect():  # at most trees * 2^(depth + 1)
+    for row in spark.read.parquet(f"{where}/data").select("treeID", "nodeData.*").collect():  # at most trees * 2^(depth + 1)
         nodes[row["treeID"], row["id"]] = row.asDict(recursive=True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def grown(tree: int, at: int) -> dict | float:
         node = nodes[tree, at]
         if node["leftChild"] < 0:
             return node["impurityStats"][1] / sum(node["impurityStats"])
         split = node["split"]
-        return {"feature": list(named)[split["featureIndex"]], "threshold": split["leftCategoriesOrThreshold"][0], "left": grown(tree, node["leftChild"]), "right": grown(tree, node["rightChild"])}
+        return {"feature": names[split["featureIndex"]], "threshold": split["leftCategoriesOrThreshold"][0], "left": grown(tree, node["leftChild"]), "right": grown(tree, node["rightChild"])}
+
+    return [grown(t, 0) for t in range(model.getNumTrees)]
 
-    return [grown(t, 0) for t in range(trees)]
+
+def train_forest(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 3) -> list[dict]:
+    return read_forest(fit_forest(labelled, trees, depth, seed), labelled.sparkSession)
 
 
 def forest_score(forest: list, named) -> Column:
@@ -181,15 +206,17 @@ def forest_score(forest: list, named) -> Column:
 
 def with_findings(docs: DataFrame, forest: list, name: str) -> DataFrame:
     """Adds an array of the (place, before, candidate, score) of every candidate, null if there is none; place counts from 1."""
+    name = unused(docs, name)
+    held = unused(docs, f"{name}_tokens")
     text, path = F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
-    tokens = F.col(f"{name}_tokens")
-    out = docs.withColumn(f"{name}_tokens", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(2)))
+    tokens = F.col(held)
+    out = docs.withColumn(held, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(2)))
     before = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(3))
     found = F.transform(F.arrays_zip(tokens.alias("candidate"), before.alias("before")), lambda x, i: F.struct((i + 1).alias("place"), x["before"].alias("before"), x["candidate"].alias("candidate")))
     out = out.withColumn(name, F.when(F.size(tokens) > 0, found))
     keep = lambda x: [x[k].alias(k) for k in ("place", "before", "candidate")]
     seen = F.transform(name, lambda x: F.struct(*keep(x), F.struct(*[c.alias(k) for k, c in features(x["candidate"], x["before"], path).items()]).alias("f")))
-    return out.withColumn(name, F.transform(seen, lambda x: F.struct(*keep(x), forest_score(forest, x["f"]).alias("score")))).drop(f"{name}_tokens")
+    return out.withColumn(name, F.transform(seen, lambda x: F.struct(*keep(x), forest_score(forest, x["f"]).alias("score")))).drop(held)
 
 
 def scan(docs: DataFrame, forest: list, threshold: float = THRESHOLD) -> DataFrame:
@@ -201,7 +228,7 @@ def scan(docs: DataFrame, forest: list, threshold: float = THRESHOLD) -> DataFra
 
 def redact(docs: DataFrame, forest: list, threshold: float = THRESHOLD) -> DataFrame:
     """The same documents with every secret replaced by MARK; n_chars, where there is one and a secret was found, follows."""
-    name = "_findings"
+    name = unused(docs, "findings")
     rows = with_findings(docs, forest, name)
     secrets = F.transform(F.filter(name, lambda x: x["score"] >= threshold), lambda x: x["candidate"])
     rows = rows.withColumn(name, F.array_sort(F.array_distinct(secrets), lambda a, b: F.length(b) - F.length(a)))  # a secret may hold another

@@ -7,25 +7,24 @@ Ties are those of the common unigram tokenizers: of equally good paths into a pl
 first. A character without a piece of its own may be an unknown, 10 below the least score, counted as its UTF-8 bytes.
 Control, unknown and byte pieces are never matched in a text.
 
-Words repeat, so a worker remembers the counts of at most MEMO_WORDS of them. Defined cases: a null or empty text has
-no token; repeated rows are counted alike; an empty table gives no rows; all columns of the input are kept.
+Words repeat, so a worker remembers the counts of at most MEMO_WORDS of them, none longer than MEMO_CHARS. Defined cases:
+a null or empty text has no token; very long texts are counted whole; repeated rows are counted alike; an empty table
+gives no rows; all columns of the input are kept, and the new one has underscores put in front of its name while the
+input has one of that name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quorum.llm.common import bound_batches
+from quorum.llm.common import text_udf, unused
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO_WORDS = 400_000
+MEMO_WORDS, MEMO_CHARS = 400_000, 64
 
 
 def read_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -82,7 +81,8 @@ class Counter:
                 parts = [x for part in parts for x in part.split(c)]
         n = len("".join(parts))
         count = len(word) - n + (self.word(word) if len(parts) == 1 else sum(self._counted(part) for part in parts if part))
-        self._memo[word] = count
+        if len(word) <= MEMO_CHARS:
+            self._memo[word] = count
         return count
 
     def _counted(self, word: str) -> int:
@@ -106,13 +106,10 @@ class Counter:
 
 def with_token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], name: str = "n_tokens") -> DataFrame:
     """The same rows and columns and the number of tokens of each text."""
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(shared.value)
-        for texts in batches:
-            yield pd.Series([counter.count(text) for text in texts], dtype="int64")
+    def counter():
+        count = Counter(shared.value).count
+        return lambda texts: pa.array([count(text) for text in texts], pa.int64())
 
-    return docs.withColumn(name, count("text"))
+    return docs.withColumn(unused(docs, name), text_udf("long", counter)("text"))

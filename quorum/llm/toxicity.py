@@ -2,12 +2,15 @@
 
 A word's vector is the mean of the vectors of its hashed character n-grams, with its borders, so misspellings that were never seen share most of their vector with known words. A text is the mean of its words; a
 linear softmax scores it. Training uses a bounded sample of labelled rows (TOXIC_ROWS and CLEAN_ROWS in expectation,
-at most twice that in all) and, as further clean examples, a few words drawn from each clean text: every part of a
-clean text is clean, which keeps single words from being blamed by accident. Scoring covers every whole text.
+at most twice that in all, and at most SAMPLE_BYTES of text, of which no text is more than a hundredth) and, as further clean examples, a few words drawn from each
+clean text: every part of a clean text is clean, which keeps single words from being blamed by accident. Scoring covers
+every whole text, however long.
 
 Defined cases: a text that is null or has no word gets the softmax of the biases; without labelled rows of both
 classes every score is 0, or 1 if all there are are toxic; null labels and ids are left aside in training; repeated
-rows are scored alike; an empty table gives no rows; all columns of the input are kept.
+rows are scored alike, as are equal texts; a tie with the threshold counts as toxic; an empty table gives no rows; all
+columns of the input are kept, and the new one has underscores put in front of its name while the input has one of that
+name.
 """
 
 from __future__ import annotations
@@ -15,15 +18,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import bound_batches
+from quorum.llm.common import cut, text_udf, unused
 from quorum.llm.textops import mix64
 
 #: Bounds of the training sample, and the shape of the training.
-TOXIC_ROWS, CLEAN_ROWS = 1_200, 3_600
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1_200, 3_600, 48 << 20
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY, EPSILON = 6, 1_500, 64, 0.05, 0.02, 1e-5
 DRAWS, DRAWN_WORDS, TOXIC_WEIGHT = 8, 12, 12
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, (3, 4)
@@ -172,9 +175,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, toxic_row
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_000)) / 1e6
     rate = F.when(F.col("toxic") == 1, toxic_rows / max(counts.get(1, 0), 1)).otherwise(clean_rows / max(counts.get(0, 0), 1))
     drawn = known.where(draw < rate).dropDuplicates().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select("text", "toxic")
-    rows = rows.orderBy(F.xxhash64("text"), "text", "toxic").limit(most)
-    return [(r["text"], r["toxic"]) for r in rows.collect()]
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES // 100).join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    order = ["place", "text", "toxic"]
+    rows = cut(rows.withColumn("place", F.xxhash64("text")).orderBy(*order).limit(most))
+    sizes = rows.groupBy("place").agg(F.sum(F.octet_length("text")).alias("size")).orderBy("place").collect()  # at most ``most`` pairs of numbers
+    ends = np.cumsum([r["size"] for r in sizes])
+    last = int(np.searchsorted(ends, SAMPLE_BYTES, side="right"))
+    if last < len(sizes):
+        rows = rows.where(F.col("place") < sizes[last]["place"])
+    return [(r["text"], r["toxic"]) for r in rows.orderBy(*order).collect()]
 
 
 def train_on(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
@@ -184,12 +193,9 @@ def train_on(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
 
 def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """The same rows and columns and the score of each text."""
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(shared.value.scores(texts.tolist()), dtype="float64")
+    def scorer():
+        return lambda texts: pa.array(shared.value.scores(texts), pa.float64())
 
-    return docs.withColumn(name, score("text"))
+    return docs.withColumn(unused(docs, name), text_udf("double", scorer)("text"))

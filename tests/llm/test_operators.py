@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quorum.llm import ann, chat_format, components, decontaminate, langid, mixing, near_dedup, secret_scan, token_counts, toxicity, url_filter
+from quorum.llm import ann, chat_format, common, components, decontaminate, langid, mixing, near_dedup, secret_scan, token_counts, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -65,10 +65,11 @@ def test_round_trip_of_hostile_texts(spark):
 
 
 def test_odd_conversations(spark):
-    rows = [(None, 0, "assistant", "x"), (3, None, None, None), (3, 0, "assistant", None), (3, 0, "assistant", None), (4, 0, "user", "y" * 50_000)]
-    talks = spark.createDataFrame(rows, TALKS).withColumns({"turns": F.lit(1), "target": F.lit(2), "place": F.lit(3)})
-    found = {r["conv_id"]: r for r in chat_format.digests(chat_format.format_examples(talks)).collect()}
-    assert (found[None]["n_turns"], found[None]["loss_chars"]) == (1, 1)
+    rows = [(None, 0, "assistant", "x"), (None, 1, "user", "yy"), (3, None, None, None), (3, 0, "assistant", None), (3, 0, "assistant", None), (4, 0, "user", "y" * 50_000)]
+    talks = spark.createDataFrame(rows, TALKS).withColumns({"turns": F.lit(1), "target": F.lit(2), "place": F.lit(3), "loss": F.lit(4)})
+    found = chat_format.digests(chat_format.format_examples(talks)).collect()
+    assert sorted((r["n_turns"], r["loss_chars"], r["n_examples"]) for r in found if r["conv_id"] is None) == [(1, 0, 1), (1, 1, 1)]
+    found = {r["conv_id"]: r for r in found}
     assert (found[3]["n_turns"], found[3]["loss_chars"], found[4]["n_turns"]) == (3, 0, 1)
     assert chat_format.format_examples(talks.where("false")).count() == 0
 
@@ -157,6 +158,24 @@ def test_mix_of_many_ranges_and_buckets(spark, monkeypatch):
     test_mix_meets_its_targets(spark, 3)
 
 
+@pytest.mark.parametrize("run", [3, 10_000])
+def test_mix_of_alike_documents(spark, monkeypatch, run):
+    """A third of the rows without an id, another third one row: places are those of a plain running total."""
+    monkeypatch.setattr(mixing, "ALIKE_ROWS", run)
+    rows = [(None, "w " * (k % 4), "en", "s") for k in range(60)] + [(7, "w w", "en", "s")] * 60 + [(100 + k, "w " * (k % 9), "en", "t") for k in range(60)]
+    found = mixing.mix(documents(spark, rows)).collect()
+    sizes = Counter((i, len(t.split())) for i, t, *_ in rows)
+    assert Counter((r["doc_id"], r["size"]) for r in found) == sizes
+    done, total = 0, sorted(r["finish"] * 5 for r in found if r["doc_id"] is None or r["doc_id"] == 7)
+    digest = lambda i, n: int(hashlib.md5("|".join(["17", *([] if i is None else [str(i)]), str(n)]).encode()).hexdigest()[:15], 16)
+    want = []
+    for (i, n), c in sorted(((k, c) for k, c in sizes.items() if k[0] in (None, 7)), key=lambda x: digest(*x[0])):
+        for _ in range(c):
+            done += n
+            want.append(done)
+    assert total == pytest.approx(want)
+
+
 def test_mix_of_odd_documents(spark):
     assert mixing.mix(odd(spark)).count() == 9
     assert mixing.mix(empty(spark)).count() == 0
@@ -181,7 +200,18 @@ def test_secrets_are_told_from_lookalikes(spark, forest):
     assert {(r["doc_id"], r["secret"]) for r in found.collect()} == {(0, HEX), (1, HEX.upper())}
 
 
-def test_forest_expression_is_spark_s_forest(spark, forest):
+def test_forest_expression_is_spark_s_forest(spark):
+    """Row by row, on findings that the forest has not seen."""
+    model = secret_scan.fit_forest(secret_scan.labelled_findings(spark, 1_000), trees=5)
+    written = secret_scan.read_forest(model, spark)
+    unseen = secret_scan.labelled_findings(spark, 1_600).withColumn("at", F.monotonically_increasing_id()).orderBy(F.desc("at")).limit(600).drop("at")
+    named = secret_scan.features(F.col("candidate"), F.col("before"), F.col("path"))
+    own = unseen.select("candidate", "before", "path", F.struct(*[c.alias(k) for k, c in named.items()]).alias("f")).select(secret_scan.forest_score(written, F.col("f")).alias("score"))
+    spark_s = model.transform(secret_scan.vectors(unseen))
+    assert [r["score"] for r in own.collect()] == pytest.approx([r["probability"][1] for r in spark_s.collect()])
+
+
+def test_forest_generalises(spark, forest):
     held_out = secret_scan.labelled_findings(spark, 3_000).where("label >= 0").orderBy(F.xxhash64("candidate")).limit(800)
     named = secret_scan.features(F.col("candidate"), F.col("before"), F.col("path"))
     rows = held_out.select("label", F.struct(*[c.alias(k) for k, c in named.items()]).alias("f"))
@@ -195,6 +225,8 @@ def test_redaction(spark, forest):
     assert HEX not in found[1]["text"] and found[1]["text"].startswith('a token = "[SECRET]" and again [SECRET]')
     assert found[1]["n_chars"] == len(found[1]["text"]) and found[2]["text"] == "nothing" and found[3]["text"] is None
     assert secret_scan.redact(docs, forest).columns == docs.columns
+    clashing = docs.withColumns({"findings": F.lit("mine"), "_findings": F.lit("own"), "found_tokens": F.lit(1)})
+    assert [tuple(r) for r in secret_scan.redact(clashing, forest).select("findings", "_findings", "found_tokens").distinct().collect()] == [("mine", "own", 1)]
     assert secret_scan.redact(odd(spark), forest).count() == 9 and secret_scan.scan(empty(spark), forest).count() == 0
 
 
@@ -217,8 +249,8 @@ def test_candidates_are_assigned_values_and_long_tokens(spark):
 
 
 def test_assigned_secrets_are_found(spark, forest):
-    secrets = [(f"TOKEN={HEX}", HEX), (f'aws_secret_access_key = "{HEX}"', HEX), ("api_key=sk_live_" + HEX[:24], "sk_live_" + HEX[:24]), ('password = "Tr0ub4dor&3"', "Tr0ub4dor&3"), ("DB_PASSWORD=kGwXvTbqRzMn", "kGwXvTbqRzMn")]
-    harmless = ["title: Tr0ub4dor&3", "password: required", "max_tokens = 100", "the token expires at: 12", "color = blue", "n: 5", "https://x.com/a"]
+    secrets = [(f"TOKEN={HEX}", HEX), (f'aws_secret_access_key = "{HEX}"', HEX), ("api_key=sk_live_" + HEX[:24], "sk_live_" + HEX[:24]), ('password = "Tr0ub4dor&3"', "Tr0ub4dor&3"), ("DB_PASSWORD=kGwXvTbqRzMn", "kGwXvTbqRzMn"), (f"token={HEX}", HEX), (f"export API_KEY={HEX}", HEX), (f"https://x.com/?token={HEX}", HEX), ("use ghp_" + "a8Kd02LmQx7Zt4Vb9Ns1Pw3Rf6Yh5Jc0Ge" + " here", "ghp_a8Kd02LmQx7Zt4Vb9Ns1Pw3Rf6Yh5Jc0Ge")]
+    harmless = ["title: Tr0ub4dor&3", "password: required", "max_tokens = 100", "the token expires at: 12", "color = blue", "n: 5", "https://x.com/a", f"commit {HEX}", "see the_long_name_of_a_file_2.txt"]
     rows = documents(spark, [(k, t, "en", "src1") for k, t in enumerate([t for t, _ in secrets] + harmless)])
     assert {(r["doc_id"], r["secret"]) for r in secret_scan.scan(rows, forest).collect()} == {(k, s) for k, (_, s) in enumerate(secrets)}
     masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(rows, forest).collect()}
@@ -276,12 +308,31 @@ def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, blocks):
 
 
 def test_near_duplicates_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     rows = near_copies(5, 4, 6)
     found = near_dedup.near_duplicates(documents(spark, [(i, t, "en", "s") for i, t in rows])).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_classes(rows)
 
 
+def test_hot_families_are_settled_in_two_passes(spark, monkeypatch):
+    """A family that is most of the rows, with members that resemble only each other, in many small blocks."""
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        drift = [f"v{j}" for j in range(k % 20)]  # members 15 steps apart share less than three quarters
+        copy = base[: 60 - len(drift)] + drift
+        copy[int(rng.integers(0, 60))] = f"x{k % 7}"
+        rows.append((k, " ".join(copy)))
+    rows += [(100 + k, " ".join(base)) for k in range(20)]
+    found = near_dedup.near_duplicates(documents(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_classes(rows)
+
+
 def test_near_duplicates_of_odd_documents(spark):
     rows = near_dedup.near_duplicates(odd(spark)).collect()
     assert len(rows) == 9 and [r["component_id"] for r in rows if r["doc_id"] == 4] == [4, 4]
@@ -293,7 +344,8 @@ def test_near_duplicates_of_odd_documents(spark):
 def test_components_of_chains_and_random_links(spark, monkeypatch, limit):
     monkeypatch.setattr(components, "TASK_LINKS", limit)
     rng = np.random.default_rng(1)
-    links = [(k, k + 1) for k in range(40)] + [(int(a) + 100, int(b) + 100) for a, b in rng.integers(0, 60, (40, 2))]
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
+    links = [(k, k + 1) for k in range(40)] + [(int(a) + 100, int(b) + 100) for a, b in rng.integers(0, 60, (40, 2))] + [(300, 301 + k) for k in range(40)] + [(400 + k, 500) for k in range(40)]
     label = {k: k for link in links for k in link}
     for a, b in links:
         low, high = sorted((label[a], label[b]))
@@ -305,6 +357,38 @@ def test_components_of_chains_and_random_links(spark, monkeypatch, limit):
 # --- toxicity
 
 
+def test_scores_are_those_of_brute_force():
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(0, 0.1, toxicity.BUCKETS).astype(np.float32), -0.5)
+
+    def score(text):
+        words = []
+        for word in WORD.findall((text or "").lower()):
+            marked = [32, *map(ord, word), 32]
+            parts = [marked[k : k + n] for n in toxicity.NGRAMS for k in range(len(marked) - n + 1)]
+            values = []
+            for part in parts:
+                total = np.uint64(0)
+                for c, place in zip(part, toxicity._PLACES):
+                    total = total + np.uint64(c) * place
+                values.append(model.buckets[int(toxicity.mix64(np.array([total]), len(part))[0] % np.uint64(toxicity.BUCKETS))])
+            words.append(np.mean(values, dtype=np.float64) if values else 0.0)
+        return 1 / (1 + np.exp(-(toxicity.SCALE * (np.mean(words) if words else 0.0) + model.bias)))
+
+    texts = ["You are a fool", "a", "", None, "é ü\tx", "😀 long " * 40, "İstanbul ﬁne"]
+    with np.errstate(over="ignore"):
+        assert list(model.scores(texts)) == pytest.approx([score(t) for t in texts], abs=1e-6)
+
+
+def test_training_texts_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2_000)
+    docs = documents(spark, [(k, f"{k} " + "x" * 15, "en", "s") for k in range(200)] + [(500, "y" * 21, "en", "s")])
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(200)] + [(500, 0, 1)], "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, F.lit(True))
+    assert 1_500 < sum(len(t) for t, _ in sample) <= 2_000 and not any("y" in t for t, _ in sample)
+    assert sample == toxicity.labelled_sample(docs.repartition(5), labels, F.lit(True))
+
+
 def test_toxicity_generalises_to_misspellings(spark):
     rng = np.random.default_rng(0)
     clean = [f"{a}{b}" for a in ("ter", "lan", "mio", "pes", "dor") for b in ("a", "en", "ik", "os", "um", "ly")]
@@ -399,6 +483,7 @@ def test_items_with_null_ids_are_matched_by_text(spark, monkeypatch, words):
     found = sorted((str(r["doc_id"]), sorted(str(h["item_id"]) for h in r["h"])) for r in decontaminate.with_hits(rows, benchmark, "h", null_ids=True).collect())
     assert found == [("1", ["7", "None"]), ("2", []), ("2", []), ("3", []), ("None", ["7", "None", "None"])]
     assert max(most) == 1 and (len(most) > 1) == (words == 5)
+    assert decontaminate.with_hits(rows.withColumn("hits", F.lit("clash")), benchmark).columns[-2:] == ["hits", "_hits"]
 
 
 # --- languages
@@ -410,7 +495,7 @@ def test_languages(spark):
     rows = [(k, " ".join("".join(rng.choice(parts[lang], 2)) for _ in range(20)), lang, "s") for k in range(240) for lang in [list(parts)[k % 3]]]
     docs = documents(spark, rows)
     held_out = F.col("doc_id") % 4 == 1
-    found = langid.with_languages(docs.drop("lang"), *langid.learn(docs, ~held_out)).collect()
+    found = langid.with_languages(docs.drop("lang"), langid.learn(docs, ~held_out)).collect()
     right = {i: lang for i, _, lang, _ in rows}
     assert np.mean([r["language"]["lang_pred"] == right[r["doc_id"]] for r in found if r["doc_id"] % 4 == 1]) > 0.98
 
@@ -427,23 +512,53 @@ def test_text_vectors_are_sums_of_bound_letters():
 
 def test_empty_partitions(spark):
     docs = documents(spark, [(1, "some words of a text here", "en", "s"), (2, "noch ein Text mit Worten", "de", "t")]).repartition(16)
-    assert langid.with_languages(docs, *langid.learn(docs, F.lit(True))).count() == 2
+    assert langid.with_languages(docs, langid.learn(docs, F.lit(True))).count() == 2
     assert near_dedup.near_duplicates(docs).count() == 2
     assert mixing.mix(docs).count() == 2
 
 
 def test_odd_languages(spark):
-    langs, prototypes = langid.learn(odd(spark), F.lit(True))
-    rows = langid.with_languages(odd(spark).drop("language"), langs, prototypes).collect()
-    assert {r["doc_id"]: r["language"]["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1: "und", 2: "und", 3: "und"}
-    assert all(0 <= r["language"]["score"] <= 1 for r in rows)
+    rows = langid.with_languages(odd(spark), langid.learn(odd(spark), F.lit(True))).collect()
+    assert {r["language"] for r in rows} == {"clash"}
+    assert {r["doc_id"]: r["_language"]["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1: "und", 2: "und", 3: "und"}
+    assert all(0 <= r["_language"]["score"] <= 1 for r in rows)
     nothing = langid.learn(empty(spark), F.lit(True))
-    assert {r["language"]["lang_pred"] for r in langid.with_languages(odd(spark).drop("language"), *nothing).collect()} == {"und"}
+    assert {r["_language"]["lang_pred"] for r in langid.with_languages(odd(spark), nothing).collect()} == {"und"}
+
+
+def brute_languages(rows):
+    """(lang, cosine) of each text against the bundles of all texts of a language, straight from the definition."""
+    bundles = {}
+    for text, lang in rows:
+        v = next(langid.text_vectors([text]))[0].astype(np.float64)
+        bundles[lang] = bundles.get(lang, 0) + np.rint(v / max(np.linalg.norm(v), 1) * langid.UNIT)
+    out = []
+    for text, _ in rows:
+        v = next(langid.text_vectors([text]))[0].astype(np.float64)
+        out.append(max(((v @ b / np.linalg.norm(v) / np.linalg.norm(b), lang) for lang, b in sorted(bundles.items())), key=lambda x: x[0]))
+    return out
+
+
+@pytest.mark.parametrize(("n", "held", "sent"), [(40, 1_000, 50_000), (40, 7, 0)])
+def test_languages_in_slices_are_those_of_brute_force(spark, monkeypatch, n, held, sent):
+    monkeypatch.setattr(langid, "SLICE_LANGS", held)
+    monkeypatch.setattr(langid, "BROADCAST_LANGS", sent)
+    rng = np.random.default_rng(4)
+    rows = [("".join(chr(97 + int(c)) for c in rng.integers(0, 26, 60)) + " word", f"l{k % n:03d}") for k in range(3 * n)]
+    docs = documents(spark, [(k, t, lang, "s") for k, (t, lang) in enumerate(rows)])
+    found = {r["doc_id"]: r["language"] for r in langid.with_languages(docs, langid.learn(docs, F.lit(True))).collect()}
+    for k, (cosine, lang) in enumerate(brute_languages(rows)):
+        assert (found[k]["lang_pred"], found[k]["score"]) == (lang, pytest.approx(cosine))
 
 
 # --- token counts
 
 
+def test_token_counts_keep_a_column_of_their_name(spark):
+    row = token_counts.with_token_counts(documents(spark, [(1, "x", "en", "s")]).withColumn("n_tokens", F.lit("clash")), [("▁", 0.0), ("▁x", -1.0)]).first()
+    assert (row["n_tokens"], row["_n_tokens"]) == ("clash", 1)
+
+
 def test_token_counts_are_those_of_the_tokenizers_library(spark, sf):
     import random
 
@@ -505,6 +620,22 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert sorted(r["vec_id"] for r in few) == [1, 2]
 
 
+def test_recall_over_many_blocks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (20_000, 32))
+    x[1:400] = x[0]  # one very common vector
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {}
+    for r in ann.nearest_neighbours(table, F.col("vec_id") % 400 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, near in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(near & set(np.lexsort((np.arange(len(x)), d))[:10].tolist()))
+    assert len(got) == 50 and hits >= 0.95 * 500
+
+
 def test_chi_square_quantile():
     assert ann.chi_square_quantile(0.95, 6) == pytest.approx(12.591587243743977)
 
