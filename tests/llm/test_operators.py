@@ -419,12 +419,17 @@ def test_toxicity_of_odd_documents(spark):
 
 
 def brute_hits(text, items):
-    w, out = lowered(text), {}
+    w, out, grams = lowered(text), {}, {}
     shingles = lambda x: Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4)) if len(x) >= 5 else Counter([tuple(x)])
     for i, item in items:
         own = lowered(item)
         if not own or not w or (len(own) < 5 and len(w) < len(own)):
             continue
+        n = min(5, len(own))
+        if n not in grams:
+            grams[n] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+        if not any(tuple(own[k : k + n]) in grams[n] for k in range(len(own) - n + 1)):
+            continue  # nothing in common
         best = 0
         for start in range(max(1, len(w) - len(own) + 1)):
             window, want = shingles(w[start : start + len(own)]), shingles(own)

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -29,17 +32,87 @@ def test_held_out_languages_and_toxicity(spark):
     assert np.mean([r["predicted"] == toxic[r["doc_id"]] for r in rows]) > 0.9
 
 
-def test_pipeline_stages(spark, sf, tmp_path):
+def brute_mix(rows):
+    """(doc_id, copies) by giving out the queue one copy at a time; rows are (doc_id, source, size)."""
+    from tests.llm.test_operators import targets
+
+    weights = (5, 2, 1)
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s))
+    weight = {s: weights[k % 3] for k, s in enumerate(names)}
+    total = {s: sum(n for _, t, n in rows if t == s) for s in names}
+    queue = []
+    for s in names:
+        digest = lambda i, n: int(hashlib.md5("|".join(["17", *([] if i is None else [str(i)]), str(n)]).encode()).hexdigest()[:15], 16)
+        done = 0
+        for i, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: (digest(r[0], r[2]), r[0], r[2])):
+            done += n
+            queue += [((copy * total[s] + done) / weight[s], names.index(s), copy, digest(i, n), i, n) for copy in (0, 1)]
+    budget, spent, copies = int(sum(total.values()) * 1.5), 0, Counter()
+    for *_, i, n in sorted(queue):
+        spent += n
+        if spent > budget:
+            break
+        copies[i] += 1
+    assert all(abs(sum(copies[i] * n for i, t, n in rows if t == s) - want) <= 2 * max(n for *_, n in rows) for s, want in targets(total).items())
+    return copies
+
+
+def test_pipeline_stages_are_those_of_brute_force(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quorum.llm import secret_scan, toxicity
+    from tests.llm.test_operators import WORD, brute_classes, brute_hits
+
+    clashing = {"toxicity": F.lit("a"), "hits": F.lit("b"), "row": F.lit("c"), "gone": F.lit("d"), "findings": F.lit("e"), "score": F.lit("f")}
+    key = hashlib.sha1(b"key").hexdigest()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before, columns = docs.count(), docs.columns
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        stage(spark, docs, sf).write.parquet(str(tmp_path / str(k)))
-        docs = spark.read.parquet(str(tmp_path / str(k)))
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert docs.columns == columns, name
-            assert docs.count() <= before
-            before = docs.count()
-    assert docs.count() > 0 and {"doc_id", "taken"} <= set(docs.columns)
+    docs = docs.unionByName(spark.createDataFrame([(90_000 + k, f"{k} words of it and the token = \"{key}\" {k}", None, None, 60) for k in range(3)], docs.schema)).withColumns(clashing)
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "near_dedup", "decontamination", "secrets", "mixing"]
+
+    def run(name):
+        path = str(tmp_path / name)
+        stages[name](spark, docs, sf).write.parquet(path)
+        return spark.read.parquet(path)
+
+    def texts():
+        return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+    before, kept = texts(), run("toxicity")
+    model = toxicity.train_on(docs, spark.read.parquet(f"{sf}/labels.parquet"), F.lit(True))
+    clean = {i for (i, _), s in zip(before.items(), model.scores(list(before.values()))) if s < 0.3}
+    assert {r[0] for r in kept.select("doc_id").collect()} == clean and 0 < len(clean) < len(before)
+
+    assert kept.columns == columns
+    docs = kept
+    before, kept = texts(), run("near_dedup")
+    assert {r[0] for r in kept.select("doc_id").collect()} == {i for i, (_, c) in brute_classes(before.items()).items() if i == c}
+
+    assert kept.columns == columns
+    docs = kept
+    before, kept = texts(), run("decontamination")
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert {r[0] for r in kept.select("doc_id").collect()} == {i for i, t in before.items() if not brute_hits(t, items)}
+
+    assert kept.columns == columns
+    docs = kept
+    before, kept = texts(), run("secrets")
+    found = {}
+    for r in secret_scan.scan(docs, secret_scan.train_forest(secret_scan.labelled_findings(spark))).collect():
+        found.setdefault(r["doc_id"], set()).add(r["secret"])
+    for r in kept.collect():
+        want = before[r["doc_id"]]
+        for secret in sorted(found.get(r["doc_id"], ()), key=len, reverse=True):
+            pattern = re.escape(secret) if len(secret) >= 16 else rf"(?<![^\W_]){re.escape(secret)}(?![^\W_])"
+            want = re.sub(pattern, "[SECRET]", want)
+        assert r["text"] == want
+        assert r["doc_id"] not in found or r["n_chars"] == len(want)
+    assert kept.columns == columns and set(before) == {r[0] for r in kept.select("doc_id").collect()} and found
+
+    docs = kept
+    rows = [(r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in docs.select("doc_id", "source", "text").collect()]
+    copies = brute_mix(rows)
+    assert {r["doc_id"]: r["copies"] for r in run("mixing").collect()} == dict(copies)
 
 
 def test_pipeline_judges_near_copies_by_row(spark, sf):
