@@ -118,8 +118,9 @@ def cache_key_reuse(spark: SparkSession, sf: str) -> DataFrame:
 
 def resume_full_set(spark: SparkSession, sf: str) -> DataFrame:
     """What a resumed run returns: the records of all its tasks, old and new, by the tasks' order."""
-    tasks = tables.request_plan_rows(spark, sf).where("call_role = 'primary'").select("judge_call_id", F.col("judge_call_id").alias("position"))
-    return requests.full_set(tasks, tables.realized_rows(spark, sf).select("judge_call_id", "judgment"), "judge_call_id", "position")
+    tasks = tables.request_plan_rows(spark, sf).where("call_role = 'primary'").select("judge_call_id", F.col("judge_call_id").alias("position")).distinct()
+    store = tables.realized_rows(spark, sf).groupBy("judge_call_id").agg(F.min("judgment").alias("judgment"))
+    return requests.full_set(tasks, store, "judge_call_id", "position")
 
 
 def prompt_set(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,7 +199,8 @@ ORACLE_SQL = {
       {_R.format("count(*) FILTER (status = 'excluded') / count(*)")} AS share, count(*) FILTER (status = 'excluded') / count(*) <= 0.05e0 AS passes FROM checked""",
     "judge_configs": f"""SELECT judge_model || '-v1' AS judge_config_id, CASE judge_model WHEN 'judge-1' THEN '{{"thinking":"disabled"}}' ELSE '{{"max_tokens":64}}' END AS params, count(*) AS n_calls FROM ({tables.PLAN_SQL}) GROUP BY ALL""",
     "cache_key_reuse": f"SELECT judge_model, count(*) AS n_calls, count(DISTINCT (pair_id, variant_first)) AS n_keys FROM ({tables.PAIRWISE_SQL}) GROUP BY ALL",
-    "resume_full_set": f"SELECT p.judge_call_id, p.judge_call_id AS position, b.judgment FROM ({tables.PLAN_SQL}) p JOIN ({tables.REALIZED_SQL}) b USING (judge_call_id) WHERE p.call_role = 'primary'",
+    "resume_full_set": f"""SELECT p.judge_call_id, p.judge_call_id AS position, b.judgment FROM (SELECT DISTINCT judge_call_id FROM ({tables.PLAN_SQL}) WHERE call_role = 'primary') p
+      JOIN (SELECT judge_call_id, min(judgment) AS judgment FROM ({tables.REALIZED_SQL}) GROUP BY ALL) b USING (judge_call_id)""",
     "prompt_set": r"""SELECT doc_id AS prompt_id, sha256(text) AS text_sha256 FROM documents WHERE NOT regexp_matches(text, '(?i)\b(as an ai|language model)\b') AND length(text) BETWEEN 40 AND 2500""",
     "binary_design": f"""WITH b AS (SELECT item_id, max(judgment) FILTER (variant_id = 'A') AS x, max(judgment) FILTER (variant_id = 'N') AS y FROM ({tables.BINARY_SQL}) GROUP BY ALL),
       s AS (SELECT count(*) AS n, count(*) FILTER (x <> y) / count(*) AS psi FROM b WHERE x IS NOT NULL AND y IS NOT NULL)
