@@ -645,7 +645,43 @@ def test_chi_square_quantile():
     assert ann.chi_square_quantile(0.95, 6) == pytest.approx(12.591587243743977)
 
 
+def test_very_long_texts(spark, forest):
+    """Ten megabytes in one text, beside short ones: whole texts count, and pieces stay bounded."""
+    words = " ".join(f"w{k % 1_000}" for k in range(2_100_000))
+    item = " ".join(f"q{k}" for k in range(20))
+    long = f"{words} {item} token = \"{HEX}\" end"
+    docs = documents(spark, [(1, long, "en", "s"), (2, long + " x", "en", "s"), (3, "short text of a few words", "de", "t"), (4, None, None, None)])
+    assert len(long) > 10_000_000
+    n = len(long.split())
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == {1: n, 2: n + 1, 3: 6, 4: 0}
+    found = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs).collect()}
+    assert found[2]["component_id"] == 1 and found[1]["n_shingles"] > 1_000 and found[4]["n_shingles"] == 0
+    hits = {r["doc_id"]: [h["start"] for h in r["hits"]] for r in decontaminate.with_hits(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert hits == {1: [2_100_000], 2: [2_100_000], 3: [], 4: []}
+    assert {r["doc_id"]: r["language"]["lang_pred"] for r in langid.with_languages(docs, langid.learn(docs, F.lit(True))).collect()} == {1: "en", 2: "en", 3: "de", 4: "und"}
+    assert toxicity.with_scores(docs, toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), -2.0)).where("score < 0.2").count() == 4
+    assert token_counts.with_token_counts(docs, [("▁", 0.0), ("▁x", -1.0)]).where("n_tokens > 2100000").count() == 2
+    assert [r["secret"] for r in secret_scan.scan(docs, forest).orderBy("doc_id").collect()] == [HEX, HEX]
+
+
 def test_folds_are_by_crc32(spark):
     from quorum.llm.common import text_crc
 
     assert [r[0] for r in spark.range(5).select(text_crc(F.col("id"))).collect()] == [zlib.crc32(str(k).encode()) for k in range(5)]
+    assert spark.range(1).select(text_crc(F.lit(None).cast("long"))).first()[0] == 0
+
+
+def test_pieces_are_bounded_in_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(common, "PIECE_BYTES", 100)
+    monkeypatch.setattr(common, "PIECE_ROWS", 4)
+    sizes = np.array([10, 20, 300, 5, 5, 5, 5, 5, 90, 20])
+    assert list(common._runs(sizes)) == [(0, 2), (2, 3), (3, 7), (7, 9), (9, 10)]
+
+
+@pytest.mark.parametrize("hot", [1, 1_000])
+def test_lookups_of_hot_and_other_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rows = spark.createDataFrame([(k % 3 if k % 2 else 0, k) for k in range(40)] + [(9, 99)], "key long, v long")
+    known = rows.where("key <> 9").groupBy("key").agg(F.count("*").alias("n")).withColumn("w", F.col("key") * 10)
+    found = sorted((r["key"], r["v"], r["w"]) for r in common.lookup(rows, known, "key").collect())
+    assert found == sorted((r["key"], r["v"], r["key"] * 10) for r in rows.collect() if r["key"] != 9)

@@ -20,16 +20,22 @@ def test_query_has_the_rows_of_its_sql(spark, sf, name):
     assert oracle.normal(tuple(r) for r in found.select(*columns).collect()) == oracle.rows(queries.ORACLE_SQL[name], columns, sf)
 
 
-def test_held_out_languages_and_toxicity(spark):
+def test_held_out_languages(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
     rows = queries.QUERIES["op1_language"](spark, sf).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows) and len(rows) == len(docs)
     assert np.mean([r["lang_pred"] == docs[r["doc_id"]] for r in rows if r["held_out"] and docs[r["doc_id"]]]) > 0.95
+
+
+def test_held_out_toxicity(spark):
+    """With 329 toxic rows to learn from: most of the unseen ones are caught, and hardly a clean one."""
+    sf = "/root/testdata/sf0.1"
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    rows = [r for r in queries.QUERIES["op7_toxicity"](spark, sf).collect() if r["held_out"] and r["doc_id"] in toxic]
-    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in rows)
-    assert np.mean([r["predicted"] == toxic[r["doc_id"]] for r in rows]) > 0.9
+    rows = queries.QUERIES["op7_toxicity"](spark, sf).collect()
+    assert all(r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    predicted = {y: [r["predicted"] for r in rows if r["held_out"] and toxic.get(r["doc_id"]) == y] for y in (0, 1)}
+    assert len(predicted[1]) > 100 and np.mean(predicted[1]) > 0.55 and np.mean(predicted[0]) < 0.03
 
 
 def brute_mix(rows):
