@@ -44,23 +44,24 @@ def _header(turn: Column) -> Column:
 
 
 def format_examples(conversations: DataFrame) -> DataFrame:
-    """(conv_id, target long: place of the trained turn, null for the rest; n_context, formatted; loss_start, loss_length in code points)."""
+    """(conv_id, own: a number that tells rows without a conv_id apart, else null; target long: place of the trained turn, null for the rest; n_context, formatted; loss_start, loss_length in code points)."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    conversations = conversations.select("conv_id", "turn", "role", "text")
-    talks = conversations.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    talks = talks.unionByName(conversations.where(F.col("conv_id").isNull()).select("conv_id", F.array(turn).alias("turns")))
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("own")
+    turns = conversations.select("conv_id", own, turn.alias("turn"))
+    talks = turns.groupBy("conv_id", "own").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     talks = talks.withColumn("rendered", F.transform("turns", lambda t: F.concat(_header(t), escape(t["text"]), F.lit(TURN_END))))
     places = F.sequence(F.lit(1), F.size("turns"))
     targets = F.filter(places, lambda i: F.element_at("turns", i)["role"] == TARGET_ROLE)
     rest = F.when(F.element_at("turns", -1)["role"] != TARGET_ROLE, F.array(F.size("turns") + 1)).otherwise(F.array().cast("array<int>"))
-    each = talks.select("conv_id", "turns", "rendered", F.explode(F.concat(targets, rest)).alias("place"))
+    each = talks.select("conv_id", "own", "turns", "rendered", F.explode(F.concat(targets, rest)).alias("place"))
     context = F.array_join(F.slice("rendered", F.lit(1), F.col("place") - 1), "")
     target = F.when(F.col("place") <= F.size("turns"), F.get("turns", F.col("place") - 1))
-    each = each.select("conv_id", "place", context.alias("context"), target.alias("target"))
+    each = each.select("conv_id", "own", "place", context.alias("context"), target.alias("target"))
     prefix, reply = F.concat("context", _header(F.col("target"))), escape(F.col("target.text"))
     trained = F.col("target").isNotNull()
     return each.select(
         "conv_id",
+        "own",
         F.when(trained, F.col("place").cast("long")).alias("target"),
         (F.col("place") - 1).cast("long").alias("n_context"),
         F.when(trained, F.concat(prefix, reply, F.lit(TURN_END))).otherwise(F.col("context")).alias("formatted"),
@@ -89,12 +90,10 @@ def parse_turns(formatted: Column) -> Column:
 def digests(examples: DataFrame) -> DataFrame:
     """One row for each conversation, read back from its examples; a turn without a conv_id is one of its own."""
     loss = F.struct("target", loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_length")).alias("text"))
-    e = examples.select("conv_id", "target", "n_context", "formatted", F.when(F.col("target").isNotNull(), loss).alias("loss"))
+    e = examples.select("conv_id", "own", "target", "n_context", "formatted", F.when(F.col("target").isNotNull(), loss).alias("loss"))
     whole = F.max_by("formatted", F.struct("n_context", F.col("target").isNotNull())).alias("whole")
-    grouped = e.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(whole, F.sort_array(F.collect_list("loss")).alias("losses"), F.sum(F.length("formatted")).alias("formatted_chars"), F.count("*").alias("n_examples"))
-    single = e.where(F.col("conv_id").isNull())
-    single = single.select("conv_id", F.col("formatted").alias("whole"), F.array_compact(F.array("loss")).alias("losses"), F.length("formatted").cast("long").alias("formatted_chars"), F.lit(1).cast("long").alias("n_examples"))
-    rows = grouped.unionByName(single).withColumn("trained", F.array_join(F.transform("losses", lambda x: x["text"]), "")).withColumn("turns", parse_turns(F.col("whole")))
+    rows = e.groupBy("conv_id", "own").agg(whole, F.sort_array(F.collect_list("loss")).alias("losses"), F.sum(F.length("formatted")).alias("formatted_chars"), F.count("*").alias("n_examples"))
+    rows = rows.withColumn("trained", F.array_join(F.transform("losses", lambda x: x["text"]), "")).withColumn("turns", parse_turns(F.col("whole")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rows.select(
         "conv_id",
