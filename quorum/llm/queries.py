@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorum.llm import ann, chat_format, decontaminate, langid, mixing, near_dedup, secret_scan, token_counts, toxicity, url_filter
-from quorum.llm.common import table, text_crc
+from quorum.llm import ann, byte_bpe, chat_format, decontaminate, hard_negatives, kmeans, langid, mixing, near_dedup, secret_scan, token_counts, toxicity, url_filter
+from quorum.llm.common import cut, table, text_crc
 
 #: A conversation whose texts hold the template's control strings.
 CONTROL_CONV, CONTROL_TEXT = -7, "\\### Assistant: </turn> ok"
@@ -22,8 +22,8 @@ URL_RULES = [
 ]
 
 
-#: The vocabulary that op3 counts by.
-VOCABULARY = "piece_bpe_32k.model"
+#: The vocabularies that op3 counts by and op13 encodes by.
+VOCABULARY, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "place", F.length("secret").alias("length"), F.sha2("secret", 256).alias("secret_sha256"), "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = kmeans.ball_kmeans(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return kmeans.with_inertia(cut(assigned.drop("embedding")), centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coder = byte_bpe.Coder(byte_bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
+    rows = byte_bpe.with_bytes(byte_bpe.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), coder), coder)
+    return rows.select("doc_id", byte_bpe.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_chat_format": op2_chat_format,
@@ -90,9 +106,37 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mix": op9_mix,
     "op10_secret_scan": op10_secret_scan,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_byte_bpe": op13_byte_bpe,
     "pipeline": corpus_pipeline.run,
 }
 
+def _kmeans_sql(rounds: int = kmeans.ROUNDS) -> str:
+    """Plain k-means over all pairs of a vector and a centroid, one round after the other."""
+    nearest = """
+        a{r} AS MATERIALIZED (
+          SELECT k, vec_id, x, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance
+          FROM (SELECT k, vec_id, x, cluster, CAST(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{r})
+          GROUP BY k, vec_id, x)"""
+    moved = """
+        s{r} AS (SELECT cluster, place, sum(e) AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS e, unnest(range(64)) AS place FROM a{r}) GROUP BY cluster, place),
+        m{r} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS c FROM s{r} GROUP BY cluster),
+        c{n} AS MATERIALIZED (SELECT c{r}.cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))"""
+    steps = [nearest.format(r=0)]
+    for r in range(rounds):
+        steps += [moved.format(r=r, n=r + 1), nearest.format(r=r + 1)]
+    return """
+        WITH v AS MATERIALIZED (
+          SELECT row_number() OVER () AS k, vec_id, [CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x
+          FROM embeddings WHERE len(embedding) = 64 AND list_bool_and([e IS NOT NULL AND isfinite(coalesce(e, 0)) FOR e IN embedding])),
+        c0 AS MATERIALIZED (SELECT CAST(place - 1 AS INT) AS cluster, x AS c FROM (SELECT x, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, x) AS place FROM v) WHERE place <= 8),
+        {steps}
+        SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+          sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{last} JOIN c{last} USING (cluster)""".replace("{steps}", ",".join(steps)).replace("{last}", str(rounds))
+
+
 ORACLE_SQL = {
     "op2_chat_format": r"""
         WITH talks AS (
@@ -188,4 +232,20 @@ ORACLE_SQL = {
         running AS (SELECT *, sum(size) OVER (ORDER BY finish_at, source_no, copy, shuffled, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS words FROM queue)
         SELECT doc_id, size, source_size, target, CAST(coalesce(sum(size) FILTER (words <= budget), 0) AS BIGINT) AS taken, CAST(count(*) FILTER (words <= budget) AS INT) AS copies, done / weight AS finish
         FROM running, (SELECT floor(sum(size) * 1.5e0) AS budget FROM sized) GROUP BY k, doc_id, size, source_size, target, done, weight""",
+    "op11_hard_negatives": """
+        WITH v AS MATERIALIZED (
+          SELECT vec_id, min({'x': [CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding], 'y': CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END}) AS r
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and([e IS NOT NULL AND isfinite(coalesce(e, 0)) FOR e IN embedding]), true)
+          GROUP BY vec_id),
+        pairs AS MATERIALIZED (
+          SELECT a.vec_id AS anchor_id, b.vec_id, a.r.y = b.r.y AS alike, CAST(coalesce(list_sum(list_transform(list_zip(a.r.x, b.r.x), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.r.x) = len(b.r.x)),
+        positives AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM pairs WHERE alike),
+        met AS (
+          SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+            row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS place
+          FROM positives p JOIN pairs n USING (anchor_id) WHERE p.place <= 5 AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+        SELECT anchor_id, positive_id, CAST(place AS INT) AS rank, negative_id, positive_score, negative_score FROM met WHERE place <= 3""",
+    "op12_ball_kmeans": _kmeans_sql(),
 }

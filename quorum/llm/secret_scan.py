@@ -26,7 +26,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorum.llm.common import shared_dir, unused
+from quorum.llm.common import removed, shared_dir, unused
 
 BEFORE_CHARS = 48
 #: From this length on, a token needs no assignment, and a secret is masked within other tokens, too.
@@ -173,8 +173,7 @@ def read_forest(model: RandomForestClassificationModel, spark: SparkSession) ->
     nodes: dict[tuple[int, int], dict] = {}
     for row in spark.read.parquet(f"{where}/data").select("treeID", "nodeData.*").collect():  # at most trees * 2^(depth + 1)
         nodes[row["treeID"], row["id"]] = row.asDict(recursive=True)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    removed(spark, where)
 
     def grown(tree: int, at: int) -> dict | float:
         node = nodes[tree, at]

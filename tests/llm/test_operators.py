@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quorum.llm import ann, chat_format, common, components, decontaminate, langid, mixing, near_dedup, secret_scan, token_counts, toxicity, url_filter
+from quorum.llm import ann, chat_format, common, components, decontaminate, langid, mixing, near_dedup, secret_scan, token_counts, toxicity, url_filter, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -601,7 +601,8 @@ def test_odd_token_counts(spark):
 
 
 def test_nearest_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(vectors, "PART_ROWS", 3)
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 1, (8, 24))
     x = (centres[rng.integers(0, 8, 1500)] + rng.normal(0, 0.4, (1500, 24))).astype(np.float32)
