@@ -36,7 +36,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from quorum.llm.common import text_udf, unused
 
-MEMO_PIECES, MEMO_CHARS, MEMO_PAIRS = 400_000, 64, 1_000_000
+MEMO_PIECES, MEMO_CHARS, MEMO_PAIRS = 250_000, 48, 300_000
 #: Letters and numbers that Unicode has had since version 17 only, which the tokenizer's own library doesn't
 #: know yet; in its patterns they are neither.
 LATER = (
