@@ -19,8 +19,8 @@ def judged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
 
 
-def pairwise_judgments(spark: SparkSession, sf_dir: str, cluster: str = "p_brand") -> DataFrame:
-    """One pairwise judgment for each line: variants A and B by line status, three judges by line number."""
+def pairwise_judgments(spark: SparkSession, sf_dir: str, cluster: str = "p_brand", *more: Column) -> DataFrame:
+    """One pairwise judgment for each line: variants A and B by line status, three judges by line number; ``more`` columns of the line."""
     first = F.col("l_linestatus") == "O"
     item = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     document = F.when(F.col("l_partkey") % 10 != 0, F.col("p_brand")) if cluster == "p_brand" else F.col(cluster)
@@ -35,9 +35,15 @@ def pairwise_judgments(spark: SparkSession, sf_dir: str, cluster: str = "p_brand
         F.concat(F.lit("judge-"), (F.col("l_linenumber") % 3).cast("string")).alias("judge_model"),
         call_id().alias("judge_call_id"),
         F.when(F.col("l_quantity") <= 22, "first").when(F.col("l_quantity") <= 28, "tie").otherwise("second").alias("judgment"),
+        *more,
     )
 
 
+def dated_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairwise judgments with the time of the call and its month as the run."""
+    return pairwise_judgments(spark, sf_dir, "p_brand", F.col("l_shipdate").alias("judged_at"), F.date_format("l_shipdate", "yyyy-MM").alias("run"))
+
+
 def score_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One score from 1 to 5 for each line: variants A, N and R by return flag, responses by order."""
     return judged_lines(spark, sf_dir).select(
@@ -106,6 +112,7 @@ PAIRWISE_SQL = """
     md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))) AS judge_call_id,
     CASE WHEN l_quantity <= 22 THEN 'first' WHEN l_quantity <= 28 THEN 'tie' ELSE 'second' END AS judgment
   FROM lineitem JOIN part ON l_partkey = p_partkey"""
+DATED_SQL = PAIRWISE_SQL.replace("p_type,", "p_type, l_shipdate AS judged_at, strftime(l_shipdate, '%Y-%m') AS run,", 1)
 SCORES_SQL = """
   SELECT concat('p', CAST(l_partkey AS VARCHAR)) AS item_id, p_brand AS source_doc_id, l_returnflag AS variant_id,
     CAST(l_orderkey AS VARCHAR) AS response_id, concat('judge-', CAST(l_linenumber % 3 AS VARCHAR)) AS judge_model,
