@@ -10,6 +10,7 @@ from quorum.operators import agreement, inference, reduce, replicates, sequences
 from quorum.operators.running import join_null_safe
 from quorum.queries.judgments import N_BOOT, SEED, _CLUSTER, _PLACED, _pairwise_sql, _scores_sql, mixed_sql, rounded
 from quorum.sources import tables
+from quorum.streaming import gate
 
 #: Clusters (over all runs) at which the horizon method is narrowest.
 HORIZON = 2_000
@@ -96,9 +97,17 @@ def kappa_interval(spark: SparkSession, sf: str) -> DataFrame:
     return _intervals(stats, list(cells), {"kappa": replicates.kappa(WORDS, lambda a, b: F.col(f"{a}_{b}"))})
 
 
+def resolved_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate's statuses by the streams' own expressions, over tables: calls and answers by id, then flags by key."""
+    plan = tables.request_plan_rows(spark, sf).withColumn("planned_at", F.lit("2026-01-01").cast("timestamp"))
+    answers = tables.realized_rows(spark, sf).withColumn("answered_at", F.lit("2026-01-01").cast("timestamp"))
+    rows = gate.table_statuses(gate.resolved_calls(plan, answers, "1 HOUR"))
+    return rows.groupBy("judge_model", "status").agg(F.count("*").alias("n_keys"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (win_rate_sequence, win_rate_sequence_to_horizon, nested_variance, nested_components, score_alpha, effect_supplement_intervals, nominal_alpha_interval, interval_alpha_interval, kappa_interval)
+    for f in (resolved_gate, win_rate_sequence, win_rate_sequence_to_horizon, nested_variance, nested_components, score_alpha, effect_supplement_intervals, nominal_alpha_interval, interval_alpha_interval, kappa_interval)
 }
 
 _R = "round({0}, 9) + 0e0"
@@ -157,6 +166,14 @@ _BY_CHANCE = "(" + " + ".join("(" + " + ".join(f"{v}_{b}" for b in WORDS) + ") *
 _AGREED = "(" + " + ".join(f"{v}_{v}" for v in WORDS) + f") / {_N}"
 
 ORACLE_SQL = {
+    "resolved_gate": f"""WITH p AS ({tables.PLAN_SQL}), r AS ({tables.REALIZED_SQL}),
+      met AS (SELECT p.judge_model AS pj, p.pair_id AS pp, p.variant_first AS pv, p.call_role, r.judge_model AS rj, r.pair_id AS rp, r.variant_first AS rv, p.judge_call_id AS planned, r.judge_call_id AS back
+        FROM (SELECT DISTINCT judge_call_id, judge_model, pair_id, variant_first, call_role FROM p) p FULL JOIN (SELECT DISTINCT judge_call_id, judge_model, pair_id, variant_first FROM r) r ON p.judge_call_id = r.judge_call_id),
+      said AS (
+        SELECT pj AS judge_model, pp AS pair_id, pv AS variant_first, false AS unplanned, false AS any_back, call_role = 'primary' AS has_primary, call_role = 'primary' AND back IS NOT NULL AS primary_hit, call_role <> 'primary' AND back IS NOT NULL AS replicate_hit FROM met WHERE planned IS NOT NULL
+        UNION ALL SELECT rj, rp, rv, planned IS NULL, true, false, false, false FROM met WHERE back IS NOT NULL),
+      k AS (SELECT judge_model, pair_id, variant_first, bool_or(unplanned) AS u, bool_or(any_back) AS b, bool_or(has_primary) AS h, bool_or(primary_hit) AS p, bool_or(replicate_hit) AS r FROM said GROUP BY ALL)
+      SELECT judge_model, CASE WHEN u OR (b AND NOT h) THEN 'plumbing' WHEN p THEN 'normal' WHEN r THEN 'promotion' ELSE 'exclusion' END AS status, count(*) AS n_keys FROM k GROUP BY ALL""",
     "win_rate_sequence": _sequence_sql("t * ln(1 + t)"),
     "win_rate_sequence_to_horizon": _sequence_sql(str(HORIZON)),
     "nested_variance": f"""WITH {_NESTED_SQL}
