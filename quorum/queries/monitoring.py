@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorum.functions import recode
-from quorum.operators import agreement, inference, reduce, replicates, sequences, variance
+from quorum.operators import agreement, asof, inference, reduce, replicates, rollup, sequences, variance
 from quorum.operators.running import join_null_safe
+from quorum.queries.bias import _FIRST, _balanced_sql
 from quorum.queries.judgments import N_BOOT, SEED, _CLUSTER, _PLACED, _pairwise_sql, _scores_sql, mixed_sql, rounded
 from quorum.sources import tables
 from quorum.streaming import gate
@@ -105,9 +106,38 @@ def resolved_gate(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("judge_model", "status").agg(F.count("*").alias("n_keys"))
 
 
+def position_bias_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Position bias by judge and stratum, by either alone, and over all, with the error of each."""
+    by = ["judge_model", "stratum"]
+    calls = tables.pairwise_judgments(spark, sf).withColumn("stratum", F.when(F.col("pair_id").endswith("::N"), "near-tie").otherwise("gap"))
+    totals = inference.cluster_totals(reduce.order_balanced(calls, recode.prefers_first(), by), by)
+    return rounded(rollup.rolled_up(totals, by, [by, by[:1], by[1:], []]), "estimate", "se")
+
+
+def _prices(rows: DataFrame, at: str) -> DataFrame:
+    """Prices of calls as they change over time: a version for each judge and month, drawn from the month's own calls."""
+    return rows.groupBy("judge_model", F.date_trunc("month", at).alias("valid_from")).agg((F.lit(1.0) + F.sum("tokens_first") % 97 / 100.0).alias("price"), F.md5(F.max("judge_call_id")).alias("config"))
+
+
+def cost_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """What each month's calls cost at the price valid when they were made: a price holds from the middle of a month on."""
+    calls = tables.dated_judgments(spark, sf)
+    prices = _prices(calls, "judged_at").withColumn("valid_from", F.col("valid_from") + F.expr("INTERVAL 14 DAYS"))
+    rows = asof.asof_join(calls, prices, ["judge_model"], "judged_at", "valid_from", ["price"], slice_seconds=30 * 86_400)
+    out = rows.groupBy("judge_model", "run").agg(F.count("*").alias("n_calls"), F.count("price").alias("n_priced"), F.sum(F.col("price") * (F.col("tokens_first") + F.col("tokens_second"))).alias("cost"))
+    return rounded(out, "cost")
+
+
+def config_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """How many calls ran under each configuration of their judge, the one that was valid at their time."""
+    calls = tables.dated_judgments(spark, sf)
+    rows = asof.asof_join(calls, _prices(calls, "judged_at"), ["judge_model"], "judged_at", "valid_from", ["config", "price"])
+    return rows.groupBy("judge_model", "config").agg(F.count("*").alias("n_calls"), F.min("judged_at").cast("string").alias("first_call"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (resolved_gate, win_rate_sequence, win_rate_sequence_to_horizon, nested_variance, nested_components, score_alpha, effect_supplement_intervals, nominal_alpha_interval, interval_alpha_interval, kappa_interval)
+    for f in (position_bias_rollup, cost_as_of, config_as_of, resolved_gate, win_rate_sequence, win_rate_sequence_to_horizon, nested_variance, nested_components, score_alpha, effect_supplement_intervals, nominal_alpha_interval, interval_alpha_interval, kappa_interval)
 }
 
 _R = "round({0}, 9) + 0e0"
@@ -165,7 +195,31 @@ _N = "(" + " + ".join(f"{a}_{b}" for a, b in _CELLS) + ")"
 _BY_CHANCE = "(" + " + ".join("(" + " + ".join(f"{v}_{b}" for b in WORDS) + ") * (" + " + ".join(f"{a}_{v}" for a in WORDS) + ")" for v in WORDS) + f") / ({_N} * {_N})"
 _AGREED = "(" + " + ".join(f"{v}_{v}" for v in WORDS) + f") / {_N}"
 
+_PRICES_SQL = f"""
+  calls AS (SELECT * FROM ({tables.DATED_SQL})),
+  prices AS (SELECT judge_model, CAST(date_trunc('month', judged_at) AS TIMESTAMP) AS valid_from, 1e0 + CAST(sum(tokens_first) AS BIGINT) % 97 / 100e0 AS price, md5(max(judge_call_id)) AS config FROM calls GROUP BY ALL)"""
+
+
+
+def _level_sql(level: str, judge: str, stratum: str) -> str:
+    """One level of a rollup by itself, with squares about its own mean."""
+    return f"""
+      SELECT judge_model, stratum, '{level}' AS level, CAST(sum(size) AS BIGINT) AS n_items, count(*) AS n_clusters, {_R.format("any_value(mean)")} AS estimate,
+        {_R.format("sqrt(count(*) / (count(*) - 1) * sum((total - size * mean) ** 2)) / sum(size)")} AS se, count(*) - 1 AS df
+      FROM (SELECT *, sum(total) OVER g / sum(size) OVER g AS mean FROM (SELECT {judge} AS judge_model, {stratum} AS stratum, cluster, sum(d) AS total, count(*) AS size FROM items WHERE d IS NOT NULL GROUP BY ALL)
+        WINDOW g AS (PARTITION BY judge_model, stratum)) GROUP BY judge_model, stratum"""
+
+
+_LEVELS = (("judge_model, stratum", "judge_model", "stratum"), ("judge_model", "judge_model", "CAST(NULL AS VARCHAR)"), ("stratum", "CAST(NULL AS VARCHAR)", "stratum"), ("all", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)"))
+
 ORACLE_SQL = {
+    "position_bias_rollup": f"""WITH strata AS (SELECT *, CASE WHEN ends_with(pair_id, '::N') THEN 'near-tie' ELSE 'gap' END AS stratum FROM ({tables.PAIRWISE_SQL})), {_balanced_sql(_FIRST, "judge_model, stratum", "FROM strata")}
+      {" UNION ALL ".join(_level_sql(*level) for level in _LEVELS)}""",
+    "cost_as_of": f"""WITH {_PRICES_SQL}, later AS (SELECT * REPLACE (valid_from + INTERVAL 14 DAYS AS valid_from) FROM prices)
+      SELECT judge_model, run, count(*) AS n_calls, count(price) AS n_priced, {_R.format("sum(price * (tokens_first + tokens_second))")} AS cost
+      FROM calls c ASOF LEFT JOIN later p ON c.judge_model = p.judge_model AND c.judged_at >= p.valid_from GROUP BY ALL""".replace("SELECT judge_model, run", "SELECT c.judge_model AS judge_model, run"),
+    "config_as_of": f"""WITH {_PRICES_SQL}
+      SELECT c.judge_model AS judge_model, config, count(*) AS n_calls, strftime(min(judged_at), '%Y-%m-%d %H:%M:%S') AS first_call FROM calls c ASOF JOIN prices p ON c.judge_model = p.judge_model AND c.judged_at >= p.valid_from GROUP BY ALL""",
     "resolved_gate": f"""WITH p AS ({tables.PLAN_SQL}), r AS ({tables.REALIZED_SQL}),
       met AS (SELECT p.judge_model AS pj, p.pair_id AS pp, p.variant_first AS pv, p.call_role, r.judge_model AS rj, r.pair_id AS rp, r.variant_first AS rv, p.judge_call_id AS planned, r.judge_call_id AS back
         FROM (SELECT DISTINCT judge_call_id, judge_model, pair_id, variant_first, call_role FROM p) p FULL JOIN (SELECT DISTINCT judge_call_id, judge_model, pair_id, variant_first FROM r) r ON p.judge_call_id = r.judge_call_id),
