@@ -1,19 +1,23 @@
 """Secret scans: a random forest over regex candidates, with DataFrame functions only.
 
-Candidates are long tokens (letters, digits and ``+/_.-``) with a digit, or what is assigned to a name by ``=``, ``:``,
-``:=`` or ``=>``: any characters but spaces, of any number, with or without a digit, up to the closing quote or, where
-none opens, to a quote, trailing punctuation, or a separator before the next ``name=``. A random forest on their length,
+Candidates are long tokens (letters, digits and ``+/_.-``) with a digit or with the beginning of a well-known issuer's keys; the
+password in a URL's ``user:password@``; what follows a name like ``password`` or ``the token is`` and holds a digit; or what is
+assigned to a name by ``=``, ``:``, ``:=`` or ``=>``: a quoted value whole, with its spaces, if its line closes the quote; else any
+characters but spaces, of any number, with or without a digit, up to a quote, trailing punctuation, or a separator before the
+next ``name=``. A scheme (``Bearer``, ``Basic``, ``Token``) before a value is no part of it and never a
+candidate, nor is a name that its own colon follows. A random forest on their length,
 character transitions, dictionary coverage, path, issuer's prefix and neighbouring words removes the false positives. The
 forest is trained by Spark's own RandomForestClassifier from labelled findings and is then written as nested CASE expressions, which run inside one pass over the texts: no candidate leaves its document's row.
 
 Labelled findings have (candidate, before, path, label). Without any, ``labelled_findings`` makes LABELLED of them from
-rules: keys in assignments against ids, numbers, addresses, checksums, placeholders and words.
+rules: keys in assignments, in prose, in URLs and alone, with issuers' lengths and alphabets, against ids, numbers, addresses,
+ports, checksums, placeholders, sentences and words. The pattern runs over each text once.
 
 Defined cases: a null text or path is empty; very long texts are scanned whole; a score equal to the threshold is a
 secret; an empty table gives no rows; repeated rows and repeated secrets are all reported, each with its place among the
 candidates of its text; secrets of fewer than LONG_CHARS characters are masked
-where they stand as words of their own, longer ones wherever they occur; of a quoted value with spaces, the part before
-the first space is the candidate; further columns of the input, whatever their names, are kept by ``redact`` and
+where they stand as words of their own, longer ones wherever they occur; the noncharacters of MARKS part candidates as line
+breaks do; further columns of the input, whatever their names, are kept by ``redact`` and
 ``with_findings``, whose new column has underscores put in front of its name while the input has one of that name.
 """
 
@@ -26,7 +30,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorum.llm.common import removed, shared_dir, unused
+from quorum.llm.common import cut, removed, shared_dir, unused
 
 BEFORE_CHARS = 48
 #: From this length on, a token needs no assignment, and a secret is masked within other tokens, too.
@@ -41,26 +45,40 @@ NEAR_SECRET = r"(?i)(secret|token|passw|pwd|api.?key|auth|credential|private|bea
 NEAR_HARMLESS = r"(?i)(sha\d*|md5|checksum|digest|commit|revision|uuid|guid|etag|hash|integrity|example|sample|dummy|card|phone|order|invoice|isbn)"
 _KEYWORD = NEAR_SECRET.replace("(?i)(", "(?:")
 _ASSIGN = r"(?::=|=>|[=:](?![=:]|//))"
+#: Schemes that stand between a header's name and its secret, and names that a secret may follow in prose.
+_SCHEME = r"(?:bearer|basic|token|digest)"
+_TOLD = r"(?:password|passwd|passphrase|pwd|passcode|secret|token|credential|(?:api|access|private|signing)[ _-]?key)"
 #: The name that a candidate is assigned to holds a word near secrets.
-NAMED_SECRET = rf"(?i){_KEYWORD}[\w.\-]*[\"'`\])]{{0,2}}\s*(?::=|=>|[=:])\s*[\"'`]?$"
+NAMED_SECRET = rf"(?i){_KEYWORD}[\w.\-]*[\"'`\])]{{0,2}}\s*(?::=|=>|[=:])\s*(?:{_SCHEME}\s+)?[\"'`]?$"
+TOLD_SECRET = rf"(?i)(?<!\w){_TOLD}\s+(?:(?:is|was)\s+)?[\"'`]?$"
+AFTER_SCHEME = rf"(?i)(?<!\w){_SCHEME}\s+$"
+USER_INFO = r"://[^\s/:@]{1,64}:$"
 #: How keys of well-known issuers begin.
-ISSUED = r"^(sk_live_|sk_test_|rk_live_|gh[pousr]_|github_pat_|AKIA|ASIA|xox[abeprs]-|glpat-|AIza|SG\.|npm_|hf_)[A-Za-z0-9_\-.]{12}"
+_ISSUER = r"(?:sk_live_|sk_test_|rk_live_|gh[pousr]_|github_pat_|AKIA|ASIA|xox[abeprs]-|glpat-|AIza|SG\.|npm_|hf_)[A-Za-z0-9_\-.]{12}"
+ISSUED = f"^{_ISSUER}"
+#: Noncharacters that part what the pattern finds: before a find, before its candidate, and after it.
+MARKS = "\ufdd0\ufdd1\ufdd2"
 TEST_PATH = r"(?i)(test|example|sample|doc|fixture|mock|lock|vendor|node_modules)"
 
 
 def _candidate_pattern() -> str:
-    """Group 2 is the candidate, group 3 what stands before it on its line; possessive loops, as texts may be long."""
+    """Group 3 is the candidate, group 4 what stands before it on its line; possessive loops, as texts may be long."""
     next_name = r"[A-Za-z_][\w.\-]{0,63}=[^\s=]"
     secret_name = rf"(?i:[\w.\-]{{0,32}}{_KEYWORD}[\w.\-]{{0,32}})[\"']?[=:][^\s=]"
+    user_info = r"(?<=://[^\s/:@]{1,64}:)[^\s/@\"'`]++(?=@)"
+    whole = "|".join(rf"(?<={q})[^\s{q}]++(?:[ \t]++[^\s{q}]++)++(?={q})" for q in "\"'`")
     quoted = "|".join(rf"(?<={q})(?:[^\s{q}?&]++|[?&](?!{secret_name}))++" for q in "\"'`")
     marks = r",;.)\]}'>"  # not part of a value that they end
-    bare = rf"(?<![\"'`])(?!{secret_name})(?:[^\s\"`?&|{marks}]++|[?&|](?!{next_name})|[{marks}]++(?![\s\"`]|\z|{next_name}))++"
+    bare = rf"(?<![\"'`])(?!{secret_name})(?![\w.\-]{{1,64}}:(?:\s|\z))(?:[^\s\"`?&|{marks}]++|[?&|](?!{next_name})|[{marks}]++(?![\s\"`]|\z|{next_name}))++"
     token = r"[A-Za-z0-9+/_.\-]"
     padding = r"(?:={1,2}(?=[,;)\]}\n\r.]|[\"'`](?:[\s,;)\]}]|\z)|\z)|==(?=\s))?"
-    long = rf"(?=[A-Za-z+/_.\-]*+[0-9])(?!\.){token}{{{LONG_CHARS},}}+{padding}"
-    assigned = rf"(?<=[\p{{L}}_][0-9]{{0,4}}[\"'`\])]{{0,2}}[ \t]{{0,4}}){_ASSIGN}[ \t]{{0,8}}(?:[(\[{{<]{{1,3}}(?=[\"'`]))?[\"'`]?()"
+    long = rf"(?:(?=[A-Za-z+/_.\-]*+[0-9])|(?={_ISSUER}))(?!\.){token}{{{LONG_CHARS},}}+{padding}"
+    scheme = rf"(?:(?i:{_SCHEME})[ \t]{{1,4}}(?=[^\s]))?+"
+    assigned = rf"(?<=[\p{{L}}_][0-9]{{0,4}}[\"'`\])]{{0,2}}[ \t]{{0,4}}){_ASSIGN}[ \t]{{0,8}}(?:[(\[{{<]{{1,3}}(?=[\"'`]))?[\"'`]?{scheme}()"
+    told = rf"(?<![\w])(?i:{_TOLD})[ \t]{{1,4}}(?:(?i:is|was)[ \t]{{1,4}})?+[\"'`]?()(?=[^\s0-9]*+[0-9])(?=[^\s]{{6}})"
+    no_scheme = rf"(?!(?i:{_SCHEME})(?![^\s\"'`,;]))"
     before = rf"(?:[^\n]{{{BEFORE_CHARS}}}|(?<![^\n])[^\n]{{0,{BEFORE_CHARS - 1}}})"
-    return rf"(?:{assigned}|(?<!{token}))(?=(\1(?:{quoted}|{bare})|{long}))(?<=({before}))\2"
+    return rf"(?:{assigned}|{told}|(?<!{token}))(?=(\1{no_scheme}(?:{user_info}|{whole}|{quoted}|{bare})|\2(?:{quoted}|{bare})|{long}))(?<=({before}))\3"
 
 
 CANDIDATE = _candidate_pattern()
@@ -89,6 +107,10 @@ def features(candidate: Column, before: Column, path: Column) -> dict[str, Colum
         "assigned": flag(before, r"[=:]>?\s*[\"']?$"),
         "quoted": flag(before, r"[\"']$"),
         "issued": flag(candidate, ISSUED),
+        "spaces": share(r"\s"),
+        "told_secret": flag(before, TOLD_SECRET),
+        "after_scheme": flag(before, AFTER_SCHEME),
+        "user_info": flag(before, USER_INFO),
         "test_path": flag(path, TEST_PATH),
     }
 
@@ -98,7 +120,8 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     seed = F.sha2(F.concat(F.lit("finding "), F.col("id").cast("string")), 512)
     rows = spark.range(n).withColumn("seed", seed)
     draw = lambda at, size: F.conv(F.substr("seed", F.lit(at), F.lit(6)), 16, 10).cast("long") % size
-    one = lambda at, *of: F.element_at(F.array(*[F.lit(x) for x in of]), (draw(at, len(of)) + 1).cast("int"))
+    listed = lambda of: F.split(F.lit("\n".join(of)), "\n") if isinstance(of[0], str) else F.array(*[F.lit(x) for x in of])
+    one = lambda at, *of: F.element_at(listed(of), (draw(at, len(of)) + 1).cast("int"))
     hexes = F.substr("seed", F.lit(30), F.element_at(F.array(F.lit(20), F.lit(32), F.lit(40), F.lit(64)), (draw(1, 4) + 1).cast("int")))
     base64 = F.regexp_replace(F.base64(F.unhex(F.substr("seed", F.lit(40), F.lit(60)))), "=", "")
     key = F.when(draw(7, 10) < 5, hexes).when(draw(7, 10) < 6, F.upper(hexes)).otherwise(base64)
@@ -117,7 +140,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     lead = F.concat(one(31, "", "the of and ", "export ", "config: ", "und die ", "que la "), name, one(37, ' = "', "=", ": ", ' = "', " = '", ' : "'))
     digits = F.substr(F.regexp_replace("seed", "[^0-9]", ""), F.lit(1), F.lit(16))
     id_ = F.concat_ws("-", *[F.substr("seed", F.lit(a), F.lit(k)) for a, k in ((40, 8), (48, 4), (52, 4), (56, 4), (60, 12))])
-    word = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.conv(F.substr(F.col("seed"), k * 6, F.lit(6)), 16, 10).cast("long") % len(WORDS) + 1).cast("int"))), "")
+    word = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.element_at(listed(WORDS), (F.conv(F.substr(F.col("seed"), k * 6, F.lit(6)), 16, 10).cast("long") % len(WORDS) + 1).cast("int"))), "")
     kind = draw(43, 8)
     harmless = (
         F.when(kind == 0, F.struct(digits.alias("c"), F.lit("number the of ").alias("b")))
@@ -139,16 +162,46 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         .otherwise(F.struct(one(84, "true", "false", "null", "None", "required", "string", "changeme", "${TOKEN}", "<token>", "********", "xxxxxxxx", "os.environ", "{", "[", "$1", "it", "a").alias("c"), lead.alias("b")))
     )
     harmless = F.when(draw(112, 3) == 0, assigned).otherwise(harmless)
-    bare = F.concat(one(19, "sk_live_", "ghp_", "AKIA", "xoxb-", "glpat-"), base64)
     secret = F.col("id") % 2 == 0
-    issued = secret & (draw(116, 10) == 0)  # needs no name
-    path = one(61, "src/app.py", "web/settings.ini", "docs/readme.md", "tests/fixture.json", "src0", "src7", "")
-    return rows.select(
-        F.when(issued, bare).when(secret, key).otherwise(harmless["c"]).alias("candidate"),
-        F.when(issued, one(31, "", "the of and ", "see ", "with ", "und die ", "que la ")).when(secret, lead).otherwise(harmless["b"]).alias("before"),
-        path.alias("path"),
-        secret.cast("double").alias("label"),
+    mixed = F.regexp_replace(F.base64(F.unhex("seed")), "[+/=]", "")  # some 80 letters and digits
+    letters = F.regexp_replace(mixed, "[0-9]", "")
+    start = lambda c, n: F.substr(c, F.lit(1), F.lit(n))
+    issuer = draw(120, 10)  # issuers' own lengths and alphabets
+    bare = (
+        F.when(issuer == 0, F.concat(F.lit("sk_live_"), start(mixed, 24)))
+        .when(issuer == 1, F.concat(F.lit("ghp_"), start(mixed, 36)))
+        .when(issuer == 2, F.concat(F.lit("ghp_"), start(letters, 36)))
+        .when(issuer == 3, F.concat(F.lit("AKIA"), start(F.upper(mixed), 16)))
+        .when(issuer == 4, F.concat(F.lit("AKIA"), start(F.upper(letters), 16)))
+        .when(issuer == 5, F.concat(F.lit("xoxb-"), start(digits, 11), F.lit("-"), start(mixed, 24)))
+        .when(issuer == 6, F.concat(F.lit("glpat-"), start(mixed, 20)))
+        .when(issuer == 7, F.concat(F.lit("AIza"), start(mixed, 35)))
+        .when(issuer == 8, F.concat(F.lit("hf_"), start(letters, 34)))
+        .otherwise(F.concat(F.lit("npm_"), start(mixed, 36)))
+    )
+    free = one(31, "", "the of and ", "see ", "with ", "und die ", "que la ", "use ")
+    sentence = F.concat_ws(" ", *[one(k, *WORDS) for k in (62, 68, 74, 80)])
+    made_up = F.translate(F.concat_ws(" ", *[F.substr("seed", F.lit(a), F.lit(n)) for a, n in ((60, 6), (66, 5), (71, 7), (78, 5))]), "0123456789abcdef", "abcdefghilmnorst")
+    with_digit = F.when(draw(100, 4) == 0, typed).when(draw(100, 4) == 1, F.lower(typed)).when(draw(100, 4) == 2, hexes).otherwise(start(mixed, 20))
+    form = draw(116, 12)
+    said = (
+        F.when(form < 3, F.struct(bare.alias("c"), free.alias("b")))  # needs no name
+        .when(form == 3, F.struct(F.when(draw(96, 3) == 0, sentence).otherwise(made_up).alias("c"), F.concat(name, one(37, ' = "', ': "', " = '")).alias("b")))
+        .when((form == 4) | (form == 7), F.struct(with_digit.alias("c"), F.concat(free, one(25, "password ", "the token is ", "password is ", "the secret was ", "api key is ", "token ")).alias("b")))
+        .when(form == 5, F.struct(F.when(draw(96, 2) == 0, password).otherwise(hexes).alias("c"), F.concat(free, one(25, "postgres://admin:", "https://bot:", "mysql://root:", "amqp://svc:", "redis://user:")).alias("b")))
+        .when(form == 6, F.struct(F.when(draw(96, 2) == 0, mixed).otherwise(hexes).alias("c"), one(25, "Authorization: Bearer ", "authorization: Basic ", "Bearer ", "-H 'Authorization: token ").alias("b")))
+        .otherwise(F.struct(key.alias("c"), lead.alias("b")))
     )
+    other = draw(128 - 8, 10)
+    plainly = (
+        F.when(other == 0, F.struct(F.when(draw(96, 2) == 0, sentence).otherwise(made_up).alias("c"), F.concat(plain, F.lit('"')).alias("b")))
+        .when(other == 1, F.struct(F.concat(start(digits, 4), F.lit("/"), word).alias("c"), one(25, "http://localhost:", "at https://host:", "ws://example:").alias("b")))
+        .when(other == 2, F.struct(F.concat(start(digits, 2), one(80, "-character", "-word", "%", " minutes", "th")).alias("c"), F.concat(free, one(25, "password ", "token ", "the secret is ", "token was ")).alias("b")))
+        .otherwise(harmless)
+    )
+    path = one(61, "src/app.py", "web/settings.ini", "docs/readme.md", "tests/fixture.json", "src0", "src7", "")
+    one = F.when(secret, said).otherwise(plainly)
+    return rows.select(one.alias("one"), path.alias("path"), secret.cast("double").alias("label")).select(F.col("one.c").alias("candidate"), F.col("one.b").alias("before"), "path", "label")
 
 
 def vectors(labelled: DataFrame) -> DataFrame:
@@ -159,7 +212,7 @@ def vectors(labelled: DataFrame) -> DataFrame:
 
 
 def fit_forest(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 3) -> RandomForestClassificationModel:
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(vectors(labelled).coalesce(1))
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(vectors(cut(labelled.coalesce(1))))
 
 
 def read_forest(model: RandomForestClassificationModel, spark: SparkSession) -> list[dict]:
@@ -206,16 +259,16 @@ def forest_score(forest: list, named) -> Column:
 def with_findings(docs: DataFrame, forest: list, name: str) -> DataFrame:
     """Adds an array of the (place, before, candidate, score) of every candidate, null if there is none; place counts from 1."""
     name = unused(docs, name)
-    held = unused(docs, f"{name}_tokens")
     text, path = F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
-    tokens = F.col(held)
-    out = docs.withColumn(held, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(2)))
-    before = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(3))
-    found = F.transform(F.arrays_zip(tokens.alias("candidate"), before.alias("before")), lambda x, i: F.struct((i + 1).alias("place"), x["before"].alias("before"), x["candidate"].alias("candidate")))
-    out = out.withColumn(name, F.when(F.size(tokens) > 0, found))
+    first, middle, last = MARKS
+    marked = F.regexp_replace(F.translate(text, MARKS, "\n" * len(MARKS)), F.lit(CANDIDATE), F.lit(f"{first}$4{middle}$3{last}"))
+    pieces = F.split(marked, first)  # what stands before the first find, then one for each find
+    inside = lambda x: F.substring_index(x, last, 1)
+    found = F.transform(pieces, lambda x, i: F.struct(i.alias("place"), F.substring_index(x, middle, 1).alias("before"), F.substring_index(inside(x), middle, -1).alias("candidate")))
+    out = docs.withColumn(name, F.filter(found, lambda x: x["place"] > 0)).withColumn(name, F.when(F.size(name) > 0, F.col(name)))
     keep = lambda x: [x[k].alias(k) for k in ("place", "before", "candidate")]
     seen = F.transform(name, lambda x: F.struct(*keep(x), F.struct(*[c.alias(k) for k, c in features(x["candidate"], x["before"], path).items()]).alias("f")))
-    return out.withColumn(name, F.transform(seen, lambda x: F.struct(*keep(x), forest_score(forest, x["f"]).alias("score")))).drop(held)
+    return out.withColumn(name, F.transform(seen, lambda x: F.struct(*keep(x), forest_score(forest, x["f"]).alias("score"))))
 
 
 def scan(docs: DataFrame, forest: list, threshold: float = THRESHOLD) -> DataFrame:
