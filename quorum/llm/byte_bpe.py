@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from quorum.llm.common import text_udf, unused
 
-MEMO_PIECES, MEMO_CHARS, MEMO_PAIRS = 250_000, 48, 300_000
+MEMO_PIECES, MEMO_CHARS, MEMO_PAIRS = 400_000, 48, 300_000
 #: Letters and numbers that Unicode has had since version 17 only, which the tokenizer's own library doesn't
 #: know yet; in its patterns they are neither.
 LATER = (
@@ -181,31 +182,34 @@ class Coder:
 
     def decode(self, packed: bytes | None) -> bytes:
         """The bytes of packed ids."""
-        ids = np.frombuffer(packed or b"", "<u4").tolist()
-        try:
-            return b"".join([self.tokens[i] for i in ids])
-        except KeyError as unknown:
-            raise ValueError(f"the vocabulary has no token with the id {unknown}") from None
+        return _decoded(self.tokens, packed)
 
 
-def _with(rows: DataFrame, coder: Coder, of: str, method: str, name: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(coder)  # bounded by the vocabulary
+def _decoded(tokens: dict[int, bytes], packed: bytes | None) -> bytes:
+    try:
+        return b"".join([tokens[i] for i in np.frombuffer(packed or b"", "<u4").tolist()])
+    except KeyError as unknown:
+        raise ValueError(f"the vocabulary has no token with the id {unknown}") from None
+
+
+def _with(rows: DataFrame, of: str, name: str, table: object, run: Callable[[object], Callable[[object], bytes]]) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(table)  # bounded by the vocabulary
 
     def make():
-        run = getattr(shared.value, method)
-        return lambda values: pa.array([run(value) for value in values], pa.binary())
+        one = run(shared.value)
+        return lambda values: pa.array([one(value) for value in values], pa.binary())
 
     return rows.withColumn(unused(rows, name), text_udf("binary", make)(of))
 
 
 def with_ids(docs: DataFrame, coder: Coder, name: str = "ids") -> DataFrame:
     """The same rows and columns and the packed ids of each text."""
-    return _with(docs, coder, "text", "encode", name)
+    return _with(docs, "text", name, coder, lambda own: own.encode)
 
 
 def with_bytes(rows: DataFrame, coder: Coder, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """The same rows and columns and the bytes that packed ids stand for."""
-    return _with(rows, coder, ids, "decode", name)
+    return _with(rows, ids, name, coder.tokens, lambda tokens: partial(_decoded, tokens))
 
 
 def n_ids(packed: Column) -> Column:
