@@ -261,3 +261,12 @@ def self_preference(judgments: DataFrame, self_judge: str, self_variant: str, ot
         F.count_if(~own).alias("n_panel"),
     )
     return rows.withColumn("d", F.col("s_self") - F.col("s_panel"))
+
+
+def discordant_counts(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n_items, n_pass_fail, n_fail_pass) of paired binary items; a side other than 0 or 1 is an error that names its item."""
+    sides = paired(items).withColumns({c: recode.settled(F.col(c)) for c in ("x_a", "x_b")})
+    plain = F.col("x_a").isin(0.0, 1.0) & F.col("x_b").isin(0.0, 1.0)
+    named = F.concat(F.lit("neither pass nor fail: item "), F.coalesce(F.col("item_id").cast("string"), F.lit("null")))
+    change = F.when(plain, F.col("x_a") - F.col("x_b")).otherwise(F.raise_error(named))
+    return sides.withColumn("_change", change).groupBy(*by).agg(F.count("_change").alias("n_items"), F.count_if(F.col("_change") == 1).alias("n_pass_fail"), F.count_if(F.col("_change") == -1).alias("n_fail_pass"))

@@ -60,8 +60,22 @@ def with_retries(call: Callable[[], Completion], retries: Retries, seed: int, sl
     raise ValueError("one attempt at least is needed")
 
 
-def completions(calls: DataFrame, client: Client, retries: Retries = Retries(), threads: int = 5) -> DataFrame:
-    """(cache_key, completion, tokens, error) of each call, ``threads`` at a time in each task."""
+def bounded(calls: DataFrame, limit: int, threads: int) -> tuple[DataFrame, int]:
+    """The calls in as many partitions as may call at once, and the threads of each: their product is within ``limit``.
+
+    The bound is one of the stage, whatever the cluster's size: there are no more tasks than partitions. It presumes that
+    tasks aren't run twice at once (speculation off); calls are dealt evenly, so that all partitions work to the end.
+    """
+    if limit < 1 or threads < 1:
+        raise ValueError("a limit and threads of one at least are needed")
+    threads = min(threads, limit)
+    return calls.repartition(limit // threads), threads
+
+
+def completions(calls: DataFrame, client: Client, retries: Retries = Retries(), threads: int = 5, limit: int | None = None) -> DataFrame:
+    """(cache_key, completion, tokens, error) of each call, ``threads`` at a time in each task and ``limit`` in all."""
+    if limit is not None:
+        calls, threads = bounded(calls, limit, threads)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(row) -> tuple:
@@ -85,12 +99,15 @@ def _load(calls: DataFrame, path: str) -> DataFrame:
         return calls.sparkSession.createDataFrame([], _COMPLETION)
 
 
-def run_calls(calls: DataFrame, client: Client, cache: str, retries: Retries = Retries(), threads: int = 5) -> DataFrame:
-    """The calls with their completions; those that the cache (a Parquet folder) lacks are made and added to it."""
+def run_calls(calls: DataFrame, client: Client, cache: str, retries: Retries = Retries(), threads: int = 5, limit: int | None = None) -> DataFrame:
+    """The calls with their completions; those that the cache (a Parquet folder) lacks are made and added to it.
+
+    No more than ``limit`` calls are in flight over all tasks, if it is given.
+    """
     calls = with_cache_key(calls)
     todo = calls.join(_load(calls, cache).select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"])
     folder = f"{cache.rstrip('/')}-made"
-    made = completions(todo, client, retries, threads)
+    made = completions(todo, client, retries, threads, limit)
     made.write.mode("overwrite").parquet(folder)  # once: a second pass over ``made`` would call again
     made = calls.sparkSession.read.parquet(folder)
     append_new(made.where(F.col("error").isNull()), cache, "cache_key")

@@ -75,6 +75,11 @@ def scalar_ceiling(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reduce.ceiling_fraction(tables.score_judgments(spark, sf), 5.0), "ceiling")
 
 
+def binary_discordant_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that pass on one side only; any verdict but pass or fail would be an error."""
+    return reduce.discordant_counts(_binary(spark, sf), ONE).drop("contrast_id")
+
+
 def binary_concordance(spark: SparkSession, sf: str) -> DataFrame:
     return reduce.concordance(_binary(spark, sf), ONE).drop("contrast_id")
 
@@ -176,7 +181,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pairwise_items, pairwise_cluster_se, pairwise_cluster_sizes, pairwise_tie_rate, scalar_items, scalar_side_balance, scalar_score_distribution, scalar_skewness, scalar_ceiling,
-        binary_concordance, binary_mcnemar, signflip_exact, bootstrap_ci_hash, signflip_mc_hash, holm_bh, judge_variance, variance_components, variant_contrasts, cross_run_items,
+        binary_concordance, binary_discordant_counts, binary_mcnemar, signflip_exact, bootstrap_ci_hash, signflip_mc_hash, holm_bh, judge_variance, variance_components, variant_contrasts, cross_run_items,
         effect_supplements, replicate_variance, judge_agreement, max_t_hash,
     )
 }
@@ -235,6 +240,8 @@ ORACLE_SQL = {
       SELECT variant_id, judgment, n, round(n / sum(n) OVER v, 9) + 0e0 AS share, max(n) OVER v / sum(n) OVER v > 0.5e0 AS degenerate FROM counts WINDOW v AS (PARTITION BY variant_id)""",
     "scalar_skewness": f"WITH {_scores_sql()} SELECT count(x_a - x_b) AS n_items, round(skewness(x_a - x_b), 9) + 0e0 AS skewness, round(stddev_samp(x_a - x_b), 9) + 0e0 AS sd FROM items",
     "scalar_ceiling": f"SELECT variant_id, round(avg(CASE WHEN judgment = 5 THEN 1e0 ELSE 0e0 END), 9) + 0e0 AS ceiling FROM ({tables.SCORES_SQL}) GROUP BY ALL",
+    "binary_discordant_counts": f"""WITH b AS (SELECT item_id, max(judgment) FILTER (variant_id = 'A') AS x, max(judgment) FILTER (variant_id = 'N') AS y FROM ({tables.BINARY_SQL}) GROUP BY ALL)
+      SELECT count(*) AS n_items, count(*) FILTER (x > y) AS n_pass_fail, count(*) FILTER (x < y) AS n_fail_pass FROM b WHERE x IS NOT NULL AND y IS NOT NULL""",
     "binary_concordance": f"""WITH b AS (SELECT item_id, max(judgment) FILTER (variant_id = 'A') AS x, max(judgment) FILTER (variant_id = 'N') AS y FROM ({tables.BINARY_SQL}) GROUP BY ALL)
       SELECT true AS single, count(*) FILTER (x = 1 AND y = 1) AS n_pass_pass, count(*) FILTER (x = 1 AND y = 0) AS n_pass_fail, count(*) FILTER (x = 0 AND y = 1) AS n_fail_pass,
         count(*) FILTER (x = 0 AND y = 0) AS n_fail_fail, count(*) FILTER (x <> y) AS n_discordant FROM b WHERE x IS NOT NULL AND y IS NOT NULL""",
