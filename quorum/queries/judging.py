@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorum.functions import prompts, verdicts
 from quorum.functions.ids import derived_id
-from quorum.operators import inference, reduce
+from quorum.operators import inference, membership, reduce
 from quorum.plans import requests, study
 from quorum.queries.judgments import rounded
 from quorum.sources import records, tables
@@ -121,6 +121,13 @@ def resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     return left.groupBy("judge_model", "call_role").agg(F.count("*").alias("n_calls"))
 
 
+def resume_by_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """The same calls by way of a Bloom filter of what came back: only those that it admits meet the answers."""
+    realized = tables.realized_rows(spark, sf).select("judge_call_id")
+    left = membership.absent(tables.request_plan_rows(spark, sf), realized, "judge_call_id", membership.pages_for(realized.count()))
+    return left.groupBy("judge_model", "call_role").agg(F.count("*").alias("n_calls"))
+
+
 def dry_run(spark: SparkSession, sf: str) -> DataFrame:
     """What a rerun of the plan would do if some calls were recorded and some completions cached."""
     plan = tables.request_plan_rows(spark, sf).select("judge_call_id", F.col("call_role").alias("kind"), F.col("judge_model").alias("model"), F.md5("judge_call_id").alias("cache_key"))
@@ -223,7 +230,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         verdict_parse_pairwise, verdict_parse_binary, verdict_parse_scalar, parse_failures, counterbalanced_tasks, prompt_render, derived_ids, prompt_filter_counts, replicate_draw_hash, request_plan,
-        plan_gate, plan_gate_summary, primary_selection, incomplete_pairs, resume_antijoin, dry_run, arm_distinctness, exclusion_asymmetry, token_summary, projected_cost, false_alarms,
+        plan_gate, plan_gate_summary, primary_selection, incomplete_pairs, resume_antijoin, resume_by_filter, dry_run, arm_distinctness, exclusion_asymmetry, token_summary, projected_cost, false_alarms,
         latest_orders, record_problems, records_from_outputs, study_pairs, scores_from_outputs, prompt_draw, generation_tasks,
     )
 }
@@ -255,6 +262,9 @@ _GATE = f"""WITH plan AS ({tables.PLAN_SQL}), back AS ({tables.REALIZED_SQL}),
       gated AS (SELECT judge_model, pair_id, variant_first, CASE WHEN unplanned OR (unplanned IS NOT NULL AND NOT coalesce(has_primary, false)) THEN 'plumbing' WHEN primary_hit THEN 'normal'
         WHEN replicate_hit THEN 'promotion' ELSE 'exclusion' END AS status FROM want FULL JOIN got USING (judge_model, pair_id, variant_first))"""
 
+_PENDING = f"""WITH plan AS ({tables.PLAN_SQL}), back AS ({tables.REALIZED_SQL})
+      SELECT judge_model, call_role, count(*) AS n_calls FROM plan ANTI JOIN back USING (judge_call_id) GROUP BY ALL"""
+
 ORACLE_SQL = {
     "verdict_parse_pairwise": f"""WITH {_found("pairwise_output", _PAIR_PATTERN, "lower(x)")} SELECT doc_id, CASE WHEN len(found) = 1 AND found[1] <> 'tie' THEN found[1] END AS verdict,
       {_ERROR.format(more="WHEN found[1] = 'tie' THEN 'tie'")} AS error FROM f""",
@@ -290,8 +300,8 @@ ORACLE_SQL = {
       SELECT b.judge_model, b.pair_id, b.variant_first, arg_min(b.judge_call_id, (CASE WHEN p.call_role = 'primary' THEN 0 ELSE 1 END, b.judge_call_id)) AS judge_call_id, NOT bool_or(p.call_role = 'primary') AS promoted
       FROM back b JOIN plan p USING (judge_call_id) GROUP BY ALL""",
     "incomplete_pairs": f"SELECT judge_model, pair_id, min(variant_first) AS only_order FROM ({tables.PAIRWISE_SQL}) GROUP BY judge_model, pair_id HAVING count(DISTINCT variant_first) = 1",
-    "resume_antijoin": f"""WITH plan AS ({tables.PLAN_SQL}), back AS ({tables.REALIZED_SQL})
-      SELECT judge_model, call_role, count(*) AS n_calls FROM plan ANTI JOIN back USING (judge_call_id) GROUP BY ALL""",
+    "resume_antijoin": _PENDING,
+    "resume_by_filter": _PENDING,
     "dry_run": f"""WITH plan AS (SELECT judge_call_id, call_role AS kind, md5(judge_call_id) AS cache_key FROM ({tables.PLAN_SQL})),
       store AS (SELECT DISTINCT judge_call_id FROM plan WHERE starts_with(judge_call_id, '1')), cache AS (SELECT DISTINCT cache_key FROM plan WHERE starts_with(cache_key, '2'))
       SELECT kind, count(*) AS total, count(s.judge_call_id) AS already_recorded, count(*) FILTER (s.judge_call_id IS NULL AND c.cache_key IS NOT NULL) AS cache_hits,

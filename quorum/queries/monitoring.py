@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorum.functions import recode
-from quorum.operators import agreement, asof, inference, reduce, replicates, rollup, sequences, variance
+from quorum.operators import agreement, asof, inference, reduce, replicates, rollup, sequences, sketches, variance
 from quorum.operators.running import join_null_safe
 from quorum.queries.bias import _FIRST, _balanced_sql
 from quorum.queries.judgments import N_BOOT, SEED, _CLUSTER, _PLACED, _pairwise_sql, _scores_sql, mixed_sql, rounded
@@ -17,6 +17,7 @@ from quorum.streaming import gate
 HORIZON = 2_000
 WORDS = ("first", "second", "tie")
 UNIT = ["pair_id", "variant_first"]
+PROBABILITIES = (0.5, 0.95, 0.99)
 
 
 def _sequence(spark: SparkSession, sf: str, method: str, horizon: int | None) -> DataFrame:
@@ -135,9 +136,48 @@ def config_as_of(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("judge_model", "config").agg(F.count("*").alias("n_calls"), F.min("judged_at").cast("string").alias("first_call"))
 
 
+def _amounts(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.pairwise_judgments(spark, sf, "p_brand", F.date_format("l_shipdate", "yyyy-MM").alias("run"), F.col("l_extendedprice").alias("amount"))
+
+
+def amount_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles and numbers of items by judge from sketches of its months, held against the exact ones.
+
+    The bounds are three times the rank error of 1 in 100 cases, and five standard errors of the number of items.
+    """
+    calls = _amounts(spark, sf)
+    whole = sketches.merged(sketches.sketched(calls, ["judge_model", "run"], "amount", "item_id"), ["judge_model"])
+    reached = sketches.quantiles(whole, ["judge_model"], PROBABILITIES)
+    values = calls.groupBy("judge_model", "amount").agg(F.count("*").alias("n"))  # equal amounts meet once
+    upto = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n")
+    ranks = values.join(reached, "judge_model").groupBy("judge_model", "p").agg(
+        F.sum("n").alias("n_calls"), upto(F.col("amount") < F.col("value")).alias("below"), upto(F.col("amount") <= F.col("value")).alias("reached")
+    )
+    off = F.greatest(F.col("below") - F.col("p"), F.col("p") - F.col("reached"))
+    items = calls.groupBy("judge_model").agg(F.count_distinct("item_id").alias("n_items"), F.count_distinct("run").alias("n_runs"))
+    rows = ranks.join(items, "judge_model").join(sketches.counted(whole, ["judge_model"]).drop("n"), "judge_model")
+    near = F.abs(F.col("n_members") / F.col("n_items") - 1) <= 5 * sketches.member_error()
+    return rows.select("judge_model", "p", "n_calls", "n_runs", "n_items", (off <= 3 * sketches.rank_error()).alias("rank_within"), near.alias("items_within"))
+
+
+def kept_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that a judge sees in a month, and how many of them again in the next: months' sketches meet, held against exact numbers."""
+    calls = _amounts(spark, sf)
+    following = lambda run: F.date_format(F.add_months(F.to_date(F.concat(run, F.lit("-01"))), 1), "yyyy-MM")
+    by = ["judge_model", "run"]
+    found = sketches.shared_members(sketches.sketched(calls, by, "amount", "item_id"), ["judge_model"], "run", following)
+    seen = calls.select(*by, "item_id").distinct()
+    again = seen.select("judge_model", "item_id", F.col("run").alias("_next"))
+    exact = seen.withColumn("_next", following(F.col("run"))).join(again.withColumn("_kept", F.lit(1)), ["judge_model", "item_id", "_next"], "left")
+    exact = exact.groupBy(*by).agg(F.count("*").alias("n_items"), F.count("_kept").alias("n_again"))
+    bound = 5 * sketches.member_error() * F.col("n_items") + 1e-9
+    within = (F.abs(F.col("n_members") - F.col("n_items")) <= bound) & (F.abs(F.col("n_kept") - F.col("n_again")) <= bound)
+    return exact.join(found, by).select(*by, "n_items", "n_again", within.alias("within"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (position_bias_rollup, cost_as_of, config_as_of, resolved_gate, win_rate_sequence, win_rate_sequence_to_horizon, nested_variance, nested_components, score_alpha, effect_supplement_intervals, nominal_alpha_interval, interval_alpha_interval, kappa_interval)
+    for f in (amount_sketches, kept_items, position_bias_rollup, cost_as_of, config_as_of, resolved_gate, win_rate_sequence, win_rate_sequence_to_horizon, nested_variance, nested_components, score_alpha, effect_supplement_intervals, nominal_alpha_interval, interval_alpha_interval, kappa_interval)
 }
 
 _R = "round({0}, 9) + 0e0"
@@ -213,6 +253,12 @@ def _level_sql(level: str, judge: str, stratum: str) -> str:
 _LEVELS = (("judge_model, stratum", "judge_model", "stratum"), ("judge_model", "judge_model", "CAST(NULL AS VARCHAR)"), ("stratum", "CAST(NULL AS VARCHAR)", "stratum"), ("all", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)"))
 
 ORACLE_SQL = {
+    "amount_sketches": f"""WITH calls AS ({tables.DATED_SQL})
+      SELECT judge_model, unnest([0.5e0, 0.95e0, 0.99e0]) AS p, n_calls, n_runs, n_items, true AS rank_within, true AS items_within
+      FROM (SELECT judge_model, count(*) AS n_calls, count(DISTINCT run) AS n_runs, count(DISTINCT item_id) AS n_items FROM calls GROUP BY ALL)""",
+    "kept_items": f"""WITH seen AS (SELECT DISTINCT judge_model, run, item_id FROM ({tables.DATED_SQL}))
+      SELECT a.judge_model AS judge_model, a.run AS run, count(*) AS n_items, count(b.item_id) AS n_again, true AS within FROM seen a
+      LEFT JOIN seen b ON b.judge_model = a.judge_model AND b.item_id = a.item_id AND b.run = strftime(strptime(a.run || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH, '%Y-%m') GROUP BY ALL""",
     "position_bias_rollup": f"""WITH strata AS (SELECT *, CASE WHEN ends_with(pair_id, '::N') THEN 'near-tie' ELSE 'gap' END AS stratum FROM ({tables.PAIRWISE_SQL})), {_balanced_sql(_FIRST, "judge_model, stratum", "FROM strata")}
       {" UNION ALL ".join(_level_sql(*level) for level in _LEVELS)}""",
     "cost_as_of": f"""WITH {_PRICES_SQL}, later AS (SELECT * REPLACE (valid_from + INTERVAL 14 DAYS AS valid_from) FROM prices)
