@@ -29,6 +29,12 @@ def compare_pairwise_report(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(rows, "judge_model", "n_pairs", "n_single_order", "n_calls", "tie_rate", "counterbalanced", "n_records_used", "n_records_ignored", digits=("tie_rate",))
 
 
+def compare_pairwise_greater_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether A wins more often than B, by judge: a one-sided test; intervals stay two-sided."""
+    rows = compare.compare_pairwise(tables.pairwise_judgments(spark, sf), "A", "B", ["judge_model"], seed=SEED, alternative="greater", **DRAWS)
+    return _flat(rows, "judge_model", "tie_rate", digits=("tie_rate",))
+
+
 _SIDES = ["mean_a", "mean_b", "n_excluded", "n_side_unbalanced", "n_records_used", "n_records_ignored"]
 
 
@@ -37,6 +43,12 @@ def compare_scalar_report(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(rows, "judge_model", *_SIDES, digits=("mean_a", "mean_b"))
 
 
+def compare_scalar_less_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether A scores lower than N, by judge: a one-sided test."""
+    rows = compare.compare_scores(tables.score_judgments(spark, sf), "A", "N", ["judge_model"], seed=SEED, alternative="less", **DRAWS)
+    return _flat(rows, "judge_model", *_SIDES, digits=("mean_a", "mean_b"))
+
+
 def compare_binary_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = compare.compare_scores(tables.binary_judgments(spark, sf).withColumn("contrast_id", F.lit("A vs N")), "A", "N", ["contrast_id"], seed=SEED, binary=True, **DRAWS)
     return _flat(rows, "contrast_id", *_SIDES, "n_pass_fail", "n_fail_pass", "n_discordant", "mcnemar_p", digits=("mean_a", "mean_b", "mcnemar_p"))
@@ -80,7 +92,7 @@ def contrast_matrix_report(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        compare_pairwise_report, compare_scalar_report, compare_binary_report, position_bias_report, verbosity_association_report, verbosity_controlled_report, self_preference_report,
+        compare_pairwise_report, compare_pairwise_greater_report, compare_scalar_report, compare_scalar_less_report, compare_binary_report, position_bias_report, verbosity_association_report, verbosity_controlled_report, self_preference_report,
         non_inferiority_report, contrast_matrix_report,
     )
 }
@@ -96,15 +108,22 @@ def _tail_sql(t: str, df: str) -> str:
 
 
 _R = "round({}, 9) + 0e0"
+#: When a flipped sum is as extreme as the seen one, and the p-value from the two-sided one, by alternative.
+_SIDED = {
+    "two-sided": ("abs(drawn) >= abs(seen) - 1e-9", "{p}"),
+    "greater": ("drawn >= seen - 1e-9", "CASE WHEN mean > 0 THEN {p} / 2 ELSE 1 - {p} / 2 END"),
+    "less": ("drawn <= seen + 1e-9", "CASE WHEN mean < 0 THEN {p} / 2 ELSE 1 - {p} / 2 END"),
+}
 
 
-def _report_sql(items: str, by: str, *, scale: str = "1e0", offset: str = "0e0", seed: str = str(SEED), alpha: str = "0.05e0", more: str = "", join: str = "", columns: str = "", warnings: tuple[str, ...] = ()) -> str:
+def _report_sql(items: str, by: str, *, scale: str = "1e0", offset: str = "0e0", seed: str = str(SEED), alpha: str = "0.05e0", more: str = "", join: str = "", columns: str = "", warnings: tuple[str, ...] = (), alternative: str = "two-sided") -> str:
     """The report of CTEs that end in items (by, item_id, cluster, d), with further CTEs, joins, columns and warnings."""
     disclosure = "CASE " + " ".join(f"WHEN n_clusters >= {c} THEN 'measured coverage at {c} clusters: bootstrap {boot:.2%}, analytic {analytic:.2%}; this run''s own was not measured'" for c, boot, analytic in reversed(inference.COVERAGE)) + " ELSE 'no coverage was measured for so few clusters' END"
     shown = lambda c: _R.format(f"({c} * {scale} + {offset})")
-    warned = ", ".join(["CASE WHEN n_clusters < 20 THEN 'few clusters: ' || n_clusters END", "CASE WHEN low = high THEN 'all items have the same value: the interval is a point' END", *warnings])
+    warned = ", ".join(["CASE WHEN n_clusters < 20 THEN 'few clusters: ' || n_clusters END", "CASE WHEN low = high THEN 'all items have the same value: the interval is a point' END", *(["CASE WHEN abs(skew) > 1 THEN 'one-sided test of skewed values' END"] if alternative != "two-sided" else []), *warnings])
+    extreme, tail = _SIDED[alternative]
     chunks, bits = -(-N_PERM // inference.SIGN_BITS), inference.SIGN_BITS
-    hit = "avg(CASE WHEN abs(drawn) >= abs(seen) - 1e-9 THEN 1e0 ELSE 0e0 END)"
+    hit = f"avg(CASE WHEN {extreme} THEN 1e0 ELSE 0e0 END)"
     return f"""WITH {items.replace("items AS (", "items AS MATERIALIZED (")},
       totals AS (SELECT {by}, cluster, sum(d) AS total, count(*) AS size FROM items WHERE d IS NOT NULL GROUP BY ALL),
       numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY md5(cluster), cluster) - 1 AS k, count(*) OVER (PARTITION BY {by}) AS c FROM totals),
@@ -118,10 +137,10 @@ def _report_sql(items: str, by: str, *, scale: str = "1e0", offset: str = "0e0",
       hashed AS (SELECT {by}, total, chunk, CAST(('0x' || substr(md5(concat_ws('|', CAST({seed} AS VARCHAR), 'flip', CAST(chunk AS VARCHAR), cluster)), 1, 12)) AS BIGINT) AS h FROM numbered, range(0, {chunks}) AS r(chunk) WHERE c > {inference.ENUMERATE}),
       drawn AS (SELECT {by}, chunk, bit, sum(total * (2 * ((h >> CAST(bit AS INT)) & 1) - 1)) AS drawn, sum(total) AS seen FROM hashed, range(0, {bits}) AS r(bit) WHERE chunk * {bits} + bit < {N_PERM} GROUP BY ALL),
       flips AS (SELECT {by}, {hit} AS flip_p, 'sign-flip-exact' AS test_method FROM every GROUP BY {by}
-        UNION ALL SELECT {by}, (1 + count(*) FILTER (abs(drawn) >= abs(seen) - 1e-9)) / ({N_PERM} + 1e0), 'sign-flip-mc' FROM drawn GROUP BY {by}),
+        UNION ALL SELECT {by}, (1 + count(*) FILTER ({extreme})) / ({N_PERM} + 1e0), 'sign-flip-mc' FROM drawn GROUP BY {by}),
       spread AS (SELECT {by}, stddev_samp(d) AS sd_d, skewness(d) AS skew, round(min(d), 9) AS low, round(max(d), 9) AS high FROM items WHERE d IS NOT NULL GROUP BY ALL){more}
       SELECT {by}, {shown("mean")} AS estimate, {shown("boot_low")} AS boot_low, {shown("boot_high")} AS boot_high, {_R.format(f"boot_se * {scale}")} AS boot_se, {_R.format(f"se * {scale}")} AS analytic_se,
-        {_R.format("mean / se")} AS t_stat, {_R.format(_tail_sql("(mean / se)", "df"))} AS analytic_p, {_R.format("flip_p")} AS p_value, {_R.format(f"sd_d * {scale}")} AS sd, {_R.format("skew")} AS skewness, df, n_items, n_clusters, test_method,
+        {_R.format("mean / se")} AS t_stat, {_R.format(tail.format(p=_tail_sql("(mean / se)", "df")))} AS analytic_p, {_R.format("flip_p")} AS p_value, {_R.format(f"sd_d * {scale}")} AS sd, {_R.format("skew")} AS skewness, df, n_items, n_clusters, test_method,
         CASE WHEN n_clusters < 50 THEN 'analytic' ELSE 'bootstrap' END AS ci_method, {disclosure} AS disclosure, concat_ws('; ', {warned}) AS warnings{columns}
       FROM robust JOIN edges USING ({by}) JOIN flips USING ({by}) JOIN spread USING ({by}) {join}"""
 
@@ -189,6 +208,17 @@ ORACLE_SQL = {
         columns=f", n_pairs, n_single_order, n_calls, {_R.format('tie_rate')} AS tie_rate, n_pairs > 0 AND n_single_order = 0 AS counterbalanced, n_records_used, n_records_ignored",
         warnings=("CASE WHEN n_single_order > 0 THEN n_single_order || ' pairs were judged in one order only' END", "CASE WHEN tie_rate > 0.3e0 THEN 'more than 30% ties: the win rate is drawn towards a half' END"),
     ),
+    "compare_pairwise_greater_report": _report_sql(
+        _pairwise_sql(by="judge_model"), "judge_model", scale="0.5e0", offset="0.5e0", alternative="greater",
+        more=""",
+      counts AS (SELECT judge_model, CAST(sum(n_single_order) AS BIGINT) AS n_single_order, sum(n_ties) / sum(n_calls) AS tie_rate FROM items GROUP BY ALL)""",
+        join="JOIN counts USING (judge_model)", columns=f", {_R.format('tie_rate')} AS tie_rate",
+        warnings=("CASE WHEN n_single_order > 0 THEN n_single_order || ' pairs were judged in one order only' END", "CASE WHEN tie_rate > 0.3e0 THEN 'more than 30% ties: the win rate is drawn towards a half' END"),
+    ),
+    "compare_scalar_less_report": _report_sql(
+        _SCALAR, "judge_model", more=_SCORED.format(by="judge_model"), join=_SCORED_JOIN.format(by="judge_model"), columns=_SCORED_COLUMNS, alternative="less",
+        warnings=(*_SCORED_WARNINGS, "CASE WHEN degenerate THEN 'more than half of a variant''s scores are the same' END"),
+    ),
     "compare_scalar_report": _report_sql(
         _SCALAR, "judge_model", more=_SCORED.format(by="judge_model"), join=_SCORED_JOIN.format(by="judge_model"), columns=_SCORED_COLUMNS,
         warnings=(*_SCORED_WARNINGS, "CASE WHEN degenerate THEN 'more than half of a variant''s scores are the same' END"),
