@@ -102,6 +102,19 @@ def test_many_rules_are_joined_by_a_shuffle(spark, monkeypatch):
     test_urls_against_rules(spark)
 
 
+@pytest.mark.parametrize("hot_rows", [10, 10**6])
+def test_sixty_thousand_rules_under_one_suffix(spark, monkeypatch, hot_rows):
+    """Every page has the expressions of ``com``, one of them a rule: hot expressions are broadcast, and results are the same."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    rules = spark.range(60_000).select(F.concat(F.lit("h"), "id", F.lit(".com")).alias("host"), F.lit("/a/").alias("path"), F.lit("block").alias("verdict"))
+    rules = rules.union(spark.createDataFrame([("com", "/", "block"), ("h7.com", "/a/b", "allow")], rules.schema))
+    pages = spark.range(4_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), F.col("id") % 200, F.lit(".com/"), F.when(F.col("id") % 2 == 0, "a/").otherwise("c/"), F.col("id")).alias("url"))
+    pages = pages.union(spark.createDataFrame([(4_000, "http://h7.com/a/b?"), (4_001, "http://h7.org/a/b"), (4_002, None)], pages.schema))
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules).collect()}
+    want = {k: (f"h{k % 200}.com/a/", "block") if k % 2 == 0 else ("com/", "block") for k in range(4_000)}
+    assert found == want | {4_000: ("h7.com/a/b", "allow"), 4_001: (None, "allow"), 4_002: (None, "allow")}
+
+
 # --- mixing
 
 
