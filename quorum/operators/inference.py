@@ -37,19 +37,40 @@ def cluster_totals(items: DataFrame, by: Sequence[str], value: str = "d") -> Dat
     return rows.groupBy(*by, "cluster").agg(F.sum(checked).alias("total"), F.count("*").alias("size"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
-def cluster_robust(totals: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, n_items, n_clusters, estimate, se, t_stat, df, degenerate) from cluster totals; se and t are NaN for one cluster."""
-    means = totals.groupBy(*by).agg(
-        F.sum("size").alias("n_items"), F.count("*").alias("n_clusters"), (F.sum("total") / F.sum("size")).alias("estimate"), (settled(F.min("low")) == settled(F.max("high"))).alias("degenerate")
+def cluster_moments(totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, n_items, n_clusters, estimate, squares, degenerate, cluster_sizes) from cluster totals, in one aggregation.
+
+    Clusters of one size are summed up first, so that a contrast's row is made from its distinct sizes: their number is
+    that of the map cluster_sizes, at most the root of twice the items. ``squares`` is the sum of the clusters' squared
+    residuals, from the totals' variance within a size and the sizes' means.
+    """
+    alike = totals.groupBy(*by, "size").agg(
+        F.count("*").alias("n"), F.sum("total").alias("total"), F.avg("total").alias("mean"), (F.count("*") * F.var_pop("total")).alias("within"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    squares = totals.join(means, list(by)).groupBy(*by).agg(F.sum(F.pow(F.col("total") - F.col("size") * F.col("estimate"), 2)).alias("squares"))
-    rows = means.join(squares, list(by))
+    rows = alike.groupBy(*by).agg(
+        F.sum(F.col("n") * F.col("size")).alias("n_items"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_clusters"),
+        (F.sum("total") / F.sum(F.col("n") * F.col("size"))).alias("estimate"),
+        (settled(F.min("low")) == settled(F.max("high"))).alias("degenerate"),
+        F.sort_array(F.collect_list(F.struct("size", "n", "mean", "within"))).alias("sizes"),
+    )
+    residuals = F.aggregate("sizes", F.lit(0.0), lambda q, x: q + x["within"] + x["n"] * F.pow(x["mean"] - x["size"] * F.col("estimate"), 2))
+    sizes = F.map_from_entries(F.transform("sizes", lambda x: F.struct(x["size"], x["n"])))
+    return rows.select(*by, "n_items", "n_clusters", "estimate", residuals.alias("squares"), "degenerate", sizes.alias("cluster_sizes"))
+
+
+def with_robust_error(moments: DataFrame) -> DataFrame:
+    """Adds se, t_stat and df; se and t are NaN for one cluster."""
     c, nan = F.col("n_clusters"), F.lit(float("nan"))
     se = F.when(c > 1, F.sqrt(F.try_divide(c, c - 1) * F.col("squares")) / F.col("n_items")).otherwise(nan)
     estimate = F.col("estimate")
     t = F.when(F.col("se") > 0, F.try_divide(estimate, F.col("se"))).when(estimate == 0, 0.0).otherwise(F.signum(estimate) * float("inf"))
-    rows = rows.withColumn("se", se).withColumn("t_stat", F.when(F.isnan("se"), nan).otherwise(t))
-    return rows.select(*by, "n_items", "n_clusters", "estimate", "se", "t_stat", (c - 1).alias("df"), "degenerate")
+    return moments.withColumn("se", se).withColumn("t_stat", F.when(F.isnan("se"), nan).otherwise(t)).withColumn("df", c - 1)
+
+
+def cluster_robust(totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, n_items, n_clusters, estimate, se, t_stat, df, degenerate) from cluster totals."""
+    return with_robust_error(cluster_moments(totals, by)).select(*by, "n_items", "n_clusters", "estimate", "se", "t_stat", "df", "degenerate")
 
 
 def with_t_interval(rows: DataFrame, alpha: float = 0.05, alternative: str = "two-sided", power: float = 0.8) -> DataFrame:
@@ -132,22 +153,29 @@ def _block_sums(total: np.ndarray, size: np.ndarray, c: int, block: int, held: i
     return pd.DataFrame({"_b": np.arange(n_boot), "_sum": totals, "_drawn": sizes})
 
 
-def bootstrap(totals: DataFrame, by: Sequence[str], seed: int | Column, alpha: float = 0.05, n_boot: int = 10_000) -> DataFrame:
+def bootstrap(totals: DataFrame, by: Sequence[str], seed: int | Column, alpha: float = 0.05, n_boot: int = 10_000, most: int | None = None) -> DataFrame:
     """(by, boot_low, boot_high, boot_se): cluster bootstrap, in blocks of BLOCK_CLUSTERS clusters.
 
     A replicate draws as many clusters as there are, with replacement; a block's share of them follows the multinomial
     law, and within a block each draw is a hash of seed, block, replicate and slot. Blocks give sums by replicate.
+    ``most`` is the greatest number of clusters of a contrast, where it is known: contrasts of one block are numbered in
+    their task, which gives the same draws without a shuffle for the numbers.
     """
     if n_boot < 2:
         raise ValueError("at least two bootstrap draws are needed")
     by, held = list(by), BLOCK_CLUSTERS
-    rows = _numbered(totals, by).select(*by, (F.col("_place") / held).cast("long").alias("_block"), "_place", "_clusters", F.col("total").alias("_total"), F.col("size").alias("_size"), _seed(seed).alias("_seed"))
+    if most is not None and most <= held:
+        rows = totals.withColumns({"_block": F.lit(0).cast("long"), "_place": F.md5("cluster"), "_clusters": F.lit(None).cast("long")})
+    else:
+        rows = _numbered(totals, by).withColumn("_block", (F.col("_place") / held).cast("long"))
+    rows = rows.select(*by, "_block", "_place", "_clusters", F.col("total").alias("_total"), F.col("size").alias("_size"), _seed(seed).alias("_seed"))
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by] + ["_b long", "_sum double", "_drawn long"])
 
     def sums(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_place")
         one = part.iloc[0]
-        out = _block_sums(part["_total"].to_numpy(float), part["_size"].to_numpy(np.int64), int(one["_clusters"]), int(one["_block"]), held, n_boot, int(one["_seed"]))
+        c = len(part) if pd.isna(one["_clusters"]) else int(one["_clusters"])
+        out = _block_sums(part["_total"].to_numpy(float), part["_size"].to_numpy(np.int64), c, int(one["_block"]), held, n_boot, int(one["_seed"]))
         return pd.concat([pd.DataFrame({c: [one[c]] * len(out) for c in by}), out], axis=1)
 
     drawn = rows.groupBy(*by, "_block").applyInPandas(sums, schema)
@@ -179,9 +207,14 @@ def sign_flip_by_hash(totals: DataFrame, by: Sequence[str], seed: int | Column,
     return sums.groupBy(*by).agg(((F.count_if(_hit(F.col("drawn"), F.col("seen"), alternative)) + 1) / F.lit(n_perm + 1)).alias("flip_p"))
 
 
-def sign_flips(totals: DataFrame, by: Sequence[str], seed: int | Column, n_perm: int = 10_000, alternative: str = "two-sided") -> DataFrame:
-    """(by, flip_p, flip_method): exact for contrasts with at most ENUMERATE clusters, Monte Carlo for the others."""
+def sign_flips(totals: DataFrame, by: Sequence[str], seed: int | Column, n_perm: int = 10_000, alternative: str = "two-sided", least: int = 0) -> DataFrame:
+    """(by, flip_p, flip_method): exact for contrasts with at most ENUMERATE clusters, Monte Carlo for the others.
+
+    ``least`` is the smallest number of clusters of a contrast, where it is known.
+    """
     by = list(by)
+    if least > ENUMERATE:
+        return sign_flip_by_hash(totals, by, seed, n_perm, alternative).withColumn("flip_method", F.lit("sign-flip-mc"))
     many = totals.groupBy(*by).agg(F.count("*").alias("_c")).where(F.col("_c") > ENUMERATE).select(*by)
     exact = sign_flip_exact(totals, by, alternative).select(*by, "flip_p", F.lit("sign-flip-exact").alias("flip_method"))
     return exact.unionByName(sign_flip_by_hash(totals.join(many, by, "left_semi"), by, seed, n_perm, alternative).withColumn("flip_method", F.lit("sign-flip-mc")))

@@ -187,12 +187,16 @@ def call_counts(judgments: DataFrame, code: Column, by: Sequence[str] = ()) -> D
     )
 
 
+def diagnostic_columns() -> dict[str, Column]:
+    """n_pairs, n_single_order, n_calls, tie_rate and counterbalanced as aggregates of reduced pairwise items."""
+    counts = {c: F.sum(c) for c in ("n_pairs", "n_single_order", "n_calls")}
+    tie_rate = F.try_divide(F.sum("n_ties").cast("double"), counts["n_calls"])
+    return counts | {"tie_rate": tie_rate, "counterbalanced": (counts["n_pairs"] > 0) & (counts["n_single_order"] == 0)}
+
+
 def pairwise_diagnostics(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, n_items, n_pairs, n_single_order, n_calls, tie_rate, counterbalanced) of reduced pairwise items."""
-    out = items.groupBy(*by).agg(
-        F.count("*").alias("n_items"), F.sum("n_pairs").alias("n_pairs"), F.sum("n_single_order").alias("n_single_order"), F.sum("n_calls").alias("n_calls"), F.try_divide(F.sum("n_ties").cast("double"), F.sum("n_calls")).alias("tie_rate")
-    )
-    return out.withColumn("counterbalanced", (F.col("n_pairs") > 0) & (F.col("n_single_order") == 0))
+    return items.groupBy(*by).agg(F.count("*").alias("n_items"), *[c.alias(name) for name, c in diagnostic_columns().items()])
 
 
 def sample_skewness(value: Column) -> Column:
@@ -216,22 +220,27 @@ def ceiling_fraction(scores: DataFrame, high: float, by: Sequence[str] = ()) ->
     return scores.groupBy(*by, "variant_id").agg(F.avg((F.col("judgment") == high).cast("double")).alias("ceiling"))
 
 
+def degenerate_scores(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, degenerate): whether more than half of a variant's scores are the same."""
+    counts = scores.groupBy(*by, "variant_id", "judgment").agg(F.count("*").alias("n"))
+    variants = counts.groupBy(*by, "variant_id").agg((F.max("n") / F.sum("n") > 0.5).alias("degenerate"))
+    return variants.groupBy(*by).agg(F.bool_or("degenerate").alias("degenerate"))
+
+
+def concordance_columns() -> dict[str, Column]:
+    """single, n_pass_pass, n_pass_fail, n_fail_pass, n_fail_fail and n_discordant as aggregates of binary items, of those with both variants."""
+    both, a, b = F.col("d").isNotNull(), recode.settled(F.col("x_a")), recode.settled(F.col("x_b"))
+    single = F.bool_and(F.when(both, a.isin(0.0, 1.0) & b.isin(0.0, 1.0)))
+    cells = {"n_pass_pass": (a == 1) & (b == 1), "n_pass_fail": (a == 1) & (b == 0), "n_fail_pass": (a == 0) & (b == 1), "n_fail_fail": (a == 0) & (b == 0), "n_discordant": a != b}
+    return {"single": single} | {name: F.when(single, F.count_if(both & cell)) for name, cell in cells.items()}
+
+
 def concordance(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, n_pass_pass, n_pass_fail, n_fail_pass, n_fail_fail, n_discordant, single) of paired binary items.
 
     ``single`` tells whether every item has a plain 0 or 1 on both sides; the other columns are null where it is not.
     """
-    both = paired(items).withColumns({c: recode.settled(F.col(c)) for c in ("x_a", "x_b")})
-    cell = lambda x, y: F.count_if((F.col("x_a") == x) & (F.col("x_b") == y))
-    out = both.groupBy(*by).agg(
-        F.bool_and(F.col("x_a").isin(0.0, 1.0) & F.col("x_b").isin(0.0, 1.0)).alias("single"),
-        cell(1, 1).alias("n_pass_pass"),
-        cell(1, 0).alias("n_pass_fail"),
-        cell(0, 1).alias("n_fail_pass"),
-        cell(0, 0).alias("n_fail_fail"),
-    )
-    out = out.withColumn("n_discordant", F.col("n_pass_fail") + F.col("n_fail_pass"))
-    return out.select(*by, "single", *[F.when(F.col("single"), F.col(c)).alias(c) for c in ("n_pass_pass", "n_pass_fail", "n_fail_pass", "n_fail_fail", "n_discordant")])
+    return paired(items).groupBy(*by).agg(*[c.alias(name) for name, c in concordance_columns().items()])
 
 
 def incomplete_pairs(judgments: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.functions import recode
 from quorum.operators import inference, multiplicity, reduce
+from quorum.sources.checkpoints import cut
 
+#: Contrasts up to whose number a table with one row for each is broadcast.
+BROADCAST_CONTRASTS = 100_000
 CAVEAT = "Read every result as seen by the judge that was used: more items or repeated calls don't lessen the errors that a judge makes throughout."
 
 
@@ -17,40 +20,40 @@ def _warnings(*pairs: tuple[Column, Column | str]) -> Column:
     return F.array_compact(F.array(*[F.when(when, F.lit(what) if isinstance(what, str) else what) for when, what in pairs]))
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """The same rows, written to the session's checkpoint folder where it has one, as a report passes over them several times."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
-
-
-def _refused(rows: DataFrame, by: list[str], items: DataFrame, value: str, empty: str | None, expected: DataFrame | None) -> DataFrame:
-    """The report rows; a contrast of the items, or an expected one, without an item with a value is an error that says ``empty``."""
-    if empty is None:
-        return rows
-    counts = items.groupBy(*by).agg(F.count(value).alias("_n"))
-    counts = counts if expected is None else expected.join(counts, by, "left")
-    name = F.concat_ws(", ", *[F.col(c).cast("string") for c in by])
-    estimate = F.when(F.coalesce(F.col("_n"), F.lit(0)) == 0, F.raise_error(F.concat(F.lit(empty + ": "), name)).cast("double")).otherwise(F.col("estimate"))
-    return counts.join(rows, by, "left").withColumn("estimate", estimate).select(*rows.columns)
-
-
 def report(
     items: DataFrame, by: Sequence[str], *, seed: int | Column, scale: float = 1.0, offset: float = 0.0, alpha: float = 0.05, n_boot: int = 10_000, n_perm: int = 10_000, alternative: str = "two-sided",
-    value: str = "d", null: float = 0.0, empty: str | None = None, expected: DataFrame | None = None,
+    value: str = "d", null: float = 0.0, empty: str | None = None, expected: DataFrame | None = None, also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """A row for each contrast of items with a value: estimate, both intervals, the primary one, p-values and warnings.
 
     The engine works on the items' values; estimates and intervals are shown as scale * x + offset. A contrast without
     an item with a value has no row or, with ``empty``, is an error of that text; ``expected`` has the contrasts that
-    must be there.
+    must be there. ``also`` are more aggregates of a contrast's items, as columns of the report.
+
+    What comes from items is one aggregation, what comes from clusters another, whose greatest and smallest numbers of
+    clusters tell which draws are needed.
     """
     by = list(by)
-    items = _kept(items.select(*by, "cluster", value))
-    totals = _kept(inference.cluster_totals(items, by, value))
-    rows = inference.with_t_interval(inference.cluster_robust(totals, by), alpha, alternative)
-    rows = rows.join(inference.bootstrap(totals, by, seed, alpha, n_boot), by).join(inference.sign_flips(totals, by, seed, n_perm, alternative), by)
-    sizes = inference.cluster_sizes(totals, by).groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("size", "n_clusters")))).alias("cluster_sizes"))
-    spread = items.where(F.col(value).isNotNull()).groupBy(*by).agg(F.coalesce(F.stddev_samp(value), F.lit(float("nan"))).alias("sd"), reduce.sample_skewness(F.col(value)).alias("skewness"))
-    rows = _refused(rows.join(sizes, by).join(spread, by), by, items, value, empty, expected)
+    also = also or {}
+    items = cut(items)
+    totals = cut(inference.cluster_totals(items, by, value))
+    moments = cut(inference.with_robust_error(inference.cluster_moments(totals, by)))
+    seen = moments.agg(F.count("*").alias("n"), F.min("n_clusters").alias("least"), F.max("n_clusters").alias("most")).first()
+    closed = inference.with_t_interval(moments, alpha, alternative)
+    closed = F.broadcast(closed) if seen["n"] <= BROADCAST_CONTRASTS else closed
+    drawn = inference.bootstrap(totals, by, seed, alpha, n_boot, seen["most"]).join(inference.sign_flips(totals, by, seed, n_perm, alternative, seen["least"] or 0), by)
+    number = F.col(value)
+    of_items = items.groupBy(*by).agg(
+        F.count(number).alias("_n"), F.coalesce(F.stddev_samp(number), F.lit(float("nan"))).alias("sd"), reduce.sample_skewness(number).alias("skewness"), *[c.alias(name) for name, c in also.items()]
+    )
+    rows = drawn.join(closed, by)
+    if empty is None:
+        rows = of_items.join(rows, by)
+    else:
+        asked = of_items if expected is None else expected.join(of_items, by, "left")
+        name = F.concat_ws(", ", *[F.col(c).cast("string") for c in by])
+        none = F.coalesce(F.col("_n"), F.lit(0)) == 0
+        rows = asked.join(rows, by, "left").withColumn("estimate", F.when(none, F.raise_error(F.concat(F.lit(empty + ": "), name)).cast("double")).otherwise(F.col("estimate")))
     shown = lambda c: F.col(c) * scale + offset
     primary = inference.primary_interval(F.col("n_clusters"), F.col("ci_low"))
     analytic = F.struct(shown("ci_low").alias("low"), shown("ci_high").alias("high"))
@@ -87,6 +90,7 @@ def report(
         warnings.alias("warnings"),
         F.lit(CAVEAT).alias("caveat"),
         F.lit(null).alias("null_value"),
+        *also,
     )
 
 
@@ -110,11 +114,10 @@ def _count(c: str, text: str) -> Column:
 def compare_pairwise(judgments: DataFrame, a: str, b: str, by: Sequence[str], *, seed: int, **options) -> DataFrame:
     """Win rate of a over b, ties a half, against 0.5."""
     by = list(by)
-    items = _kept(reduce.reduce_pairwise(judgments, a, b, by))
-    rows = report(items, by, seed=seed, scale=0.5, offset=0.5, null=0.5, **options)
-    rows = _with(rows, reduce.pairwise_diagnostics(items, by).drop("n_items"), by)
+    items = reduce.reduce_pairwise(judgments, a, b, by)
+    rows = report(items, by, seed=seed, scale=0.5, offset=0.5, null=0.5, also=reduce.diagnostic_columns(), **options)
     rows = _with(rows, reduce.record_counts(judgments, recode.pair_of(a, b), by), by)
-    return _warned(rows, (~F.col("counterbalanced"), _count("n_single_order", "pairs were judged in one order only")), (F.col("tie_rate") > 0.3, "more than 30% ties: the win rate is drawn towards a half"))
+    return _warned(rows, (~F.col("counterbalanced"), _count("n_single_order", "pairs lack one of their two orders")), (F.col("tie_rate") > 0.3, "ties make up over 30% of the calls, which brings the win rate closer to 0.5"))
 
 
 def compare_scores(scores: DataFrame, a: str, b: str, by: Sequence[str], *, seed: int, binary: bool = False, **options) -> DataFrame:
@@ -123,19 +126,18 @@ def compare_scores(scores: DataFrame, a: str, b: str, by: Sequence[str], *, seed
     if binary:
         value = F.col("judgment").cast("double")
         scores = scores.withColumn("judgment", F.when(value.isin(0.0, 1.0), value).otherwise(F.raise_error(F.lit("a binary judgment must be 0 or 1"))))
-    items = _kept(reduce.reduce_scores(scores, a, b, by))
-    rows = report(items, by, seed=seed, empty="no item has both variants", **options)
-    sides = items.groupBy(*by).agg(
-        F.avg(F.when(F.col("d").isNotNull(), F.col("x_a"))).alias("mean_a"), F.avg(F.when(F.col("d").isNotNull(), F.col("x_b"))).alias("mean_b"), F.count_if(F.col("d").isNull()).alias("n_excluded"), F.count_if(F.col("side_unbalanced")).alias("n_side_unbalanced")
-    )
-    rows = _with(_with(rows, sides, by), reduce.record_counts(scores, F.col("variant_id").isin(a, b), by), by)
+    items = cut(reduce.reduce_scores(scores, a, b, by))
+    whole = F.col("d").isNotNull()
+    also = {"mean_a": F.avg(F.when(whole, F.col("x_a"))), "mean_b": F.avg(F.when(whole, F.col("x_b"))), "n_excluded": F.count_if(~whole), "n_side_unbalanced": F.count_if(F.col("side_unbalanced"))}
+    also = also | (reduce.concordance_columns() if binary else {})
+    rows = report(items, by, seed=seed, empty="no item has both variants", also=also, **options)
+    rows = _with(rows, reduce.record_counts(scores, F.col("variant_id").isin(a, b), by), by)
     rows = _with(rows, reduce.first_ids(items.where("side_unbalanced"), "item_id", by).withColumnRenamed("ids", "_unbalanced"), by)
-    unbalanced = F.concat(F.when(F.abs("skewness") > 1, "PROMINENT: ").otherwise(""), _count("n_side_unbalanced", "items have different replicate structures on their two sides: "), F.col("_unbalanced"))
+    unbalanced = F.concat(F.when(F.abs("skewness") > 1, "MIND: ").otherwise(""), _count("n_side_unbalanced", "items have unlike numbers of calls on their two sides: "), F.col("_unbalanced"))
     rows = _warned(rows, (F.col("n_excluded") > 0, _count("n_excluded", "items lack one of the variants")), (F.col("n_side_unbalanced") > 0, unbalanced)).drop("_unbalanced")
     if not binary:
-        points = reduce.score_distribution(scores.where(F.col("variant_id").isin(a, b)), by).groupBy(*by).agg(F.max(F.col("degenerate").cast("int")).alias("_degenerate"))
-        return _warned(_with(rows, points, by), (F.col("_degenerate") == 1, "more than half of a variant's scores are the same")).drop("_degenerate")
-    rows = _with(rows, reduce.concordance(items, by), by)
+        alike = reduce.degenerate_scores(scores.where(F.col("variant_id").isin(a, b)), by)
+        return _warned(_with(rows, alike.withColumnRenamed("degenerate", "_alike"), by), (F.col("_alike"), "more than half of a variant's scores are the same")).drop("_alike")
     rows = inference.mcnemar(rows, "n_pass_fail", "n_fail_pass")
     rows = rows.withColumn("mcnemar_p", F.when(F.col("single") & (F.col("n_clusters") == F.col("n_items")), F.col("mcnemar_p")))
     return _warned(rows, (F.col("n_discordant") < 10, "fewer than 10 discordant items"))
@@ -143,15 +145,12 @@ def compare_scores(scores: DataFrame, a: str, b: str, by: Sequence[str], *, seed
 
 def _balanced_report(judgments: DataFrame, code: Column, by: list[str], empty: str, **options) -> DataFrame:
     """The report of order-balanced items with what was used, skipped and dropped on the way."""
-    pairs = _kept(reduce.balanced_pairs(judgments, code, by))
-    items = _kept(reduce.balanced_items(pairs, by))
-    rows = report(items, by, scale=0.5, empty=empty, **options)
-    used = items.groupBy(*by).agg(
-        F.sum("n_pairs").alias("n_pairs_used"), F.sum("n_single_order").alias("n_pairs_single_order"), F.count_if(F.col("g").isNull()).alias("n_items_dropped"), F.try_divide(F.sum("n_ties").cast("double"), F.sum("n_calls")).alias("tie_rate")
-    )
-    rows = _with(_with(rows, used, by), reduce.call_counts(judgments, code, by), by)
+    pairs = cut(reduce.balanced_pairs(judgments, code, by))
+    also = {"n_pairs_used": F.sum("n_pairs"), "n_pairs_single_order": F.sum("n_single_order"), "n_items_dropped": F.count_if(F.col("g").isNull()), "tie_rate": F.try_divide(F.sum("n_ties").cast("double"), F.sum("n_calls"))}
+    rows = report(reduce.balanced_items(pairs, by), by, scale=0.5, empty=empty, also=also, **options)
+    rows = _with(rows, reduce.call_counts(judgments, code, by), by)
     rows = _with(rows, reduce.first_ids(pairs.where("orders < 2"), "pair_id", by), by)
-    single = F.concat(F.lit("PROMINENT: "), _count("n_pairs_single_order", "pairs were judged in one order only and are left out: "), F.col("ids"), F.lit("; items dropped with them: "), F.col("n_items_dropped").cast("string"))
+    single = F.concat(F.lit("MIND: "), _count("n_pairs_single_order", "pairs without one of their orders are left out: "), F.col("ids"), F.lit("; so are items without another pair: "), F.col("n_items_dropped").cast("string"))
     return _warned(rows, (F.col("n_pairs_single_order") > 0, single), (F.col("n_judges") > 1, F.concat(F.lit("a mixture of judges: "), F.col("judges")))).drop("ids")
 
 
@@ -197,28 +196,27 @@ def verbosity_bias_controlled(judgments: DataFrame, *, original: str, padded: st
     The rows' seeds are seed, seed + 1, seed + 2 and seed + 3. An arm that was asked for and has no pair of different
     lengths in both orders is an error; without a check the pooled row says so.
     """
-    items = _kept(controlled_items(judgments, original, padded, condensed))
+    items = cut(controlled_items(judgments, original, padded, condensed))
     arms = ["pooled", *(name for name, v in (("padded", padded), ("condensed", condensed)) if v is not None)]
     expected = judgments.sparkSession.createDataFrame([(name,) for name in arms], "arm string")
     expected = expected.union(items.where("arm = 'check'").select("arm").distinct())
     own = F.lit(seed) + F.when(F.col("arm") == "padded", 1).when(F.col("arm") == "condensed", 2).when(F.col("arm") == "check", 3).otherwise(0)
     rows = report(items, ["arm"], seed=own, scale=0.5, empty="no pair of different lengths was judged in both orders in arm", expected=expected, **options)
-    checked = _with(rows, rows.where("arm = 'check'").select(F.lit("pooled").alias("arm"), F.lit(True).alias("_checked"), ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)).alias("_rejects")), ["arm"])
+    check, four = F.col("arm") == "check", Window.partitionBy()  # four rows at most
+    checked = rows.withColumn("_checked", F.bool_or(check).over(four)).withColumn("_rejects", F.bool_or(check & ((F.col("ci_low") > 0) | (F.col("ci_high") < 0))).over(four))
     pooled = F.col("arm") == "pooled"
     why = "one arm only: whether judges respond to length or to the rewriting is unchecked" if len(arms) == 2 else "no item has both arms: whether judges respond to length or to the rewriting is unchecked"
-    return _warned(checked, (pooled & F.col("_checked").isNull(), why), (pooled & F.col("_rejects"), "the check's interval excludes 0: the pooled row is not an effect of length alone")).drop("_checked", "_rejects")
+    return _warned(checked, (pooled & ~F.col("_checked"), why), (pooled & F.col("_rejects"), "the check's interval excludes 0: the pooled row is not an effect of length alone")).drop("_checked", "_rejects")
 
 
 def self_preference_bias(judgments: DataFrame, *, self_judge: str, self_variant: str, other_variant: str, seed: int, **options) -> DataFrame:
     """Win rate of a judge's own variant as it sees it, less as the other judges see it on the same items; without such an item it is an error."""
     name = f"{self_judge} on {self_variant}"
-    items = _kept(reduce.self_preference(judgments, self_judge, self_variant, other_variant).withColumn("contrast_id", F.lit(name)))
+    items = reduce.self_preference(judgments, self_judge, self_variant, other_variant).withColumn("contrast_id", F.lit(name))
     expected = judgments.sparkSession.createDataFrame([(name,)], "contrast_id string")
-    rows = report(items, ["contrast_id"], seed=seed, empty="no item was judged by the self judge and by another", expected=expected, **options)
-    more = items.groupBy("contrast_id").agg(
-        F.count_if(F.col("s_self").isNotNull() & F.col("s_panel").isNull()).alias("n_self_only"), F.count_if(F.col("s_self").isNull()).alias("n_panel_only"), F.min(F.when(F.col("d").isNotNull(), F.col("n_panel"))).alias("panel_min"), F.max(F.when(F.col("d").isNotNull(), F.col("n_panel"))).alias("panel_max"), (F.avg("s_self") - 0.5).alias("naive")
-    )
-    return _with(rows, more, ["contrast_id"])
+    own, panel, used = F.col("s_self").isNotNull(), F.col("s_panel").isNotNull(), F.col("d").isNotNull()
+    also = {"n_self_only": F.count_if(own & ~panel), "n_panel_only": F.count_if(~own), "panel_min": F.min(F.when(used, F.col("n_panel"))), "panel_max": F.max(F.when(used, F.col("n_panel"))), "naive": F.avg("s_self") - 0.5}
+    return report(items, ["contrast_id"], seed=seed, empty="no item was judged by the self judge and by another", expected=expected, also=also, **options)
 
 
 def variant_contrasts(scores: DataFrame, control: str | None = None) -> DataFrame:
@@ -244,7 +242,7 @@ def judge_contrasts(pairs: DataFrame) -> DataFrame:
 
 def contrast_report(items: DataFrame, *, seed: int, alpha: float = 0.05, **options) -> DataFrame:
     """Report rows of all contrasts as one family: Holm's p-values, intervals at 1 - alpha / m, and a caveat on the best one."""
-    items = _kept(items)
+    items = cut(items)
     m = items.select("contrast_id").distinct().count()
     rows = multiplicity.adjusted(report(items, ["contrast_id"], seed=seed, alpha=alpha / max(m, 1), **options), "p_value", "contrast_id")
     best = F.row_number().over(Window.orderBy(F.desc("estimate"), "contrast_id")) == 1  # a row for each contrast

@@ -42,12 +42,16 @@ def parse_failures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of responses to the items of the benchmark: two consecutive documents each, dealt to the items in turn."""
+    """Pairs of responses to the items of the benchmark: two consecutive documents each, dealt to the items in turn.
+
+    A document without its neighbour meets an empty response.
+    """
     benchmark = table(spark, sf, "benchmark")
     n = benchmark.agg(F.max("item_id") + 1).first()[0]
     side = lambda k, v: F.max(F.when(F.col("doc_id") % 2 == k, F.struct(F.lit(v).alias("variant_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("response_id"), "text")))
     pairs = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 2).alias("deal")).agg(side(0, "A").alias("a"), side(1, "B").alias("b"))
-    pairs = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull()).withColumn("item_id", F.col("deal") % n)
+    none = lambda v: F.struct(F.lit(v).alias("variant_id"), F.concat(F.lit("e"), F.col("deal").cast("string")).alias("response_id"), F.lit("").alias("text"))
+    pairs = pairs.withColumns({"a": F.coalesce("a", none("A")), "b": F.coalesce("b", none("B")), "item_id": F.col("deal") % n})
     rows = benchmark.select("item_id", F.col("text").alias("task")).join(pairs, "item_id")
     return rows.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("item_id"), "task", "a", "b")
 
@@ -198,13 +202,17 @@ def records_from_outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def study_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of a study with four consecutive documents to a prompt: gap pairs, and near-ties unless their texts are the same."""
-    arms = F.element_at(F.array(F.lit("strong"), F.lit("again"), F.lit("weak"), F.lit("other")), (F.col("doc_id") % 4 + 1).cast("int"))
-    rows = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 4).alias("prompt_id"), arms.alias("variant_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("response_id"), "text")
-    has = lambda v: F.max(F.when(F.col("variant_id") == v, F.col("text")))
-    prompts = rows.groupBy("prompt_id").agg(F.count_distinct("variant_id").alias("n"), has("strong").alias("s"), has("again").alias("t")).where("n = 4")
-    rows = rows.join(prompts.select("prompt_id"), "prompt_id", "left_semi")
-    pairs = records.study_pairs(rows, "strong", "weak", "again", prompts.where("s = t").select("prompt_id"))
+    """Pairs of a study with three consecutive documents to a prompt: gap pairs, and near-ties unless their texts are the same.
+
+    Where a prompt lacks one of the three, an empty response stands in for it.
+    """
+    arm = lambda k, v: F.max(F.when(F.col("doc_id") % 3 == k, F.struct(F.lit(v).alias("variant_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("response_id"), "text")))
+    none = lambda v: F.struct(F.lit(v).alias("variant_id"), F.concat(F.lit("e"), F.col("prompt_id").cast("string")).alias("response_id"), F.lit("").alias("text"))
+    names = ["strong", "again", "weak"]
+    prompts = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 3).alias("prompt_id")).agg(*[arm(k, v).alias(v) for k, v in enumerate(names)])
+    prompts = prompts.withColumns({v: F.coalesce(v, none(v)) for v in names})
+    rows = prompts.select("prompt_id", F.inline(F.array(*names)))
+    pairs = records.study_pairs(rows, "strong", "weak", "again", prompts.where("strong.text = again.text").select("prompt_id"))
     return pairs.select("prompt_id", "stratum", F.col("a.response_id").alias("response_a"), F.col("b.response_id").alias("response_b"))
 
 
@@ -247,8 +255,14 @@ def _found(column: str, pattern: str, each: str) -> str:
 
 _ERROR = "CASE WHEN len(found) = 0 THEN 'missing' WHEN len(found) > 1 THEN 'conflicting' {more} END"
 _PAIR_PATTERN = r"(?i)VERDICT\s*:\s*(FIRST|SECOND|TIE)\b"
-_PAIRS = """SELECT 'b' || i.item_id AS item_id, i.text AS task, 'r' || a.doc_id AS ra, a.text AS ta, 'r' || b.doc_id AS rb, b.text AS tb
-    FROM documents a JOIN documents b ON a.doc_id % 2 = 0 AND b.doc_id = a.doc_id + 1 JOIN benchmark i ON i.item_id = a.doc_id // 2 % (SELECT max(item_id) + 1 FROM benchmark)"""
+def _dealt(n: int, k: int, name: str) -> str:
+    """SQL of the response and text of the document in place k of n, or of an empty response."""
+    own = f"FILTER (doc_id % {n} = {k})"
+    return f"coalesce(max('r' || doc_id) {own}, 'e' || doc_id // {n}) AS r{name}, CASE WHEN count(*) {own} = 0 THEN '' ELSE max(text) {own} END AS t{name}"
+
+
+_PAIRS = f"""SELECT 'b' || i.item_id AS item_id, i.text AS task, ra, ta, rb, tb FROM (SELECT doc_id // 2 AS deal, {_dealt(2, 0, "a")}, {_dealt(2, 1, "b")} FROM documents GROUP BY doc_id // 2)
+    JOIN benchmark i ON i.item_id = deal % (SELECT max(item_id) + 1 FROM benchmark)"""
 _TASKS = f"""SELECT item_id, task, item_id || '::' || least(ra, rb) || '::' || greatest(ra, rb) AS pair_id, unnest(['A', 'B']) AS variant_first, unnest(['B', 'A']) AS variant_second,
     unnest([ra, rb]) AS response_first, unnest([rb, ra]) AS response_second, unnest([ta, tb]) AS first, unnest([tb, ta]) AS second FROM ({_PAIRS})"""
 _N = "chr(10)"
@@ -323,9 +337,9 @@ ORACLE_SQL = {
         CASE WHEN call_role NOT IN ('primary', 'replicate') THEN 'role' END) AS problems, count(*) AS n FROM spoilt GROUP BY ALL""",
     "records_from_outputs": f"""WITH {_found("pairwise_output", _PAIR_PATTERN, "lower(x)")} SELECT 'c' || doc_id AS judge_call_id, source AS source_doc_id, CASE WHEN len(found) = 1 THEN found[1] END AS judgment,
       {_ERROR.format(more="")} AS parse_error FROM f""",
-    "study_pairs": """WITH p AS (SELECT doc_id // 4 AS prompt_id, max(text) FILTER (doc_id % 4 = 0) AS s, max(text) FILTER (doc_id % 4 = 1) AS t FROM documents GROUP BY ALL HAVING count(DISTINCT doc_id % 4) = 4)
-      SELECT prompt_id, 'gap' AS stratum, 'r' || prompt_id * 4 AS response_a, 'r' || (prompt_id * 4 + 2) AS response_b FROM p
-      UNION ALL SELECT prompt_id, 'near-tie', 'r' || prompt_id * 4, 'r' || (prompt_id * 4 + 1) FROM p WHERE s IS DISTINCT FROM t OR s IS NULL""",
+    "study_pairs": f"""WITH p AS (SELECT doc_id // 3 AS prompt_id, {_dealt(3, 0, "s")}, {_dealt(3, 1, "a")}, {_dealt(3, 2, "w")} FROM documents GROUP BY doc_id // 3)
+      SELECT prompt_id, 'gap' AS stratum, rs AS response_a, rw AS response_b FROM p
+      UNION ALL SELECT prompt_id, 'near-tie', rs, ra FROM p WHERE ts IS DISTINCT FROM ta OR ts IS NULL""",
     "scores_from_outputs": f"""WITH {_found("score_output", "SCORE\\s*:\\s*([+-]?\\d+(?:\\.\\d+)?)", "CAST(x AS DOUBLE)")} SELECT doc_id, source, CASE WHEN len(found) = 1 AND found[1] BETWEEN 1 AND 5 THEN found[1] END AS judgment,
       {_ERROR.format(more="WHEN found[1] NOT BETWEEN 1 AND 5 THEN 'scale'")} AS parse_error FROM f""",
     "prompt_draw": f"SELECT doc_id AS prompt_id FROM documents ORDER BY CAST(('0x' || substr(md5(concat_ws('|', '{PLAN_SEED}', 'prompt', CAST(doc_id AS VARCHAR))), 1, 12)) AS BIGINT), doc_id LIMIT 100",

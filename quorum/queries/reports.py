@@ -154,7 +154,7 @@ _SCORED_JOIN = "JOIN sides_of USING ({by}) JOIN used USING ({by}) LEFT JOIN unba
 _SCORED_COLUMNS = f", {_R.format('mean_a')} AS mean_a, {_R.format('mean_b')} AS mean_b, n_excluded, n_side_unbalanced, n_records_used, n_records_ignored"
 _SCORED_WARNINGS = (
     "CASE WHEN n_excluded > 0 THEN n_excluded || ' items lack one of the variants' END",
-    "CASE WHEN n_side_unbalanced > 0 THEN CASE WHEN abs(skew) > 1 THEN 'PROMINENT: ' ELSE '' END || n_side_unbalanced || ' items have different replicate structures on their two sides: ' || ids END",
+    "CASE WHEN n_side_unbalanced > 0 THEN CASE WHEN abs(skew) > 1 THEN 'MIND: ' ELSE '' END || n_side_unbalanced || ' items have unlike numbers of calls on their two sides: ' || ids END",
 )
 _SCALAR = f"""
   records AS ({tables.SCORES_SQL}),
@@ -175,7 +175,7 @@ _BALANCED = """,
 _BALANCED_JOIN = "JOIN used USING ({by}) JOIN counts USING ({by}) LEFT JOIN single USING ({by})"
 _BALANCED_COLUMNS = f", n_pairs_used, n_pairs_single_order, n_items_dropped, {_R.format('tie_rate')} AS tie_rate, n_calls_used, n_calls_skipped, n_same_variant, n_judges, judges"
 _BALANCED_WARNINGS = (
-    "CASE WHEN n_pairs_single_order > 0 THEN 'PROMINENT: ' || n_pairs_single_order || ' pairs were judged in one order only and are left out: ' || ids || '; items dropped with them: ' || n_items_dropped END",
+    "CASE WHEN n_pairs_single_order > 0 THEN 'MIND: ' || n_pairs_single_order || ' pairs without one of their orders are left out: ' || ids || '; so are items without another pair: ' || n_items_dropped END",
     "CASE WHEN n_judges > 1 THEN 'a mixture of judges: ' || judges END",
 )
 _VARIANTS = f"""
@@ -206,14 +206,14 @@ ORACLE_SQL = {
       used AS (SELECT judge_model, count(*) AS n_records_used, CAST(0 AS BIGINT) AS n_records_ignored FROM calls GROUP BY ALL)""",
         join="JOIN counts USING (judge_model) JOIN used USING (judge_model)",
         columns=f", n_pairs, n_single_order, n_calls, {_R.format('tie_rate')} AS tie_rate, n_pairs > 0 AND n_single_order = 0 AS counterbalanced, n_records_used, n_records_ignored",
-        warnings=("CASE WHEN n_single_order > 0 THEN n_single_order || ' pairs were judged in one order only' END", "CASE WHEN tie_rate > 0.3e0 THEN 'more than 30% ties: the win rate is drawn towards a half' END"),
+        warnings=("CASE WHEN n_single_order > 0 THEN n_single_order || ' pairs lack one of their two orders' END", "CASE WHEN tie_rate > 0.3e0 THEN 'ties make up over 30% of the calls, which brings the win rate closer to 0.5' END"),
     ),
     "compare_pairwise_greater_report": _report_sql(
         _pairwise_sql(by="judge_model"), "judge_model", scale="0.5e0", offset="0.5e0", alternative="greater",
         more=""",
       counts AS (SELECT judge_model, CAST(sum(n_single_order) AS BIGINT) AS n_single_order, sum(n_ties) / sum(n_calls) AS tie_rate FROM items GROUP BY ALL)""",
         join="JOIN counts USING (judge_model)", columns=f", {_R.format('tie_rate')} AS tie_rate",
-        warnings=("CASE WHEN n_single_order > 0 THEN n_single_order || ' pairs were judged in one order only' END", "CASE WHEN tie_rate > 0.3e0 THEN 'more than 30% ties: the win rate is drawn towards a half' END"),
+        warnings=("CASE WHEN n_single_order > 0 THEN n_single_order || ' pairs lack one of their two orders' END", "CASE WHEN tie_rate > 0.3e0 THEN 'ties make up over 30% of the calls, which brings the win rate closer to 0.5' END"),
     ),
     "compare_scalar_less_report": _report_sql(
         _SCALAR, "judge_model", more=_SCORED.format(by="judge_model"), join=_SCORED_JOIN.format(by="judge_model"), columns=_SCORED_COLUMNS, alternative="less",

@@ -18,6 +18,8 @@ from quorum.sources import tables
 from quorum.sources.tables import table
 
 JUDGE = ["judge_model"]
+#: Differences that designs are made for.
+DELTAS = (0.05, 0.1, 0.2)
 
 
 def judge_reliability(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,22 +82,17 @@ def krippendorff_alpha(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reduce.krippendorff_alpha(tables.pairwise_judgments(spark, sf), ["pair_id", "variant_first"], "judgment"), "agreement", "chance", "alpha")
 
 
-def _arms(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of one length as responses to one prompt, by id: exact copies meet there."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("n_chars").orderBy("doc_id"))
-    docs = table(spark, sf, "documents").where(F.col("text").isNotNull() & F.col("n_chars").isNotNull()).withColumn("place", place)
-    arm = F.when(F.col("place") == 1, "first").when(F.col("place") == 2, "second").when(F.col("place") == 3, "second-again")
-    rows = docs.select(F.col("n_chars").alias("prompt_id"), arm.alias("variant_id"), "text").where(F.col("variant_id").isNotNull())
-    whole = rows.where("variant_id = 'second'").select("prompt_id")
-    return rows.join(whole, "prompt_id", "left_semi")
-
-
 def arm_check(spark: SparkSession, sf: str) -> DataFrame:
-    """What became of prompts whose near-tie responses were the same."""
-    rows = _arms(spark, sf)
-    return phases.check_arms(rows, "first", "second", rows.where("variant_id = 'second-again'"))
+    """What became of near-tie responses: each document answers beside the first one of its length, by id, and the last one is the new response.
+
+    The first document of a length is the other side of all the rest, so every document takes part that isn't alone in its length.
+    """
+    docs = table(spark, sf, "documents").where(F.col("text").isNotNull() & F.col("n_chars").isNotNull())
+    ends = docs.groupBy("n_chars").agg(F.min("doc_id").alias("least"), F.min_by("text", "doc_id").alias("first"), F.max_by("text", "doc_id").alias("last"))
+    rows = docs.join(ends, "n_chars").where(F.col("doc_id") != F.col("least"))
+    side = lambda v, text: F.struct(F.lit(v).alias("variant_id"), F.col(text).alias("text"))
+    shown = rows.select(F.col("doc_id").alias("prompt_id"), F.inline(F.array(side("first", "first"), side("second", "text"), side("second-again", "last"))))
+    return phases.check_arms(shown, "first", "second", shown.where("variant_id = 'second-again'"))
 
 
 def arm_check_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,6 +134,24 @@ def binary_design(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.withColumn("detectable", planning.detectable_binary(F.col("n_items"), F.col("psi"))), "psi", "detectable")
 
 
+def mean_designs(spark: SparkSession, sf: str) -> DataFrame:
+    """By judge and difference: the items that a study needs to find it, and what the items at hand find, from the items' deviation."""
+    rows = reduce.paired(reduce.reduce_pairwise(tables.pairwise_judgments(spark, sf), "A", "B", JUDGE)).groupBy(*JUDGE).agg(F.count("*").alias("n_items"), F.stddev_samp("d").alias("sd"))
+    rows = rows.withColumn("delta", F.explode(F.array(*[F.lit(x) for x in DELTAS])))
+    rows = rows.withColumns({"items_needed": planning.items_for_mean(F.col("delta"), F.col("sd"), deff=1.5), "detectable": planning.detectable_mean(F.col("n_items"), F.col("sd"))})
+    return rounded(rows.withColumn("detectable", F.round("detectable", 6)), "sd", "detectable")
+
+
+def binary_designs(spark: SparkSession, sf: str) -> DataFrame:
+    """By share of the discordance that is a difference of pass rates: the items that find it, and the power of the items at hand."""
+    rows = reduce.concordance(reduce.reduce_scores(tables.binary_judgments(spark, sf), "A", "N"))
+    n = F.col("n_pass_pass") + F.col("n_pass_fail") + F.col("n_fail_pass") + F.col("n_fail_fail")
+    rows = rows.select(n.alias("n_items"), (F.col("n_discordant") / n).alias("psi")).withColumn("share", F.explode(F.array(*[F.lit(x) for x in DELTAS])))
+    delta = F.col("share") * F.col("psi")
+    rows = rows.withColumns({"items_needed": planning.items_for_binary(delta, F.col("psi")), "power": planning.power_binary(F.col("n_items"), delta, F.col("psi"))})
+    return rounded(rows, "psi", "power")
+
+
 def clustered_design(spark: SparkSession, sf: str) -> DataFrame:
     """Design effect of the score comparison at an intraclass correlation of 0.1."""
     items = reduce.paired(reduce.reduce_scores(tables.score_judgments(spark, sf), "A", "N"))
@@ -148,17 +163,33 @@ QUERIES = {
     f.__name__: f
     for f in (
         judge_reliability, parse_failures_by_order, parse_failure_asymmetry, near_tie_content, position_bias_by_stratum, judge_differences, krippendorff_alpha, arm_check, arm_check_summary,
-        judge_configs, cache_key_reuse, resume_full_set, prompt_set, binary_design, clustered_design,
+        judge_configs, cache_key_reuse, resume_full_set, prompt_set, binary_design, mean_designs, binary_designs, clustered_design,
     )
 }
 
 _R = "round({}, 9) + 0e0"
 _OUTPUTS = f"SELECT *, starts_with(judge_call_id, '3') OR (starts_with(judge_call_id, '4') AND variant_first = 'A') AS failed FROM ({tables.PAIRWISE_SQL})"
 _CLUSTER = "coalesce(nullif(source_doc_id, ''), '__singleton__:' || item_id)"
-_ARM_CHECK = """WITH d AS (SELECT n_chars AS prompt_id, text, row_number() OVER (PARTITION BY n_chars ORDER BY doc_id) AS place FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL),
-      p AS (SELECT prompt_id, max(text) FILTER (place = 1) AS a, max(text) FILTER (place = 2) AS b, max(text) FILTER (place = 3) AS c FROM d GROUP BY ALL HAVING count(*) >= 2),
-      checked AS (SELECT prompt_id, CASE WHEN a <> b THEN 'distinct' WHEN c <> a THEN 'regenerated' ELSE 'excluded' END AS status, CASE WHEN a <> b THEN 'second' WHEN c <> a THEN 'second-again' END AS second FROM p)"""
+_ARM_CHECK = """WITH d AS (SELECT * FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL),
+      e AS (SELECT n_chars, min(doc_id) AS least, arg_min(text, doc_id) AS a, arg_max(text, doc_id) AS c FROM d GROUP BY n_chars),
+      checked AS (SELECT doc_id AS prompt_id, CASE WHEN text <> a THEN 'distinct' WHEN c <> a THEN 'regenerated' ELSE 'excluded' END AS status,
+        CASE WHEN text <> a THEN 'second' WHEN c <> a THEN 'second-again' END AS second FROM d JOIN e USING (n_chars) WHERE doc_id <> least)"""
 _EDGE, _REACH = (repr(distributions.normal_quantile(p)) for p in (0.975, 0.8))
+_A, _B = f"{_EDGE}e0", f"{_REACH}e0"
+_DELTAS = f"unnest([{', '.join(f'{x}e0' for x in DELTAS)}])"
+
+
+def _t(z: str, df: str) -> str:
+    """SQL of Student's t quantile by its expansion around the normal quantile z, right to 8 digits from 30 degrees of freedom on."""
+    return f"""({z} + ({z} ** 3 + {z}) / 4 / {df} + (5 * {z} ** 5 + 16 * {z} ** 3 + 3 * {z}) / 96 / {df} ** 2 + (3 * {z} ** 7 + 19 * {z} ** 5 + 17 * {z} ** 3 - 15 * {z}) / 384 / {df} ** 3
+      + (79 * {z} ** 9 + 776 * {z} ** 7 + 1482 * {z} ** 5 - 1920 * {z} ** 3 - 945 * {z}) / 92160 / {df} ** 4)"""
+
+
+def _least(size: str, start: str) -> str:
+    """SQL of the least n from ``start`` on that is no smaller than ``size``, which is written in a and b, the quantiles at n - 1."""
+    sized = size.replace("{a}", _t(_A, "(n - 1e0)")).replace("{b}", _t(_B, "(n - 1e0)"))
+    return f"list_min(list_filter(range(CAST({start} AS BIGINT), CAST({start} AS BIGINT) + 20), lambda n: n >= {sized}))"
+
 
 ORACLE_SQL = {
     "judge_reliability": f"""WITH {_pairwise_sql(by="judge_model")},
@@ -206,6 +237,17 @@ ORACLE_SQL = {
       s AS (SELECT count(*) AS n, count(*) FILTER (x <> y) / count(*) AS psi FROM b WHERE x IS NOT NULL AND y IS NOT NULL)
       SELECT n AS n_items, {_R.format("psi")} AS psi,
         {_R.format(f"({_EDGE} * sqrt(psi * n) + sqrt({_EDGE} ** 2 * psi * n - (n + {_REACH} ** 2) * ({_EDGE} ** 2 - {_REACH} ** 2) * psi)) / (n + {_REACH} ** 2)")} AS detectable FROM s""",
+    "mean_designs": f"""WITH {_pairwise_sql(by="judge_model")}, s AS (SELECT judge_model, count(*) AS n_items, stddev_samp(d) AS sd FROM items WHERE d IS NOT NULL GROUP BY ALL),
+      g AS (SELECT *, {_DELTAS} AS delta FROM s)
+      SELECT judge_model, n_items, {_R.format("sd")} AS sd, delta, CAST(ceil({_least("(({a} + {b}) * sd / delta) ** 2", f"floor((({_A} + {_B}) * sd / delta) ** 2)")} * 1.5e0) AS BIGINT) AS items_needed,
+        round(({_t(_A, "(n_items - 1e0)")} + {_t(_B, "(n_items - 1e0)")}) * sd / sqrt(n_items), 6) + 0e0 AS detectable FROM g""",
+    # the normal law by its series: 1/2 + density * sum of z^(2k+1) / (1 * 3 * ... * (2k+1))
+    "binary_designs": f"""WITH b AS (SELECT item_id, max(judgment) FILTER (variant_id = 'A') AS x, max(judgment) FILTER (variant_id = 'N') AS y FROM ({tables.BINARY_SQL}) GROUP BY ALL),
+      s AS (SELECT count(*) AS n_items, count(*) FILTER (x <> y) / count(*) AS psi FROM b WHERE x IS NOT NULL AND y IS NOT NULL),
+      g AS (SELECT *, share * psi AS d FROM (SELECT *, {_DELTAS} AS share FROM s)),
+      z AS (SELECT *, (sqrt(n_items) * d - {_A} * sqrt(psi)) / sqrt(psi - d ** 2) AS z FROM g)
+      SELECT n_items, {_R.format("psi")} AS psi, share, {_least("(({a} * sqrt(psi) + {b} * sqrt(psi - d ** 2)) / d) ** 2", f"floor((({_A} * sqrt(psi) + {_B} * sqrt(psi - d ** 2)) / d) ** 2)")} AS items_needed,
+        {_R.format("0.5e0 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 400), lambda k: exp((2 * k + 1) * ln(abs(z)) - lgamma(2 * k + 2e0) + k * ln(2e0) + lgamma(k + 1e0))))")} AS power FROM z""",
     "clustered_design": f"""WITH {_scores_sql()}, t AS (SELECT cluster, count(*) AS size FROM items WHERE x_a - x_b IS NOT NULL GROUP BY ALL)
       SELECT {_R.format("avg(size)")} AS mean_size, {_R.format("1 + (avg(size) - 1) * 0.1e0")} AS deff FROM t""",
 }
