@@ -71,7 +71,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.sizes: dict[int, dict] = {}
-        anchors: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        anchors: dict[int, set[int]] = defaultdict(set)  # the sizes of the items that hold a shingle, however many do
         by_size = defaultdict(list)
         for k, (item_id, text) in enumerate(items):
             run, = (r for _, r in textops.chunks([text]))
@@ -86,34 +86,40 @@ class Index:
                 close = _POPCOUNT[np.arange(256, dtype=np.uint8)[:, None] ^ prints[None, :, b]] <= BLOCK_RADIUS
                 near.append((np.concatenate([[0], np.cumsum(close.sum(1))]), np.nonzero(close)[1]))
             self.sizes[size] = {"ids": [i for i, _ in members], "prints": prints, "near": near, "grams": [np.unique(g, return_counts=True) for g in grams], "n": len(grams[0])}
-            for k, g in enumerate(grams):
-                for x in set(g.tolist()):
-                    anchors[x].add((size, k))
+            for x in set(np.concatenate(grams).tolist()):
+                anchors[x].add(size)
         self.keys = np.array(sorted(anchors), dtype=np.uint64)
-        self.of = [sorted(anchors[x]) for x in self.keys.tolist()]
+        of = [sorted(anchors[x]) for x in self.keys.tolist()]
+        self.of_from = np.concatenate([[0], np.cumsum([len(x) for x in of], dtype=np.int64)])
+        self.of = np.array([size for x in of for size in x], dtype=np.int64)
         bits = max(16, int(len(self.keys)).bit_length() + 6)
         self.mask = np.uint64((1 << bits) - 1)
         self.seen = np.zeros(1 << bits, bool)
         self.seen[self.keys & self.mask] = True
         self.short = sorted(s for s in self.sizes if s < textops.SHINGLE)
 
-    def _anchored(self, grams: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(place, number of the key) of every shingle that an item has."""
-        if not len(self.keys):
-            return
-        at = np.flatnonzero(self.seen[grams & self.mask])
+    def _anchored(self, grams: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, size of an item), once for each size of the items that have the shingle there.
+
+        Shingles of items of five words or more go with their sizes, shorter ones with ``size`` alone.
+        """
+        at = np.flatnonzero(self.seen[grams & self.mask]) if len(self.keys) else np.zeros(0, np.int64)
         k = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
         same = self.keys[k] == grams[at]
-        yield from zip(at[same].tolist(), k[same].tolist())
-
-    def _windows(self, grams: np.ndarray, size: int, places: dict[int, list[int]], best: dict) -> None:
-        """Verifies the windows of a text that hold an anchor of an item with this many words."""
+        at, k = at[same], k[same]
+        count = self.of_from[k + 1] - self.of_from[k]
+        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        place, items_size = np.repeat(at, count), self.of[np.repeat(self.of_from[k], count) + nth]
+        wanted = items_size >= textops.SHINGLE if size == textops.SHINGLE else items_size == size
+        return place[wanted], items_size[wanted]
+
+    def _windows(self, grams: np.ndarray, size: int, places: np.ndarray, best: dict) -> None:
+        """Verifies the windows of a text that hold an anchor, at one of these places, of an item with this many words."""
         group = self.sizes[size]
         n = min(group["n"], len(grams))
         marked = np.zeros(len(grams) + 1, np.int32)
-        every = np.unique(np.concatenate([np.asarray(p) for p in places.values()]))
-        np.add.at(marked, np.maximum(every - n + 1, 0), 1)
-        np.add.at(marked, np.minimum(every + 1, len(grams)), -1)
+        np.add.at(marked, np.maximum(places - n + 1, 0), 1)
+        np.add.at(marked, np.minimum(places + 1, len(grams)), -1)
         starts = np.flatnonzero(np.cumsum(marked[: len(grams) - n + 1]) > 0)
         for part in np.split(starts, np.flatnonzero((np.diff(starts) > WINDOWS)) + 1):
             for at in range(0, len(part), WINDOWS):
@@ -145,18 +151,17 @@ class Index:
             out = [{} for _ in run]
             for size in [textops.SHINGLE, *self.short]:
                 grams = _grams(words, size)
-                found: dict[int, dict[int, dict[int, list[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
-                at = list(self._anchored(grams))
-                text_of = np.searchsorted(bounds, np.array([p for p, _ in at], dtype=np.int64), side="right") - 1
-                for (p, key), t in zip(at, text_of.tolist()):
-                    if p + size <= bounds[t + 1]:
-                        for items_size, k in self.of[key]:
-                            if items_size >= textops.SHINGLE if size == textops.SHINGLE else items_size == size:
-                                found[t][items_size][k].append(p - int(bounds[t]))
-                for t, sizes in found.items():
-                    own = grams[bounds[t] : bounds[t + 1] - size + 1]
-                    for items_size, places in sizes.items():
-                        self._windows(own, items_size, places, out[t])
+                place, items_size = self._anchored(grams, size)
+                text = np.searchsorted(bounds, place, side="right") - 1
+                whole = place + size <= bounds[text + 1]
+                place, items_size, text = place[whole], items_size[whole], text[whole]
+                order = np.lexsort((place, items_size, text))
+                place, items_size, text = place[order], items_size[order], text[order]
+                cuts = np.flatnonzero((np.diff(text) != 0) | (np.diff(items_size) != 0)) + 1
+                for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
+                    if first < end:
+                        t = int(text[first])
+                        self._windows(grams[bounds[t] : bounds[t + 1] - size + 1], int(items_size[first]), place[first:end] - bounds[t], out[t])
             for best in out:
                 yield [(None if unnamed else item, s, start, size) for ((unnamed, item), size), (s, start) in sorted(best.items())]
 

@@ -472,6 +472,16 @@ def test_decontamination_is_that_of_brute_force(spark):
     assert found == {k: brute_hits(t, items) for k, t in enumerate(texts)}
 
 
+def test_decontamination_of_a_phrase_in_thousands_of_items(spark):
+    """Items and texts that share one phrase cost their sizes, not their number, and only whole items are found."""
+    phrase = "all items hold these very words at once"
+    items = [(k, f"{phrase} " + " ".join(f"w{k}x{j}" for j in range(20))) for k in range(5_000)]
+    index = decontaminate.Index(items)
+    assert len(index.of) == len(index.keys)  # one size for each shingle
+    texts = [f"{phrase} and nothing more of them", items[77][1], f"before {items[4_999][1]} after", "", None]
+    assert [[h[0] for h in hits] for hits in index.hits(texts)] == [[], [77], [4_999], [], []]
+
+
 def test_decontamination_in_slices(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_WORDS", 40)
     test_decontamination_is_that_of_brute_force(spark)
