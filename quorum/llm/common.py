@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorum.sources.checkpoints import cut, shared_dir
+
 #: A word is a run of characters that are neither a space nor one of the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows, and bytes beyond one row, that Python works on at a time.
@@ -26,25 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset, it is a temporary folder of a session without executors, or one in the warehouse.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
-        own = tempfile.mkdtemp(prefix="quorum-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the folder that all executors share."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """The rows as a table in the folder that all executors share, and its path, for ``removed`` once nothing reads it."""
     spark = df.sparkSession
