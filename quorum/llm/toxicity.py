@@ -36,6 +36,7 @@ EMPTY_SHARE = 50
 #: Factor on the averaged vector: a text has few telling words among many.
 SCALE = 40.0
 CHUNK_CHARS = 1 << 18
+_ORDER = ["place", "text", "toxic"]
 _PLACES = mix64(np.arange(1, 1 + max(NGRAMS), dtype=np.uint64), 0x70C) | np.uint64(1)
 
 
@@ -167,8 +168,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     return Model(table.astype(np.float32), float(p["b"][1] - p["b"][0]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> list[tuple[str, int]]:
-    """(text, toxic) of a bounded sample of the labelled documents whose id ``learn`` accepts, alike on every run."""
+def _sample(docs: DataFrame, labels: DataFrame, learn: Column, toxic_rows: int, clean_rows: int) -> DataFrame:
+    """(place, text, toxic) of the rows of ``labelled_sample``."""
     most = 2 * (toxic_rows + clean_rows)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learn).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
@@ -176,19 +177,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, toxic_row
     rate = F.when(F.col("toxic") == 1, toxic_rows / max(counts.get(1, 0), 1)).otherwise(clean_rows / max(counts.get(0, 0), 1))
     drawn = known.where(draw < rate).dropDuplicates().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES // 100).join(F.broadcast(drawn), "doc_id").select("text", "toxic")
-    order = ["place", "text", "toxic"]
-    rows = cut(rows.withColumn("place", F.xxhash64("text")).orderBy(*order).limit(most))
+    rows = cut(rows.withColumn("place", F.xxhash64("text")).orderBy(*_ORDER).limit(most))
     sizes = rows.groupBy("place").agg(F.sum(F.octet_length("text")).alias("size")).orderBy("place").collect()  # at most ``most`` pairs of numbers
     ends = np.cumsum([r["size"] for r in sizes])
     last = int(np.searchsorted(ends, SAMPLE_BYTES, side="right"))
     if last < len(sizes):
         rows = rows.where(F.col("place") < sizes[last]["place"])
-    return [(r["text"], r["toxic"]) for r in rows.orderBy(*order).collect()]
+    return rows
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> list[tuple[str, int]]:
+    """(text, toxic) of a bounded sample of the labelled documents whose id ``learn`` accepts, alike on every run."""
+    return [(r["text"], r["toxic"]) for r in _sample(docs, labels, learn, toxic_rows, clean_rows).orderBy(*_ORDER).collect()]
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the model of all rows that come."""
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column("text").to_pylist()
+        labels += batch.column("toxic").to_pylist()
+    model = train(texts, labels)
+    yield pa.record_batch([pa.array([model.buckets.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["buckets", "bias"])
 
 
 def train_on(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
-    sample = labelled_sample(docs, labels, learn)
-    return train([text for text, _ in sample], [label for _, label in sample])
+    """The model of the labelled sample, trained in a task: the driver sees the scores of the buckets, not the texts."""
+    sample = _sample(docs, labels, learn, TOXIC_ROWS, CLEAN_ROWS).repartition(1).sortWithinPartitions(*_ORDER)
+    found = sample.select("text", "toxic").mapInArrow(_trained, "buckets binary, bias double").collect()  # one row at most
+    return Model(np.frombuffer(found[0]["buckets"], np.float32), found[0]["bias"]) if found else train([], [])
 
 
 def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -367,6 +367,40 @@ def test_components_of_chains_and_random_links(spark, monkeypatch, limit):
     assert {r["node"]: r["root"] for r in found.collect()} == {k: v for k, v in label.items() if k != v}
 
 
+def clique(n):
+    return [(a, b) for b in range(n) for a in range(b)]
+
+
+def test_redundant_links_take_no_rounds(spark, monkeypatch):
+    def rounds(links):
+        raise AssertionError("a round began")
+
+    monkeypatch.setattr(components, "TASK_LINKS", 100)
+    monkeypatch.setattr(components, "_with_least", rounds)
+    found = components.components(spark.createDataFrame(clique(60), "a long, b long"))
+    assert {r["node"]: r["root"] for r in found.collect()} == dict.fromkeys(range(1, 60), 0)
+
+
+def test_components_of_links_in_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(components, "TASK_LINKS", 10)
+    links = clique(20) + [(k, k + 1) for k in range(100, 140)] + [(300, 301 + k) for k in range(40)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == {**dict.fromkeys(range(1, 20), 0), **dict.fromkeys(range(101, 141), 100), **dict.fromkeys(range(301, 341), 300)}
+
+
+def test_hot_and_cold_keys_are_looked_up(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
+    for sizes in ({1: 3, 2: 8}, {1: 3, 2: 9}, {}):
+        rows = spark.createDataFrame([(k, i) for k, n in sizes.items() for i in range(n)], "k long, i long")
+        known = spark.createDataFrame([(k, -k, n) for k, n in sizes.items()], "k long, x long, n long")
+        got = common.lookup(rows, known, "k")
+        assert got.columns == ["k", "i", "x"] and sorted(map(tuple, got.collect())) == sorted((k, i, -k) for k, n in sizes.items() for i in range(n))
+
+
 # --- toxicity
 
 
@@ -402,6 +436,20 @@ def test_training_texts_are_bounded_in_bytes(spark, monkeypatch):
     assert sample == toxicity.labelled_sample(docs.repartition(5), labels, F.lit(True))
 
 
+def test_training_is_a_task_and_not_the_driver_s(spark, monkeypatch):
+    docs = documents(spark, [(k, f"{'bad' if k % 3 else 'good'} word{k} ß", "en", "s") for k in range(60)])
+    labels = spark.createDataFrame([(k, 0, int(k % 3 > 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, F.lit(True))
+    expected = toxicity.train([text for text, _ in sample], [label for _, label in sample])
+
+    def refused(*_):
+        raise AssertionError("the driver trains")
+
+    monkeypatch.setattr(toxicity, "train", refused)
+    model = toxicity.train_on(docs, labels, F.lit(True))
+    assert np.allclose(model.buckets, expected.buckets, atol=1e-5) and model.bias == pytest.approx(expected.bias, abs=1e-5)
+
+
 def test_toxicity_generalises_to_misspellings(spark):
     rng = np.random.default_rng(0)
     clean = [f"{a}{b}" for a in ("ter", "lan", "mio", "pes", "dor") for b in ("a", "en", "ik", "os", "um", "ly")]
