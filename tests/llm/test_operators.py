@@ -401,6 +401,34 @@ def test_hot_and_cold_keys_are_looked_up(spark, monkeypatch):
         assert got.columns == ["k", "i", "x"] and sorted(map(tuple, got.collect())) == sorted((k, i, -k) for k, n in sizes.items() for i in range(n))
 
 
+def queries_of(spark, of):
+    """The number of queries that ``of`` runs."""
+
+    def last():
+        spark.range(1).count()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        return spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId()
+
+    before = last()
+    of()
+    return last() - before - 1
+
+
+def test_counts_take_no_queries_of_their_own(spark, monkeypatch):
+    """Each query holds memory of the driver: a lookup runs one, and components of few links two."""
+    rows = spark.createDataFrame([(k % 3, k) for k in range(40)], "k long, v long")
+    known = rows.groupBy("k").agg(F.count("*").alias("n"))
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    for hot in (rows, rows.where("false")):
+        assert queries_of(spark, lambda: common.lookup(rows, known.join(hot.select("k").distinct(), "k", "left_semi"), "k")) == 1
+    chain = spark.createDataFrame([(k, k + 1) for k in range(8)], "a long, b long")
+    assert queries_of(spark, lambda: components.components(chain)) == 2
+    texts = documents(spark, [(k, f"a b c d e f g h i j k l m n o p q r s t {k % 40}", "en", "s") for k in range(80)])
+    assert queries_of(spark, lambda: near_dedup.near_duplicates(texts)) == 13
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 8)
+    assert queries_of(spark, lambda: near_dedup.near_duplicates(texts)) == 18
+
+
 # --- toxicity
 
 
