@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline
 from quorum.llm import queries
 from tests import oracle
+from tests.llm.test_operators import queries_of
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -134,6 +135,13 @@ def test_pipeline_judges_near_copies_by_row(spark, sf):
     assert sorted((x for x in found if x not in third), key=str) == sorted(want, key=str)
 
 
+def test_pipeline_counts_near_copies_without_a_query(spark, sf):
+    """Rows are written, judged (13 queries), and those that go are written and counted at once."""
+    rows = [(k, f"a b c d e f g h i j k l m n o p q r s t {k % 40}", "en", "s", 1) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert queries_of(spark, lambda: corpus_pipeline.near_duplicates(spark, docs, sf)) == 15
+
+
 def test_pipeline_takes_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
